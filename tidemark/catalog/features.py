@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import BARS, MACRO, MANY, RETS, bars, full, macro, many, mrets, r6, rets, rnd, rounded, sql, with_mrets, with_rets
+from tidemark.functions import rolling as R
 from tidemark.operators import features as ft
-from tidemark.operators import prep
+from tidemark.plans.series import long_series, running, series
 
 QUERIES, ORACLES = {}, {}
 W = "PARTITION BY asset ORDER BY ts"
@@ -312,10 +313,13 @@ def basic_features_macro(spark, sf):
 def long_series_features(spark, sf):
     """Features of event values per type: time-stamped series of unbounded length, by the chunked plan."""
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("asset"), "ts", (F.col("value") / 100).alias("ret"))
-    d = ft.rolling_std(ft.cumulative_return(ft.rolling_mean(e, n=20), chunk_rows=1000), n=21, chunk_rows=1000)
-    return rounded(prep.ffill(d, ["std"], chunk_rows=1000).select("asset", "ts", "mean", "std", "cum_sum"))
+    e = long_series(e, ["asset"])
+    w = series(e, ["asset"], lookback=20, chunk_rows=1000)
+    d = w.add({"mean": R.mean(w, "ret", 20), "std": R.std(w, "ret", 21)})
+    d = running(d, ["asset"], {"cum_sum": ("sum", "ret")}, chunk_rows=1000)
+    return rounded(d.select("asset", F.col("ts").cast("string").alias("at"), "mean", "std", "cum_sum"))
 
 
 ORACLES["long_series_features"] = f"""WITH rets AS (SELECT event_type AS asset, ts AS t, event_id, ts, value / 100 AS ret FROM events)
-SELECT asset, ts, {rnd(m('ret', 20))} AS mean, {rnd(s('ret', 21))} AS std, {rnd(f'sum(ret) OVER ({W} ROWS UNBOUNDED PRECEDING)')} AS cum_sum FROM rets"""
+SELECT asset, CAST(ts AS VARCHAR) AS at, {rnd(m('ret', 20))} AS mean, {rnd(s('ret', 21))} AS std, {rnd(f'sum(ret) OVER ({W} ROWS UNBOUNDED PRECEDING)')} AS cum_sum FROM rets"""
 _ = (bars, many, MANY)

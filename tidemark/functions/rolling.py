@@ -16,51 +16,48 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _full(s: Series, x: Column, n: int, value: Column, need: int | None) -> Column:
-    return F.when(F.count(x).over(s.rows(n)) >= (need or n), value)
+def _agg(s: Series, kind: str, x: Column | str, n: int, value: Column) -> Column:
+    return s.shared(f"{kind}_{x}_{n}", value.over(s.rows(n)))
+
+
+def _full(s: Series, x: Column | str, n: int, value: Column, need: int | None) -> Column:
+    return F.when(_agg(s, "count", x, n, F.count(_col(x))) >= (need or n), value)
 
 
 def mean(s: Series, x: Column | str, n: int, need: int | None = None) -> Column:
-    x = _col(x)
-    return _full(s, x, n, F.avg(x).over(s.rows(n)), need)
+    return _full(s, x, n, _agg(s, "mean", x, n, F.avg(_col(x))), need)
 
 
 def std(s: Series, x: Column | str, n: int, need: int | None = None) -> Column:
-    x = _col(x)
-    return _full(s, x, n, F.stddev_samp(x).over(s.rows(n)), need)
+    return _full(s, x, n, _agg(s, "std", x, n, F.stddev_samp(_col(x))), need)
 
 
 def var(s: Series, x: Column | str, n: int) -> Column:
-    x = _col(x)
-    return _full(s, x, n, F.var_samp(x).over(s.rows(n)), None)
+    return _full(s, x, n, _agg(s, "var", x, n, F.var_samp(_col(x))), None)
 
 
 def cov(s: Series, x: Column | str, y: Column | str, n: int) -> Column:
-    x, y = _col(x), _col(y)
-    both = F.when(x.isNotNull() & y.isNotNull(), x)
-    return _full(s, both, n, F.covar_samp(x, y).over(s.rows(n)), None)
+    both = F.when(_col(x).isNotNull() & _col(y).isNotNull(), _col(x))
+    count = _agg(s, "count", f"{x}_{y}", n, F.count(both))
+    return F.when(count >= n, _agg(s, "cov", f"{x}_{y}", n, F.covar_samp(_col(x), _col(y))))
 
 
 def low(s: Series, x: Column | str, n: int) -> Column:
-    x = _col(x)
-    return _full(s, x, n, F.min(x).over(s.rows(n)), None)
+    return _full(s, x, n, _agg(s, "low", x, n, F.min(_col(x))), None)
 
 
 def high(s: Series, x: Column | str, n: int) -> Column:
-    x = _col(x)
-    return _full(s, x, n, F.max(x).over(s.rows(n)), None)
+    return _full(s, x, n, _agg(s, "high", x, n, F.max(_col(x))), None)
 
 
 def skew(s: Series, x: Column | str, n: int) -> Column:
     """Bias-corrected skewness (the built-in one is the population form)."""
-    x = _col(x)
-    return _full(s, x, n, sample_skew(F.skewness(x).over(s.rows(n)), F.lit(float(n))), None)
+    return _full(s, x, n, sample_skew(_agg(s, "skew", x, n, F.skewness(_col(x))), F.lit(float(n))), None)
 
 
 def kurt(s: Series, x: Column | str, n: int) -> Column:
     """Bias-corrected excess kurtosis (the built-in one is the population form)."""
-    x = _col(x)
-    return _full(s, x, n, sample_kurt(F.kurtosis(x).over(s.rows(n)), F.lit(float(n))), None)
+    return _full(s, x, n, sample_kurt(_agg(s, "kurt", x, n, F.kurtosis(_col(x))), F.lit(float(n))), None)
 
 
 def sample_skew(population: Column, n: Column) -> Column:
@@ -71,11 +68,13 @@ def sample_kurt(population: Column, n: Column) -> Column:
     return F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * population + 6)
 
 
-def change(s: Series, x: Column | str, n: int = 1) -> Column:
-    x = _col(x)
-    return x - F.lag(x, n).over(s.ordered())
+def lag(s: Series, x: str, n: int = 1) -> Column:
+    return s.shared(f"lag_{x}_{n}", F.lag(x, n).over(s.ordered()))
+
+
+def change(s: Series, x: str, n: int = 1) -> Column:
+    return F.col(x) - lag(s, x, n)
 
 
-def ratio_change(s: Series, x: Column | str, n: int) -> Column:
-    x = _col(x)
-    return F.try_divide(x, F.lag(x, n).over(s.ordered())) - 1
+def ratio_change(s: Series, x: str, n: int) -> Column:
+    return F.try_divide(F.col(x), lag(s, x, n)) - 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.operators.prep import KEY, YEAR
-from tidemark.plans.attach import attach
+from tidemark.plans.attach import attach, attach_series
 from tidemark.plans.pairs import pair_sums
 from tidemark.plans.ranks import rank_within
 from tidemark.plans.series import number_rows, series
@@ -18,7 +18,7 @@ from tidemark.plans.series import number_rows, series
 def forward_return(returns: DataFrame, h: int = 1, col: str = "ret", key: Sequence[str] = KEY, order: str = "ts", out: str = "forward_ret", chunk_rows=None):
     """Return h rows ahead."""
     s = series(returns, key, order, lookahead=h, chunk_rows=chunk_rows)
-    return s.done(s.df.withColumn(out, F.lead(col, h).over(s.ordered())))
+    return s.add({out: F.lead(col, h).over(s.ordered())})
 
 
 def top_half_members(returns: DataFrame, lookback: int = 20, col: str = "ret", order: str = "ts") -> DataFrame:
@@ -30,7 +30,7 @@ def top_half_members(returns: DataFrame, lookback: int = 20, col: str = "ret", o
     s = series(returns, KEY, order, lookback=lookback)
     past = s.span(-lookback, -1)
     perf = F.when(F.count(col).over(past) == lookback, F.product(1 + F.col(col)).over(past) - 1)
-    d = s.done(s.df.withColumn("_perf", perf)).filter(F.col("_perf").isNotNull())
+    d = s.add({"_perf": perf}).filter(F.col("_perf").isNotNull())
     d = rank_within(d, "_perf", [order]).withColumn("_above", F.col("_n") - F.col("_before") - F.col("_ties"))
     k = F.floor(F.col("_n") / 2)
     d = d.withColumn("_k", k).filter(F.col("_above") < F.col("_k"))
@@ -70,7 +70,7 @@ def last_n(df: DataFrame, n: int, key: Sequence[str] = KEY, order: str = "ts") -
 
     The n-th latest position follows from the row count, so no descending sort over whole series is made.
     """
-    d = attach(number_rows(df, key, order), key, _cnt=F.count(F.lit(1)))
+    d = attach_series(number_rows(df, key, order), key, order, _cnt=F.count(F.lit(1)))
     return d.filter(F.col("_seq") >= F.col("_cnt") - n).drop("_seq", "_cnt")
 
 
@@ -90,10 +90,10 @@ def histogram(df: DataFrame, col: str = "ret", bins: int = 50, key: Sequence[str
 
 def price_index(bars: DataFrame, col: str = "close", key: Sequence[str] = KEY, order: str = "ts", out: str = "price_index") -> DataFrame:
     """Price over the first price of the series (aggregate and join, no window)."""
-    d = attach(bars, key, _first=F.min_by(col, F.when(F.col(col).isNotNull(), F.col(order))))
+    d = attach_series(bars, key, order, _first=F.min_by(col, F.when(F.col(col).isNotNull(), F.col(order))))
     return d.withColumn(out, F.col(col) / F.col("_first")).drop("_first")
 
 
 def rolling_momentum(returns: DataFrame, n: int = 20, col: str = "ret", order: str = "ts", out: str = "momentum_20d") -> DataFrame:
     s = series(returns, KEY, order, lookback=n - 1)
-    return s.done(s.df.withColumn(out, R.mean(s, col, n)))
+    return s.add({out: R.mean(s, col, n)})

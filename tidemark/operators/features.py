@@ -22,7 +22,7 @@ ROOT_YEAR = YEAR**0.5
 def _add(df: DataFrame, key: Sequence[str], order: str, lookback: int, chunk_rows: int | None, **exprs) -> DataFrame:
     """Add columns given as ``Series -> Column`` functions over one prepared frame."""
     s = series(df, key, order, lookback, chunk_rows=chunk_rows)
-    return s.done(s.df.withColumns({o: f(s) for o, f in exprs.items()}))
+    return s.add({o: f(s) for o, f in exprs.items()})
 
 
 def rolling_mean(df, col="ret", n=20, key=KEY, out="mean", order="ts", need=None, chunk_rows=None) -> DataFrame:
@@ -122,7 +122,7 @@ def rsi_wilder(df, n=14, col="ret", key=KEY, out="rsi", order="ts", chunk_rows=N
     """Relative strength with recursive smoothing: 50 without any move, 100 without a fall."""
     s = series(df, key, order, lookback=1, chunk_rows=chunk_rows)
     up, down = _gain_loss(s, col)
-    d = s.done(s.df.withColumns({"_up": up, "_down": down}))
+    d = s.add({"_up": up, "_down": down})
     d = ewm(d, {"_u": ("wilder", "_up", n), "_v": ("wilder", "_down", n)}, key, order)
     return d.withColumn(out, F.coalesce(F.try_divide(F.col("_u") * 100, F.col("_u") + F.col("_v")), F.lit(50.0))).drop(
         "_up", "_down", "_u", "_v"
@@ -136,7 +136,7 @@ def rsi_wilder(df, n=14, col="ret", key=KEY, out="rsi", order="ts", chunk_rows=N
 def with_moves(df: DataFrame, col: str = "ret", key: Sequence[str] = KEY, order: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     s = series(df, key, order, lookback=1, chunk_rows=chunk_rows)
     up, down = _gain_loss(s, col)
-    return s.done(s.df.withColumns({"_up": up, "_down": down, "_prev": F.lag(col).over(s.ordered())}))
+    return s.add({"_up": up, "_down": down, "_prev": F.lag(col).over(s.ordered())})
 
 
 def rsi_sma_expr(s: Series, n: int) -> Column:
@@ -270,7 +270,7 @@ def curve_inversion(macro: DataFrame, long: str, short: str, order: str = "ts",
 
 def macro_change(macro: DataFrame, order: str = "ts", out: str = "change") -> DataFrame:
     s = series(macro, ["series"], order, lookback=1)
-    return s.done(s.df.withColumn(out, R.ratio_change(s, "value", 1)))
+    return s.add({out: R.ratio_change(s, "value", 1)})
 
 
 def pct_rank_full(df: DataFrame, col: str, key: Sequence[str] = ("series",), out: str = "pct_rank") -> DataFrame:
@@ -346,7 +346,7 @@ def enhanced_features(
     if macro is None:
         cols["yield_spread"] = R.mean(s, r, 63)
         cols["dollar_strength"] = R.std(s, r, 21)
-    d = s.done(s.df.withColumns(cols))
+    d = s.add(cols)
     if macro is None:
         d = d.withColumn("term_structure_slope", F.col("yield_spread"))
     else:
@@ -430,8 +430,7 @@ def basic_features(
     if pair:
         cols["pair_dispersion"] = F.col("_pair")
         cols["pair_spread"] = F.when(F.col("asset") == pair[0], F.col("_pair")).otherwise(0.0)
-    d = s.df.withColumns(cols)
-    d = s.done(d)
+    d = s.add(cols)
     d = rolling_std(d, "realized_volatility", 20, key, "vol_of_vol", order, chunk_rows=chunk_rows)
     d = cross_sectional_rank_pct(d, "momentum_20d", order)
     features = ["returns", *cols, "ewm_volatility", "rsi", "macd", "macd_signal", "vol_of_vol", "momentum_rank"]
@@ -455,7 +454,7 @@ def basic_features(
         d = d.withColumn("term_structure_slope", F.lit(0.0))
         features.append("term_structure_slope")
     d = fill_all(d.select("asset", order, *features), features, key, order)
-    return zscore(d, features, key) if normalize else d
+    return zscore(d, features, key, order=order) if normalize else d
 
 
 def portfolio_features(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.attach import attach
+from tidemark.plans.attach import attach, attach_series
 from tidemark.plans.ranks import quantiles
 from tidemark.plans.series import is_bounded, number_rows, running, series
 from tidemark.sources.market import check_weights
@@ -78,7 +78,7 @@ def pct_change(
     one, ``"none"`` keeps all.
     """
     s = series(df, key, order, lookback=1, chunk_rows=chunk_rows)
-    d = s.done(s.df.withColumn(out, F.try_divide(F.col(col), F.lag(col).over(s.ordered())) - 1))
+    d = s.add({out: F.try_divide(F.col(col), F.lag(col).over(s.ordered())) - 1})
     if dropna == "none":
         return d
     d = d.filter(F.col(out).isNotNull())
@@ -146,10 +146,10 @@ def macro_join(
     d = df.join(macro_wide(macro, names, order), order, "left")
     d = ffill(d, names, key, order)
     s = series(d, key, order, lookback=max(ma, spread) - 1)
-    d = s.df
+    cols = {}
     for n in names:
-        d = d.withColumns({f"{n}_yield_ma": mean(s, n, ma), f"{n}_yield_spread": F.col(n) - mean(s, n, spread)})
-    d = s.done(d)
+        cols |= {f"{n}_yield_ma": mean(s, n, ma), f"{n}_yield_spread": F.col(f"`{n}`") - mean(s, n, spread)}
+    d = s.add(cols)
     for n in names:
         d = d.withColumnRenamed(n, f"{n}_yield")
     return d
@@ -216,10 +216,10 @@ def sanitize(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0) -> Da
     return df.withColumns(out)
 
 
-def zscore(df: DataFrame, cols: Sequence[str], key: Sequence[str] = KEY, eps: float = 1e-8) -> DataFrame:
+def zscore(df: DataFrame, cols: Sequence[str], key: Sequence[str] = KEY, eps: float = 1e-8, order: str = "ts") -> DataFrame:
     """(x - mean) / (sample std + eps) over the whole series."""
     aggs = {f"_m_{c}": F.avg(c) for c in cols} | {f"_s_{c}": F.stddev_samp(c) for c in cols}
-    d = attach(df, key, **aggs)
+    d = attach_series(df, key, order, **aggs)
     return d.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + eps) for c in cols}).drop(*aggs)
 
 
@@ -323,9 +323,9 @@ def quality_summary(returns: DataFrame, col: str = "ret", key: Sequence[str] = K
     ).withColumn("sharpe", F.try_divide("annual_return", "annual_vol"))
 
 
-def extreme_flag(df: DataFrame, col: str = "ret", z: float = 5.0, key: Sequence[str] = KEY) -> DataFrame:
+def extreme_flag(df: DataFrame, col: str = "ret", z: float = 5.0, key: Sequence[str] = KEY, order: str = "ts") -> DataFrame:
     """Per series: null count and number of values further than ``z`` population deviations from the mean."""
-    d = attach(df, key, _m=F.avg(col), _s=F.stddev_pop(col))
+    d = attach_series(df, key, order, _m=F.avg(col), _s=F.stddev_pop(col))
     far = F.abs(F.try_divide(F.col(col) - F.col("_m"), F.col("_s"))) > z
     return d.groupBy(*key).agg(F.count_if(F.col(col).isNull()).alias("nulls"), F.count_if(far).alias("extremes"))
 
@@ -336,7 +336,7 @@ def extreme_flag(df: DataFrame, col: str = "ret", z: float = 5.0, key: Sequence[
 
 def chrono_split(df: DataFrame, key: Sequence[str] = KEY, validation: float = 0.2, order: str = "ts") -> DataFrame:
     """Add ``role``: the last share of rows of each series is ``validation``, rounded up, the rest ``train``."""
-    d = attach(number_rows(df, key, order), key, _n=F.count(F.lit(1)))
+    d = attach_series(number_rows(df, key, order), key, order, _n=F.count(F.lit(1)))
     held = F.ceil(F.col("_n") * F.lit(validation))
     return d.withColumn("role", F.when(F.col("_seq") >= F.col("_n") - held, "validation").otherwise("train")).drop("_n", "_seq")
 
@@ -346,7 +346,7 @@ def time_series_folds(df: DataFrame, n_splits: int = 5, key: Sequence[str] = KEY
 
     A row is test in one fold and training in the folds after it, so fold ids follow from its position.
     """
-    d = attach(number_rows(df, key, order), key, _n=F.count(F.lit(1)))
+    d = attach_series(number_rows(df, key, order), key, order, _n=F.count(F.lit(1)))
     size = F.floor(F.col("_n") / (n_splits + 1))
     first = F.col("_n") - size * n_splits
     own = F.when(F.col("_seq") < first, F.lit(-1)).otherwise(F.floor((F.col("_seq") - first) / size)).cast("int")

@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import checkpoint
+
 CHUNK_ROWS = 100_000
 _SLOT = {T.DateType: 366, T.TimestampType: 86_400_000_000, T.TimestampNTZType: 86_400_000_000}
 
@@ -57,8 +59,11 @@ def number_rows(
 
     The chunked plan numbers rows within (key, slot of the order axis) and adds the count of all slots
     before; the slot counts are aggregated before they are shuffled, so no task sees a whole series.
+    A frame that already holds ``_seq`` (from ``long_series``) is left as it is.
     """
     key = list(key)
+    if out == SEQ and SEQ in df.columns:
+        return df
     if is_bounded(df, order) and not chunked:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(order)).cast("long") - 1)
     d = df.withColumn("_slot", F.floor(ordinal(df, order) / slot_width(df, order)).cast("long"))
@@ -77,14 +82,40 @@ def number_rows(
     )
 
 
+def long_series(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
+    """Positions for a long series, assigned once and written to the checkpoint folder.
+
+    The chunked plan of every operator reads its input twice (totals per chunk, and rows); from here on it
+    reads the written rows and does not number them again. The result keeps the helper column ``_seq``.
+    """
+    return checkpoint(number_rows(df, key, order, chunked=True))
+
+
 @dataclass(frozen=True)
 class Series:
-    """A frame prepared for ordered windows, and the windows to use on it."""
+    """A frame prepared for ordered windows, and the windows to use on it.
+
+    ``shared`` registers a window aggregate once under a helper column, however many results use it;
+    ``add`` evaluates the registered ones before the results that refer to them.
+    """
 
     df: DataFrame
     part: tuple[str, ...]
     order: str
     chunked: bool
+    keep_seq: bool = False
+    pending: dict[str, Column] = field(default_factory=dict)
+
+    def shared(self, name: str, value: Column) -> Column:
+        name = f"_w_{name}"
+        self.pending.setdefault(name, value)
+        return F.col(name)
+
+    def add(self, cols: Mapping[str, Column]) -> DataFrame:
+        """The frame with ``cols`` added, without halo rows and helper columns."""
+        helpers = dict(self.pending)
+        d = self.df.withColumns(helpers) if helpers else self.df
+        return self.done(d.withColumns(dict(cols)).drop(*helpers))
 
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.part).orderBy(self.order)
@@ -100,7 +131,7 @@ class Series:
         """Drop halo copies and helper columns."""
         if not self.chunked:
             return df
-        return df.filter(HOME).drop(SEQ, CHUNK, HOME)
+        return df.filter(HOME).drop(CHUNK, HOME, *([] if self.keep_seq else [SEQ]))
 
 
 def series(
@@ -126,7 +157,7 @@ def series(
         )
     )
     d = d.withColumn(CHUNK, F.explode(places)).withColumn(HOME, F.col(CHUNK) == F.col("_own")).drop("_own")
-    return Series(d, (*key, CHUNK), order, True)
+    return Series(d, (*key, CHUNK), order, True, SEQ in df.columns)
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -170,23 +201,25 @@ def running(
 
     b = chunk_rows or CHUNK_ROWS
     d = number_rows(df, key, order, chunked=True).withColumn(CHUNK, F.floor(F.col(SEQ) / b))
+    pos = F.col(SEQ)
     if reverse:
-        d = d.withColumn(SEQ, -F.col(SEQ)).withColumn(CHUNK, -F.col(CHUNK))
+        pos = -pos
+        d = d.withColumn(CHUNK, -F.col(CHUNK))
     d = d.withColumns({f"_x_{o}": c for o, (_, c) in exprs.items()})
     aggs = []
     for o, (k, _) in exprs.items():
         x = F.col(f"_x_{o}")
-        aggs.append((F.max_by(x, F.when(x.isNotNull(), F.col(SEQ))) if k == "last" else _AGG[k](x)).alias(f"_t_{o}"))
+        aggs.append((F.max_by(x, F.when(x.isNotNull(), pos)) if k == "last" else _AGG[k](x)).alias(f"_t_{o}"))
     before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         d.groupBy(*key, CHUNK)
         .agg(*aggs)
         .select(*key, CHUNK, *[over(before, k, F.col(f"_t_{o}")).alias(f"_c_{o}") for o, (k, _) in exprs.items()])
     )
-    w = Window.partitionBy(*key, CHUNK).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key, CHUNK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(carry, [*key, CHUNK])
     d = d.withColumns({o: _combine(k, F.col(f"_c_{o}"), over(w, k, F.col(f"_x_{o}"))) for o, (k, _) in exprs.items()})
-    drop = [SEQ, CHUNK] + [f"_{p}_{o}" for o in exprs for p in ("x", "c")]
+    drop = [CHUNK] + ([] if SEQ in df.columns else [SEQ]) + [f"_{p}_{o}" for o in exprs for p in ("x", "c")]
     return d.drop(*drop)
 
 
