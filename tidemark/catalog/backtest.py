@@ -168,9 +168,9 @@ def walk_forward_windows(spark, sf):
 # --- positions, ledger and metrics, with recursive SQL
 
 STRATS = [
-    Strategy("daily", "proportional", "D", stop_loss=0.35, take_profit=0.5),
-    Strategy("weekly", "fixed", "W", fixed_cost=0.00002, max_position=0.3, max_drawdown=0.4),
-    Strategy("monthly", "quadratic", "M", leverage=0.9, allow_short=False, cost=0.002),
+    Strategy("daily", "proportional", "D", stop_loss=0.05, take_profit=0.5),
+    Strategy("weekly", "fixed", "W", fixed_cost=0.00002, max_position=0.3, max_drawdown=0.04),
+    Strategy("monthly", "quadratic", "M", leverage=0.9, allow_short=False, cost=0.002, take_profit=0.01),
 ]
 
 
@@ -202,7 +202,7 @@ def _strategy_sql(windows):
             CASE WHEN i > 1 THEN sum(abs(trade)) * any_value(rate) ELSE 0 END AS c, CASE WHEN i > 1 THEN count(*) FILTER (abs(trade) > 1e-6) * any_value(fix) ELSE 0 END AS f,
             any_value(sl) AS sl, any_value(tp) AS tp, any_value(mdd) AS mdd FROM pos JOIN st USING (strategy_id) GROUP BY 1, 2, 3, 4)""",
         """eq AS (SELECT strategy_id, window_id, ts, i, r, turnover, trades, c, f, sl, tp, mdd, 1 + r AS v, greatest(1.0, 1 + r) AS peak, CAST(0 AS DOUBLE) AS cost, false AS stopped,
-            CASE WHEN 1 + r <= greatest(1.0, 1 + r) * (1 - sl) THEN 'stop_loss' END AS why FROM led WHERE i = 1 UNION ALL
+            CASE WHEN (1 + r) / greatest(1.0, 1 + r) - 1 <= -sl THEN 'stop_loss' WHEN r >= tp THEN 'take_profit' WHEN (1 + r) / greatest(1.0, 1 + r) - 1 <= -mdd THEN 'max_drawdown' END AS why FROM led WHERE i = 1 UNION ALL
           SELECT strategy_id, window_id, ts, i, r, turnover, trades, c, f, sl, tp, mdd, v, greatest(p, v), cost, was,
             CASE WHEN was THEN why0 WHEN v / greatest(p, v) - 1 <= -sl THEN 'stop_loss' WHEN v - 1 >= tp THEN 'take_profit' WHEN v / greatest(p, v) - 1 <= -mdd THEN 'max_drawdown' END
           FROM (SELECT l.strategy_id, l.window_id, l.ts, l.i, CASE WHEN e.why IS NOT NULL THEN 0 ELSE l.r END AS r, CASE WHEN e.why IS NOT NULL THEN 0 ELSE l.turnover END AS turnover,

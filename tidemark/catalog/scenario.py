@@ -9,6 +9,7 @@ from tidemark.functions.draws import poisson1_sql, uniform_sql
 from tidemark.operators import regime as rg
 from tidemark.operators import resample as rs
 from tidemark.operators import validate as va
+from tidemark.session import checkpoint
 
 QUERIES, ORACLES = {}, {}
 SMALL = "port AS (SELECT substr(asset, 3, 1) AS portfolio, ts, avg(ret) / 50 AS ret FROM rets GROUP BY 1, 2)"
@@ -111,7 +112,7 @@ def weights(spark):
 
 
 def stats(spark, sf):
-    return rs.path_statistics(rs.portfolio_paths(paths(spark, sf), weights(spark)))
+    return checkpoint(rs.path_statistics(rs.portfolio_paths(paths(spark, sf), weights(spark))))
 
 
 @query(with_paths(f"SELECT sim_id, step, asset, {rnd('log_ret')} AS log_ret FROM paths"))

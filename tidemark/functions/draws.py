@@ -7,37 +7,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
 
 
-def _mix(h: Column) -> Column:
-    return (h * h % PRIME + h * 40692 + 12345) % PRIME
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) for the seed and the whole numbers given.
 
+    The rounds are a fold over an array: nested in one plain expression, each round would triple its input,
+    and filters that the optimizer infers on the result would copy all of it.
+    """
+    steps = F.array(*[p.cast("long") for p in parts], F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-def uniform(seed: int, *parts: Column) -> Column:
-    """A number in [0, 1) for the seed and the whole numbers given."""
-    h = F.lit(seed % PRIME).cast("long")
-    for p in parts:
-        h = _mix((h * 48271 + p.cast("long") % PRIME + 1) % PRIME)
-    return _mix(_mix(h)) / F.lit(float(PRIME))
+    def mix(h: Column, p: Column) -> Column:
+        x = (h * 48271 + p % PRIME + 1) % PRIME
+        return (x * x % PRIME + x * 40692 + 12345) % PRIME
 
+    return F.aggregate(steps, F.lit(seed % PRIME).cast("long"), mix) / F.lit(float(PRIME))
 
-def uniform_sql(seed: int, *parts: str) -> str:
-    """The same in SQL."""
 
-    def mix(h: str) -> str:
-        return f"(({h}) * ({h}) % {PRIME} + ({h}) * 40692 + 12345) % {PRIME}"
+def with_uniform(df: DataFrame, out: str, seed: int, *parts: Column) -> DataFrame:
+    return df.withColumn(out, uniform(seed, *parts))
 
-    # one scalar lambda per step keeps the text short
-    e = f"CAST({seed % PRIME} AS BIGINT)"
-    for p in parts:
-        e = f"list_reduce([({e} * 48271 + CAST({p} AS BIGINT) % {PRIME} + 1) % {PRIME}, 0], lambda h, z: {mix('h')})"
-    for _ in range(2):
-        e = f"list_reduce([{e}, 0], lambda h, z: {mix('h')})"
-    return f"({e} / CAST({PRIME} AS DOUBLE))"
+
+def uniform_sql(seed: int, *parts: str) -> str:
+    """The same in SQL."""
+    steps = ", ".join(f"CAST({p} AS BIGINT)" for p in (seed % PRIME, *parts, 0, 0))
+    x = f"((h * 48271 + p % {PRIME} + 1) % {PRIME})"
+    return f"(list_reduce([{steps}], lambda h, p: ({x} * {x} % {PRIME} + {x} * 40692 + 12345) % {PRIME}) / CAST({PRIME} AS DOUBLE))"
 
 
 def poisson1(u: Column) -> Column:

@@ -377,13 +377,16 @@ def run_backtest(
     ``returns(asset, ts, ret)`` and ``signals([strategy_id,] asset, ts, signal)`` are aligned on common rows.
     A signal earns the return of its own row; ``lag=1`` makes it earn the next. ``windows=(window, step)`` restarts
     every ``step`` dates after the first ``window``. ``sizing`` replaces the built-in rules; ``stop`` is a predicate over
-    the ledger. Positions feed the ledger and the result, so they are written to the checkpoint folder once.
+    the ledger. The aligned signals feed several cross-section totals, and the positions feed the ledger and the
+    result, so both are written to the checkpoint folder once (``materialize``).
     """
     if lag:
         key = [c for c in ("strategy_id", "asset") if c in signals.columns]
         s = series(signals, key, order, lookback=lag)
         signals = s.add({"signal": F.lag("signal", lag).over(s.ordered())})
     d = returns.select("asset", order, F.col(ret).alias("ret")).join(signals, ["asset", order])
+    if materialize:
+        d = checkpoint(d)
     w = size_weights(d, strategies, confidence, returns, order, ret)
     if sizing is not None:
         w = with_settings(sizing(w.drop(*SETTINGS, "weight")), strategies)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.attach import attach, attach_series
-from tidemark.plans.ranks import quantiles
-from tidemark.plans.series import is_bounded, number_rows, running, series
+from tidemark.plans.ranks import attach_quantiles, quantiles
+from tidemark.plans.series import number_rows, running, series
 from tidemark.sources.market import check_weights
 
 KEY = ("asset",)
@@ -254,10 +254,8 @@ def winsorize(
     if limits is not None:
         return df.withColumns({c: F.greatest(F.least(F.col(c), F.lit(limits[c][1])), F.lit(limits[c][0])) for c in cols})
     d = df
-    small = bool(key) and order in df.columns and is_bounded(df, order)
     for c in cols:
-        q = quantiles(df, c, [lo, hi], key, bounded=small, approx=approx).withColumnRenamed("_q", f"_q_{c}")
-        d = d.join(q, list(key), "left") if key else d.join(F.broadcast(q))  # one row when there is no key
+        d = attach_quantiles(d, c, [lo, hi], key, f"_q_{c}", order, approx)
     clip = {
         c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0])) for c in cols
     }
@@ -269,10 +267,8 @@ def robust_scale(
 ) -> DataFrame:
     """(x - median) / (q75 - q25), range 0 counting as 1, clipped to +-clip."""
     d = df
-    small = bool(key) and order in df.columns and is_bounded(df, order)
     for c in cols:
-        q = quantiles(df, c, [0.25, 0.5, 0.75], key, bounded=small, approx=approx).withColumnRenamed("_q", f"_q_{c}")
-        d = d.join(q, list(key), "left") if key else d.join(F.broadcast(q))  # one row when there is no key
+        d = attach_quantiles(d, c, [0.25, 0.5, 0.75], key, f"_q_{c}", order, approx)
     out = {}
     for c in cols:
         q = F.col(f"_q_{c}")

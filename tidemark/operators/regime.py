@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.features import ROOT_YEAR, cumulative_return, rolling_std
 from tidemark.operators.prep import YEAR
 from tidemark.plans.attach import attach, attach_series
-from tidemark.plans.ranks import quantiles
-from tidemark.plans.series import is_bounded, number_rows, running, series
+from tidemark.plans.ranks import attach_quantiles
+from tidemark.plans.series import number_rows, running, series
 
 KEY = ("series",)
 LABELS = ("Low Vol", "Medium Vol", "High Vol")
@@ -29,8 +29,7 @@ def vol_regime(returns: DataFrame, n: int = 21, labels: Sequence[str] = LABELS,
     """Label rows by the quantile band of their rolling deviation within the series."""
     d = rolling_std(returns, col, n, key, "vol", order)
     k = len(labels)
-    q = quantiles(d, "vol", [i / k for i in range(1, k)], key, bounded=is_bounded(returns, order))
-    d = d.join(q, list(key), "left")
+    d = attach_quantiles(d, "vol", [i / k for i in range(1, k)], key, "_q", order)
     label = F.when(F.col("vol").isNull(), None)
     for i in range(k - 1):
         label = label.when(F.col("vol") <= F.col("_q")[i], labels[i])

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import poisson1, uniform
+from tidemark.functions.draws import poisson1, with_uniform
 from tidemark.functions.rolling import sample_kurt, sample_skew
 from tidemark.operators.cross import correlation
 from tidemark.operators.prep import YEAR, complete_dates
 from tidemark.plans.attach import attach, attach_series
+from tidemark.plans.folds import spread
 from tidemark.plans.ranks import quantiles
 from tidemark.plans.series import number_rows
 
@@ -32,8 +33,9 @@ def metric_column(metric: str, x: Column) -> Column:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _boots(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def _times(df: DataFrame, n: int, key: Sequence[str], out: str = BOOT) -> DataFrame:
+    """n copies of each row. The rows are few before and many after, so they are spread over all tasks first."""
+    return spread(df, key).withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def resampled(df: DataFrame, col: str, n: int, key: Sequence[str] = (), order: str = "ts", seed: int = 42) -> DataFrame:
@@ -44,8 +46,9 @@ def resampled(df: DataFrame, col: str, n: int, key: Sequence[str] = (), order: s
     k = list(key) or ["_one"]
     d = df if key else df.withColumn("_one", F.lit(0))
     d = attach_series(number_rows(d.select(*k, order, col), k, order), k, order, _n=F.count(F.lit(1)))
-    draws = d.select(*k, F.col("_seq").alias("slot"), "_n").withColumn(BOOT, _boots(n))
-    draws = draws.withColumn("_pick", F.floor(uniform(seed, F.col("slot"), F.col(BOOT)) * F.col("_n")).cast("long"))
+    draws = _times(d.select(*k, F.col("_seq").alias("slot"), "_n"), n, [*k, "slot"])
+    draws = with_uniform(draws, "_u", seed, F.col("slot"), F.col(BOOT))
+    draws = draws.withColumn("_pick", F.floor(F.col("_u") * F.col("_n")).cast("long"))
     return draws.join(d.select(*k, F.col("_seq").alias("_pick"), col), [*k, "_pick"]).select(*key, BOOT, "slot", col)
 
 
@@ -73,8 +76,8 @@ def bootstrap(
 def _poisson(df, metric, col, n, key, order, seed) -> DataFrame:
     k = list(key) or ["_one"]
     d = df if key else df.withColumn("_one", F.lit(0))
-    d = number_rows(d.select(*k, order, col), k, order).withColumn(BOOT, _boots(n))
-    d = d.withColumn("_w", poisson1(uniform(seed, F.col("_seq"), F.col(BOOT)))).filter("_w > 0")
+    d = _times(number_rows(d.select(*k, order, col), k, order), n, [*k, "_seq"])
+    d = with_uniform(d, "_u", seed, F.col("_seq"), F.col(BOOT)).withColumn("_w", poisson1(F.col("_u"))).filter("_w > 0")
     w, x = F.col("_w"), F.col(col)
     g = d.groupBy(*key, BOOT).agg(F.sum(w).alias("_n"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"))
     mean = F.col("_s") / F.col("_n")
@@ -140,7 +143,8 @@ def block_bootstrap(returns: DataFrame, n_sims: int, n_days: int, block: int = 2
     per = -(-n_days // block)
     ids = returns.sparkSession.range(n_sims * per).select(F.floor(F.col("id") / per).alias("sim_id"), (F.col("id") % per).alias("_blk"))
     ids = ids.join(F.broadcast(n))  # one row
-    ids = ids.withColumn("_start", F.floor(uniform(seed, F.col("sim_id"), F.col("_blk")) * (F.col("_n") - block + 1)).cast("long"))
+    ids = with_uniform(ids, "_u", seed, F.col("sim_id"), F.col("_blk"))
+    ids = ids.withColumn("_start", F.floor(F.col("_u") * (F.col("_n") - block + 1)).cast("long"))
     steps = ids.withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     steps = steps.select("sim_id", (F.col("_blk") * block + F.col("_off")).alias("step"), (F.col("_start") + F.col("_off")).alias("_day"))
     return steps.filter(F.col("step") < n_days).join(hist, "_day").select("sim_id", "step", "asset", "log_ret")
@@ -157,8 +161,9 @@ def regime_block_bootstrap(returns: DataFrame, regimes: DataFrame, n_sims: int,
     reg = number_rows(reg.drop("_seq"), ["label"], order, "_pos")
     reg = attach_series(reg, ["label"], order, _n=F.count(F.lit(1)))
     reg = attach_series(reg, ["run"], order, _run0=F.min("step"))
-    sims = reg.withColumn("sim_id", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    start = F.floor(uniform(seed, F.col("sim_id"), F.col("run")) * F.col("_n")).cast("long")
+    sims = _times(reg, n_sims, [order], "sim_id")
+    sims = with_uniform(sims, "_u", seed, F.col("sim_id"), F.col("run"))
+    start = F.floor(F.col("_u") * F.col("_n")).cast("long")
     sims = sims.select("sim_id", "step", "label", ((start + F.col("step") - F.col("_run0")) % F.col("_n")).alias("_pos"))
     donors = reg.select("label", "_pos", order).join(r.select(order, "asset", F.log1p(col).alias("log_ret")), order).drop(order)
     return sims.join(donors, ["label", "_pos"]).select("sim_id", "step", "asset", "label", "log_ret")

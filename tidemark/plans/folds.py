@@ -18,8 +18,16 @@ def schema_of(df: DataFrame, **extra: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{n} {t}" for n, t in extra.items()])
 
 
+def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hash-partition by key over a fixed number of tasks, for steps that are heavy per row: adaptive execution
+    would merge partitions by their bytes."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *[F.col(k) for k in key])
+
+
 def sorted_batches(df: DataFrame, key: Sequence[str], order: Sequence[str], fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    return df.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, *order).mapInPandas(fn, schema)
+    return spread(df, key).sortWithinPartitions(*key, *order).mapInPandas(fn, schema)
 
 
 def hold_with_band(df: DataFrame, key: Sequence[str], target: str, active: str, threshold: float, order: str = "ts", out: str = "weight") -> DataFrame:

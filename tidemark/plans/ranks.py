@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.series import is_bounded
+
 BUCKETS = 64
 
 
@@ -81,3 +83,18 @@ def quantiles(
     if bounded:
         return df.groupBy(*group).agg(F.percentile(col, F.array(*[F.lit(q) for q in levels])).alias("_q"))
     return exact_quantiles(df, col, levels, group)
+
+
+def attach_quantiles(
+    df: DataFrame, col: str, qs: Sequence[float], key: Sequence[str] = (), out: str = "_q", order: str = "ts", approx: bool = False
+) -> DataFrame:
+    """Add the quantiles of a row's group as an array.
+
+    Series bounded by the calendar get them from a window over the series, which needs no second pass and no
+    join; other groups get them joined from ``quantiles``.
+    """
+    if key and order in df.columns and is_bounded(df, order) and not approx:
+        levels = F.array(*[F.lit(float(q)) for q in qs])
+        return df.withColumn(out, F.percentile(col, levels).over(Window.partitionBy(*key)))
+    q = quantiles(df, col, qs, key, approx=approx).withColumnRenamed("_q", out)
+    return df.join(q, list(key), "left") if key else df.join(F.broadcast(q))  # one row when there is no key
