@@ -159,8 +159,8 @@ def percentile_fan(spark, sf):
 
 @query(
     with_paths(
-        f"""SELECT {rnd('-any_value(v95)')} AS var95, {rnd('-avg(-total_return) FILTER (-total_return > v95)')} AS cvar95, {rnd('-any_value(v99)')} AS var99,
-        {rnd('-avg(-total_return) FILTER (-total_return > v99)')} AS cvar99, {rnd('avg(CASE WHEN total_return > 0 THEN 1 ELSE 0 END) * 100')} AS win_rate, {rnd('avg(total_return)')} AS expected,
+        f"""SELECT {rnd('-any_value(v95)')} AS var95, {rnd('-coalesce(avg(-total_return) FILTER (-total_return > v95), max(-total_return))')} AS cvar95, {rnd('-any_value(v99)')} AS var99,
+        {rnd('-coalesce(avg(-total_return) FILTER (-total_return > v99), max(-total_return))')} AS cvar99, {rnd('avg(CASE WHEN total_return > 0 THEN 1 ELSE 0 END) * 100')} AS win_rate, {rnd('avg(total_return)')} AS expected,
         {rnd('avg(ann_ret)')} AS annualized_ret, {rnd('avg(ann_vol)')} AS annualized_vol, {rnd('avg((ann_ret - 0.05) / ann_vol)')} AS sharpe
         FROM stt, (SELECT quantile_cont(-total_return, 0.95) AS v95, quantile_cont(-total_return, 0.99) AS v99 FROM stt)""",
         PP, STATS,
