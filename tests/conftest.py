@@ -15,7 +15,7 @@ def spark():
     s = get_session(
         "tests",
         "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.streaming.noDataMicroBatches.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -67,13 +67,15 @@ def test_sums_of_chunks_equal_the_whole(df):
 def test_fit_finds_calm_and_wild(spark):
     s = np.repeat([0, 1, 0, 1], 60)
     x = RNG.normal(size=240) * np.where(s == 0, 0.3, 2.0)
-    d = daily(spark, {"a": {"u": x}, "b": {"u": x[::-1].copy()}})
-    p2, p8 = hmm.fit_hmm(d, ["u"], ["asset"], 2, max_iter=2), hmm.fit_hmm(d, ["u"], ["asset"], 2, max_iter=8)
+    w = pd.Series(np.abs(x)).rolling(5, center=True, min_periods=1).mean().to_numpy()
+    d = daily(spark, {"a": {"u": x, "w": w}, "b": {"u": x[::-1].copy(), "w": w[::-1].copy()}})
+    cols = ["u", "w"]
+    p2, p8 = hmm.fit_hmm(d, cols, ["asset"], 2, max_iter=2), hmm.fit_hmm(d, cols, ["asset"], 2, max_iter=8)
     assert p8.log_likelihood >= p2.log_likelihood - 1e-6
     assert p8.covs[0, 0, 0] < p8.covs[1, 0, 0]
     got = by(hmm.predict_regimes(d, p8, 3, ["asset"]), "state")
     assert np.mean(np.array(got) == s) > 0.9
-    own = by(hmm.regimes_per_series(d, ["u"], ["asset"], 2), "state")
+    own = by(hmm.regimes_per_series(d, cols, ["asset"], 2), "state")
     assert np.mean(np.array(own) == s) > 0.9
     with pytest.raises(ValueError):
         hmm.regimes_per_series(stamped(d), ["u"], ["asset"], 2)

@@ -16,6 +16,7 @@ from tidemark.functions.draws import poisson1, with_uniform
 from tidemark.operators.cross import last_n
 from tidemark.operators.prep import chrono_split
 from tidemark.operators.risk import moment_matrices, normal_equations
+from tidemark.plans.folds import spread
 from tidemark.plans.series import number_rows
 
 
@@ -59,7 +60,7 @@ def vol_forecast_interval(seq: DataFrame, target: str, length: int, bags: int =
     cols = [f"x{i}" for i in range(length)]
     d = number_rows(seq.select(*key, order, target, "x"), key, order)
     wide = d.select(*key, order, "_seq", F.col(target).alias("y"), *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
-    b = wide.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+    b = spread(wide, [*key, "_seq"]).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
     b = with_uniform(b, "_u", seed, F.col("_seq"), F.col("bag")).withColumn("_w", F.sqrt(poisson1(F.col("_u")).cast("double"))).filter("_w > 0")
     # scaling a row by the root of its weight weighs all products; the constant becomes a column of its own
     b = b.select("bag", (F.col("y") * F.col("_w")).alias("y"), F.col("_w").alias("one"), *[(F.col(c) * F.col("_w")).alias(c) for c in cols])
