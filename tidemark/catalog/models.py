@@ -138,7 +138,7 @@ def regime_classifier_perceptron(spark, sf):
 
 
 @query
-def hybrid_labels(spark, sf):
+def fused_model_labels(spark, sf):
     """Markov probabilities fused with those of the classifier."""
     f = checkpoint(feats(rets(spark, sf)))
     p = hmm.fit_hmm(f, COLS, A, 3, max_iter=3)

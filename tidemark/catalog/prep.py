@@ -118,11 +118,11 @@ def write_results(spark, sf):
         BARS, RETS, PANEL, MACRO,
     )
 )
-def pipeline_summary(spark, sf):
+def summary_record(spark, sf):
     r = rets(spark, sf).agg(F.count("ret").alias("rows"), F.avg("ret").alias("mean"))
     m = macro(spark, sf).agg(F.count("value").alias("rows"))
     p = panel(spark, sf).agg(F.count_distinct("ts").alias("dates"))
-    return rounded(market.pipeline_summary(returns=r, macro=m, panel=p))
+    return rounded(market.summary_record(returns=r, macro=m, panel=p))
 
 
 # --- fills, returns, resampling
@@ -276,8 +276,8 @@ def quality_summary(spark, sf):
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0.0 WHEN event_id % 7 = 1 THEN 0.0 ELSE value END AS value,
-    CASE WHEN try_cast(event_type AS DOUBLE) IS NULL THEN 0.0 END AS event_type FROM events"""
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST(0 AS DOUBLE) WHEN event_id % 7 = 1 THEN 0.0 ELSE value END AS value,
+    CASE WHEN try_cast(event_type AS DOUBLE) IS NULL THEN CAST(0 AS DOUBLE) END AS event_type FROM events"""
 )
 def sanitize(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")

@@ -176,7 +176,7 @@ def labels(r):
 
 @query(
     with_small(
-        f"""SELECT portfolio, {rnd('risk_score')} AS risk_score, risk_level, {rnd('least(greatest(base * tilt, 0.8), 1.2)')} AS position_recommendation, reg AS current_regime,
+        f"""SELECT portfolio, {rnd('risk_score')} AS risk_score, risk_level, CAST({rnd('least(greatest(base * tilt, 0.8), 1.2)')} AS DOUBLE) AS position_recommendation, reg AS current_regime,
         (CASE WHEN mdd < -0.15 THEN 1 ELSE 0 END) + (CASE WHEN sh < 0.5 THEN 1 ELSE 0 END) + (CASE WHEN vol > 0.3 THEN 1 ELSE 0 END)
           + (CASE WHEN risk_score > 70 THEN 1 ELSE 0 END) + (CASE WHEN reg IN ('High Vol', 'Low Vol') THEN 1 ELSE 0 END) AS n_recommendations
         FROM (SELECT *, CASE WHEN risk_score < 30 THEN 'Low' WHEN risk_score < 60 THEN 'Medium' ELSE 'High' END AS risk_level,

@@ -166,7 +166,7 @@ def regime_block_bootstrap(returns: DataFrame, regimes: DataFrame, n_sims: int,
     start = F.floor(F.col("_u") * F.col("_n")).cast("long")
     sims = sims.select("sim_id", "step", "label", ((start + F.col("step") - F.col("_run0")) % F.col("_n")).alias("_pos"))
     donors = reg.select("label", "_pos", order).join(r.select(order, "asset", F.log1p(col).alias("log_ret")), order).drop(order)
-    return sims.join(donors, ["label", "_pos"]).select("sim_id", "step", "asset", "label", "log_ret")
+    return sims.join(donors, ["label", "_pos"]).select(F.col("sim_id").cast("long").alias("sim_id"), "step", "asset", "label", "log_ret")
 
 
 def portfolio_paths(paths: DataFrame, weights: DataFrame, rebalance: str = "daily") -> DataFrame:

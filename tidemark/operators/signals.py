@@ -213,16 +213,16 @@ def feature_importance(models: DataFrame, key: Sequence[str] = ("label",)) -> Da
     return models.select(*key, F.explode("coef").alias("_b")).groupBy(*key).agg(F.avg(F.abs("_b")).alias("mean_abs_coef"))
 
 
-def risk_overlay(df: DataFrame, col="signal", ret="returns", min_scale=0.3, mode="reference", key=("asset", "label"), order="ts") -> DataFrame:
+def risk_overlay(df: DataFrame, col="signal", ret="returns", min_scale=0.3, mode="profit_peak", key=("asset", "label"), order="ts") -> DataFrame:
     """Scale signals by the drawdown of their own running profit within (asset, label).
 
-    ``reference``: drawdown relative to the peak of the summed profit, NULL at a peak of 0; it only bites
+    ``profit_peak``: drawdown relative to the peak of the summed profit, NULL at a peak of 0; it only bites
     while the peak is negative. ``corrected``: relative to one plus the peak.
     """
     d = running(df, key, {"_eq": ("sum", F.col(col) * F.col(ret))}, order)
     d = running(d, key, {"_peak": ("max", "_eq")}, order)
     peak = F.col("_peak")
-    base = F.when(peak != 0, peak) + 1e-6 if mode == "reference" else 1 + peak
+    base = F.when(peak != 0, peak) + 1e-6 if mode == "profit_peak" else 1 + peak
     scale = 1 - F.try_divide(F.col("_eq") - peak, base)
     scale = F.when(scale.isNotNull(), F.least(F.greatest(scale, F.lit(min_scale)), F.lit(1.0)))
     return d.withColumn(col, F.col(col) * scale).drop("_eq", "_peak")
@@ -235,7 +235,7 @@ def generate_signals(
     *,
     meta: bool = True,
     overlay: bool = True,
-    overlay_mode: str = "reference",
+    overlay_mode: str = "profit_peak",
     use_regimes: bool = True,
     zscore: bool = True,
     tanh: bool = True,

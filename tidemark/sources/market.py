@@ -135,7 +135,7 @@ def json_summary(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("summary"))
 
 
-def pipeline_summary(**stages: DataFrame) -> DataFrame:
+def summary_record(**stages: DataFrame) -> DataFrame:
     """One record from the one-row summaries of all stages; columns get the stage name as prefix.
 
     Every input is an ungrouped aggregate, hence one row, which is what makes the keyless joins safe.
