@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import BARS, MACRO, MANY, RETS, bars, full, macro, many, mrets, r6, rets, rnd, rounded, sql, with_mrets, with_rets
+from tidemark.catalog.base import BARS, MACRO, RETS, full, macro, mrets, r6, rets, rnd, rounded, sql, with_mrets, with_rets
 from tidemark.functions import rolling as R
 from tidemark.operators import features as ft
 from tidemark.plans.series import long_series, running, series
@@ -322,4 +322,3 @@ def long_series_features(spark, sf):
 
 ORACLES["long_series_features"] = f"""WITH rets AS (SELECT event_type AS asset, ts AS t, event_id, ts, value / 100 AS ret FROM events)
 SELECT asset, CAST(ts AS VARCHAR) AS at, {rnd(m('ret', 20))} AS mean, {rnd(s('ret', 21))} AS std, {rnd(f'sum(ret) OVER ({W} ROWS UNBOUNDED PRECEDING)')} AS cum_sum FROM rets"""
-_ = (bars, many, MANY)

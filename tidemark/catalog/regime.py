@@ -242,4 +242,3 @@ def compare_to_benchmark(spark, sf):
     return rounded(d.drop("p_value", "is_significant"))
 
 
-_ = BARS

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import BARS, MACRO, PANEL, PORT, RETS, macro, mrets, panel, portfolio, rets, rnd, rounded, sql, with_mrets, with_panel, with_port, with_rets
+from tidemark.catalog.base import BARS, MACRO, RETS, macro, mrets, panel, portfolio, rets, rnd, rounded, sql, with_mrets, with_panel, with_rets
 from tidemark.operators import risk
 
 QUERIES, ORACLES = {}, {}
@@ -386,6 +386,3 @@ def performance_text(spark, sf):
 )
 def returns_summary(spark, sf):
     return rounded(risk.returns_summary(mrets(spark, sf), ["asset"]), skew=4, kurt=4)
-
-
-_ = (PANEL, PORT, with_port)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import BARS, MANY, PANEL, RETS, mrets, panel, portfolio, rnd, rounded, sql, with_mrets
+from tidemark.catalog.base import BARS, PANEL, RETS, mrets, panel, portfolio, rnd, rounded, sql, with_mrets
 from tidemark.functions.draws import poisson1_sql, uniform_sql
-from tidemark.operators import regime as rg
 from tidemark.operators import resample as rs
 from tidemark.operators import validate as va
 from tidemark.session import checkpoint
@@ -283,6 +282,3 @@ def paired_t_test(spark, sf):
     r = mrets(spark, sf)
     d = r.join(r.groupBy("ts").agg(F.avg("ret").alias("b")), "ts")
     return rounded(va.paired_t_test(d, "ret", "b", ["asset"]).drop("p_value", "is_significant"))
-
-
-_ = (MANY, rg)

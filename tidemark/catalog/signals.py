@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import MANY, RETS, mrets, rnd, rounded, sql
 from tidemark.functions import rolling as R
-from tidemark.operators import features as ft
 from tidemark.operators import signals as sg
 from tidemark.plans.series import series
 
@@ -193,6 +192,3 @@ def adjust_by_forecast(spark, sf):
     a = sg.adjust_by_forecast(s.withColumn("penalised", F.col("signal")), "realized_volatility", col="penalised")
     b = sg.adjust_by_forecast(a.withColumn("filtered", F.col("signal")), "realized_volatility", 0.1, False, "filtered")
     return rounded(b.select("asset", "ts", "penalised", "filtered"), penalised=4)
-
-
-_ = ft
