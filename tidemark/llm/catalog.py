@@ -80,3 +80,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), "crc32(CAST(doc_id AS STRING)) % 5 != 0")
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without sentences of spans that occurred before."""
+    from tidemark.llm.substring import remove_repeats
+
+    d = remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.length("text").cast("long").alias("n_kept"), "n_removed", "n_spans", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with all others."""
+    from tidemark.llm.topk import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))

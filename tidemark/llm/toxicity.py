@@ -24,7 +24,9 @@ from tidemark.llm.common import column, text_batches, worker_state
 WINDOW_WORDS = 4
 #: Put before every window and into both dictionaries: the fixed cost of a match is then paid on both sides.
 LEAD = b" one two three four five six seven "
-LEVEL = 1
+LEVEL = 3
+#: Longer words also count by their first so many letters.
+STEM = 5
 #: Windows that gain at least so many bytes are counted.
 STEPS = (2, 3, 4, 5, 6)
 _WINDOWS = re.compile(r"\S+(?:\s+\S+){0,%d}" % (WINDOW_WORDS - 1))
@@ -70,7 +72,7 @@ class ToxicModel:
 
 
 def telling_words(toxic: Sequence[str], ordinary: Sequence[str], least: int = 10, ratio: float = 15.0) -> list[str]:
-    """Words of toxic texts, the most telling last: those that follow many different words there, and few elsewhere.
+    """Words and stems of toxic texts, the most telling last: those that follow many different words there, and few elsewhere.
 
     Counting different words before, not uses, keeps copies of one text from lending weight to its words.
     """
@@ -80,7 +82,10 @@ def telling_words(toxic: Sequence[str], ordinary: Sequence[str], least: int = 10
         for t in set(texts):
             ws = t.lower().split()
             n += len(ws)
-            pairs.update(zip(["", *ws], ws))
+            for before, w in zip(["", *ws], ws):
+                pairs.add((before, w))
+                if len(w) > STEM:
+                    pairs.add((before, w[:STEM]))
         return Counter(w for _, w in pairs), max(n, 1)
 
     (a, na), (b, nb) = spread(toxic), spread(ordinary)
@@ -112,7 +117,7 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], dictionary_bytes: in
         ordinary = zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to choose from: all of them
         ordinary = b"".join(samples)[:dictionary_bytes]
-    found = "".join(f" {w} " for w in telling_words(toxic, plain, least=min(10, max(3, len(toxic) // 80))))
+    found = "".join(f" {w}" for w in telling_words(toxic, plain, least=min(10, max(3, len(toxic) // 40))))
     model = ToxicModel(ordinary, found.encode()[-dictionary_bytes:], (0.0,) * (len(STEPS) + 3))
     held = [r for i, r in enumerate(rows) if not i % 3] if len(rows) >= 60 else rows
     x = np.array([model.features(t) for t, _ in held])
