@@ -88,7 +88,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring import remove_repeats
 
     d = remove_repeats(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.length("text").cast("long").alias("n_kept"), "n_removed", "n_spans", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    return d.select("row.doc_id", F.length("text").cast("long").alias("n_kept"), "n_removed", "n_spans", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 @query
@@ -97,3 +97,20 @@ def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.topk import top_products
 
     return top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes of 50-byte strings that occur in a document before."""
+    from tidemark.llm.suffix import repeated_strings
+
+    d = repeated_strings(table(spark, sf_dir, "documents"), length=50)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with four fifths of their word 5-grams in common."""
+    from tidemark.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

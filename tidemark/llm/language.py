@@ -163,23 +163,46 @@ def train(docs: DataFrame, use: Column, max_rows: int = 4_000, doc_id: str = "do
     return fit(np.array([np.frombuffer(r["x"], "<f4") for r in rows]), [r["lang"] for r in rows])
 
 
+def _guess(model: LanguageModel, texts: pa.Array, lettered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language names and scores; ``und`` and 0 for texts without a letter, or all where nothing was learned."""
+    names = np.array([*model.languages, UNDETERMINED], object)
+    ok = lettered.to_numpy(zero_copy_only=False).astype(bool)
+    lang, score = np.full(len(ok), len(names) - 1), np.zeros(len(ok))
+    if len(names) > 1 and ok.any():
+        lang[ok], score[ok] = model.predict(texts.filter(lettered).to_pylist())
+    return names[lang], score
+
+
+def _lettered(text: str) -> Column:
+    return F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text.
 
     A text that is null or has no letter is ``und`` with score 0, as all are where nothing was learned. Repeated rows
     are predicted each; other columns are ignored; no documents, no rows.
     """
-    kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = np.array([*model.languages, UNDETERMINED], object)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
-            ok = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            lang, score = np.full(b.num_rows, len(names) - 1), np.zeros(b.num_rows)
-            if len(names) > 1 and ok.any():
-                lang[ok], score[ok] = model.predict(b.column(1).filter(b.column(2)).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[lang], pa.string()), pa.array(score)], names=schema.names)
-
-    lettered = F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"), lettered.alias("ok")).mapInArrow(run, schema)
+            lang, score = _guess(model, b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
+
+    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"), _lettered(text).alias("ok")).mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.25, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose language is known with a score of at least ``least``.
+
+    Texts that are null or have no letter go; where nothing was learned, all go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches):
+            lang, score = _guess(model, b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["row"]).filter(pa.array((lang != UNDETERMINED) & (score >= least)))
+
+    d = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(text).alias("text"), _lettered(text).alias("ok"))
+    return d.mapInArrow(run, T.StructType([d.schema["row"]])).select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, checkpoint, column, lookup
@@ -75,11 +75,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int =
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents the mix takes, each as often as it takes it, with their columns.
 
-    Rows equal in all columns are one row here, which takes the copies of all. See ``mix_plan``.
+    Rows equal in id, source and text are one document here, which takes the copies of all. See ``mix_plan``.
     """
     plan = mix_plan(docs, weights, seed, doc_id, text, source).filter("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
-    once = docs.dropDuplicates() if docs.columns else docs
-    same = column(doc_id).eqNullSafe(F.col("_id")) & column(source).cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(column(text)) == F.col("_key"))
-    d = once.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return d.select(*[column(c) for c in docs.columns])
+    plan = plan.groupBy("doc_id", "source", "key").agg(F.sum("copies").cast("int").alias("copies"))
+    d = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(doc_id).alias("_id"), column(source).cast("string").alias("_source"), F.xxhash64(column(text)).alias("_key"))
+    d = d.join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_key") == F.col("key")))
+    once = F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy("_key"))
+    d = d.withColumn("_nth", once).filter("_nth = 1")
+    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("row.*")

@@ -84,36 +84,40 @@ def repeated_spans(docs: DataFrame, span_sentences: int = 3, span_words: int = 2
 
 
 def remove_repeats(docs: DataFrame, span_sentences: int = 3, span_words: int = 20, long_words: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, the text without sentences of repeated spans, and ``n_removed, n_spans`` (characters, maximal spans).
+    """``row, text, n_removed, n_spans``: the other columns as a struct, what is left of the text, and how many characters
+    and maximal spans are gone; ``without_repeats`` gives the documents.
 
     Null and empty texts stay as they are. Rows equal in id and text are one document and lose the same; null ids come
     first in the order. A text whose sentences all occurred before becomes empty. No documents, no rows.
     """
     spans = repeated_spans(docs, span_sentences, span_words, long_words, doc_id, text)
-    per_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    same = column(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(column(text)) == F.col("_key"))
-    d = docs.join(per_doc, same, "left").drop("_id", "_key")
-    schema = T.StructType([T.StructField(text, T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
-    names = [c for c in docs.columns if c != text]
-    out = T.StructType([*[docs.schema[c] for c in names], *schema.fields])
+    per_doc = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    row = F.struct(*[column(c) for c in docs.columns if c != text]).alias("row")
+    d = docs.select(row, column(text).alias("text"), column(doc_id).alias("_id"), F.xxhash64(column(text)).alias("_key"))
+    d = d.join(per_doc, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")), "left").select("row", "text", "spans")
+    out = T.StructType([d.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans_ = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
-            kept, removed, n = [], [], []
-            for t, list_ in zip(texts, spans_, strict=True):
-                at, parts, gone, many, last = 0, [], 0, 0, -1
-                for s in list_ or ():
-                    i, j = s["start"], s["end"]
-                    if i > last:
-                        many += 1
-                        parts.append(t[at:i])
-                    gone += max(0, j - max(i, at)) if i <= last else j - i
-                    at = last = max(at, j)
-                kept.append(t if not list_ else "".join(parts) + t[at:])
-                removed.append(gone)
-                n.append(many)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())], names=out.names)
-
-    d = d.select(*[column(c) for c in names], column(text), "_spans").mapInArrow(cut, out)
-    return d.select(*[column(c) for c in docs.columns], "n_removed", "n_spans")
+            kept, removed, many = b.column(1).to_pylist(), [0] * b.num_rows, [0] * b.num_rows
+            for i, spans_ in enumerate(b.column(2).to_pylist()):
+                if not spans_:
+                    continue
+                merged = []
+                for s in spans_:
+                    if merged and s["start"] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], s["end"])
+                    else:
+                        merged.append([s["start"], s["end"]])
+                edges = [0, *[x for m in merged for x in m], len(kept[i])]
+                removed[i], many[i] = sum(e - s for s, e in merged), len(merged)
+                kept[i] = "".join(kept[i][s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(many, pa.int64())], names=out.names)
+
+    return d.mapInArrow(cut, out)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule: int) -> DataFrame:
+    """The documents, with all columns, without repeated spans; those of which nothing is left, or which had no text, go."""
+    d = remove_repeats(docs, doc_id=doc_id, text=text, **rule).filter(r"text RLIKE '\\S'")
+    return d.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
