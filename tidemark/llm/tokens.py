@@ -18,10 +18,12 @@ import numpy as np
 from tidemark.llm.common import worker_state
 
 #: Words a worker remembers; when full, it starts anew. Bounds memory, not results.
-REMEMBERED = 300_000
-#: Fixed value: the split of byte-level BPE, for texts in which letters are ``[^\W\d_]``.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Characters for which that is so, and white space is the same to all libraries: no digits other than 0-9, no separators 1C-1F.
+REMEMBERED = 350_000
+#: Letters below U+0250.
+LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: Fixed value: the split of byte-level BPE, for texts of the characters of ``PLAIN``; the commonest case comes first.
+SPLIT = rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+"
+#: Characters of which all libraries think the same: no other letters or digits, no separators 1C-1F.
 PLAIN = r"[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]*"
 
 #: Fixed value: how byte-level vocabularies write the 256 bytes: printable Latin-1 as itself, the others from U+0100 on.
@@ -42,6 +44,7 @@ class Encoder:
         self.split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.find, self.plain = re.compile(SPLIT).findall, re.compile(PLAIN).fullmatch
+        self.code = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tok.get_vocab_size())]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.current: set[str] = set()
@@ -51,11 +54,12 @@ class Encoder:
         if len(self.known) + len(words) > REMEMBERED:
             self.older, self.known = self.known, {}
             words = list(set(words).union(self.current))
-        tokenize, older, known, dtype = self.tok.model.tokenize, self.older, self.known, self.dtype
+        tokenize, older, known, code = self.tok.model.tokenize, self.older, self.known, self.code
         for w in words:
             ids = older.get(w)
             if ids is None:
-                ids = np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))], dtype).tobytes()
+                spelt = w.replace(" ", "Ġ") if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = b"".join([code[t.id] for t in tokenize(spelt)])
             known[w] = ids
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
