@@ -25,6 +25,8 @@ from tidemark.llm.common import checkpoint
 
 #: Bytes of the strings that compete for an anchor. Shorter ones recur by chance, longer ones make more anchors.
 GRAM = 24
+#: Places worked on at a time.
+STEP = 1 << 16
 UNIQUE, REPEAT, LOOK_UP = 0, 1, 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
 
@@ -96,30 +98,28 @@ class Suffixes:
 
     def __init__(self, c: Chunk, length: int) -> None:
         self.length, n = length, len(c.data)
-        one = byte_codes()[c.data]
-        two = joined(one, 1, one, 1)
-        four = joined(two, 2, two, 2)
-        eight = joined(four, 4, four, 4)
-        sixteen = joined(eight, 8, eight, 8)
-        self.gram = joined(sixteen, 16, eight, 8)
-        del one, two, four, sixteen, eight
-        order = mixed(self.gram)
-        span, wide = 1, length - GRAM + 1  # strings compared so far, and in all
-        best, at = order, np.arange(len(order), dtype="i4")
-        while span < wide:
-            step = min(span, wide - span)
-            n_left = len(best) - step
-            if n_left <= 0:
-                best, at = best[:0], at[:0]
-                break
-            less = best[step:] < best[:n_left]
-            best, at = np.where(less, best[step:], best[:n_left]), np.where(less, at[step:], at[:n_left])
-            span += step
-        whole = np.zeros(max(n - length + 1, 0) + 1, bool)  # places where a string fits into its document
+        codes, wide, places = byte_codes(), length - GRAM + 1, max(n - length + 1, 0)
+        self.gram, at = np.empty(places + wide - 1 if places else 0, "u8"), np.empty(places, "i4")
+        for low in range(0, places, STEP):  # pieces that fit the cache
+            high = min(low + STEP, places)
+            one = codes[c.data[low : high + length - 1]]
+            two = joined(one, 1, one, 1)
+            four = joined(two, 2, two, 2)
+            eight = joined(four, 4, four, 4)
+            gram = joined(joined(eight, 8, eight, 8), 16, eight, 8)
+            self.gram[low : low + len(gram)] = gram
+            best, place, span = mixed(gram), np.arange(len(gram), dtype="i4"), 1
+            while span < wide:  # strings compared so far, of those in a window
+                step = min(span, wide - span)
+                less = best[step:] < best[:-step]
+                best, place = np.where(less, best[step:], best[:-step]), np.where(less, place[step:], place[:-step])
+                span += step
+            at[low:high] = place + low
+        whole = np.zeros(places + 1, bool)  # places where a string fits into its document
         for s, e in zip(c.starts, c.ends, strict=True):
             if e - s >= length:
                 whole[s : e - length + 1] = True
-        place = np.flatnonzero(whole[:-1]) if len(at) else np.empty(0, "i8")
+        place = np.flatnonzero(whole[:-1])
         anchor = at[place]
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1))) if len(place) else np.empty(0, bool)
         begin = np.flatnonzero(new)
@@ -128,7 +128,7 @@ class Suffixes:
         self.doc = np.searchsorted(c.ends, self.first, "right")
         self.docs = c.ids
         stretch = mixed(self.strings(self.first) * np.uint64(3) + self.strings(self.last) + (a - self.first).astype("u8") * np.uint64(0x5851F42D4C957F2D) + (self.last - self.first).astype("u8"))
-        self.key, self.stretch = order[a], stretch
+        self.key, self.stretch = mixed(self.gram[a]), stretch
 
     def strings(self, place: np.ndarray) -> np.ndarray:
         """Hashes of the strings of ``length`` bytes at these places."""
@@ -179,7 +179,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    chunks = chunk_table(docs, doc_id=doc_id, text=text)
+    chunks = chunk_table(docs, 1_000_000, doc_id, text)
     buckets = n_buckets(chunks)
 
     def stretches(row: dict) -> tuple[np.ndarray, np.ndarray]:
