@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import _FACTOR, Chunk, answers, byte_codes, chunk_table, exchange, mixed, n_buckets
-from tidemark.llm.common import checkpoint, column, worker_state
+from tidemark.llm.common import checkpoint, column, lookup, worker_state
 from tidemark.llm.components import components
 from tidemark.llm.totals import running_totals
 
@@ -101,7 +101,7 @@ def sets_of(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     def keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([*shingle_sets(Chunk(row), size), np.empty(0, "u8")]), return_counts=True)
 
-    counted = exchange(chunks, keys, count_documents, n_buckets(chunks), key_bits=40)
+    counted = exchange(chunks, keys, count_documents, n_buckets(chunks), key_bits=32)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,30 +206,34 @@ def similar_documents(docs: DataFrame, percent: int = 80, size: int = SIZE, doc_
     """
     sets = sets_of(docs, size, percent, doc_id, text)
     classes = checkpoint(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = sets.filter("short IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    reps = checkpoint(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "digest", "shingles", "short"))
+    ours = classes.select("digest", F.col("rep").alias("doc_id"))
+    reps = sets.filter("short IS NOT NULL AND doc_id IS NOT NULL").select("digest", "doc_id", "n_shingles", "short").join(ours, ["digest", "doc_id"]).dropDuplicates(["digest"])
+    reps = checkpoint(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "digest", "short"))
     lists = reps.select("rep", F.explode("short").alias("shingle"))
     first = lists.groupBy("shingle").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).filter("a <> _last").drop("_last")
     stars = lists.join(first, "shingle").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     family = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    r = running_totals(reps.join(family, "rep"), [F.col("family"), F.col("n"), F.col("rep"), F.col("digest")], ["n"])
+    r = running_totals(reps.drop("short").join(family, "rep"), [F.col("family"), F.col("n"), F.col("rep"), F.col("digest")], ["n"])
     r = checkpoint(r.withColumn("block", F.floor((F.col("run_n") - F.col("n")) / BLOCK)))
     spans = r.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = spans.select("family", F.col("block").alias("second"), F.col("least").alias("least2"))
     across = spans.join(other, "family").filter((F.col("second") > F.col("block")) & (100 * F.col("most") >= percent * F.col("least2")))
-    across = across.select("family", F.col("block").alias("first"), "second")
-    inside = r.select(F.col("block").alias("first"), F.col("block").alias("second"), F.lit(0).alias("side"), "rep", "shingles", "short")
-    sides = across.select("family", "first", "second", F.explode(F.array(F.struct(F.col("first").alias("block"), F.lit(1).alias("side")), F.struct(F.col("second").alias("block"), F.lit(2).alias("side")))).alias("x")).select("family", "first", "second", "x.*")
-    crossing = r.join(sides, ["family", "block"]).select("first", "second", "side", "rep", "shingles", "short")
+    both = F.array(F.struct("block", F.lit(1).alias("side")), F.struct(F.col("second").alias("block"), F.lit(2).alias("side")))
+    sides = across.select("family", F.col("block").alias("first"), "second", F.explode(both).alias("x")).select("family", "first", "second", "x.*")
+    inside = r.select(F.col("block").alias("first"), F.col("block").alias("second"), F.lit(0).alias("side"), "rep", "digest")
+    crossing = r.join(sides, ["family", "block"]).select("first", "second", "side", "rep", "digest")
+    tasks = checkpoint(inside.union(crossing)).withColumnRenamed("rep", "doc_id")
+    # of rows that repeat both id and set, each is sent; they are the same to the search
+    sent = lookup(sets.filter("short IS NOT NULL").select("doc_id", "digest", "shingles", "short"), tasks, ["digest", "doc_id"])
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rep", kind="stable")
+        f = f.drop_duplicates(["doc_id", "digest"]).sort_values("doc_id", kind="stable")
         sets_, short = [np.frombuffer(s, "u8") for s in f["shingles"]], [np.asarray(s, "i8").view("u8") for s in f["short"]]
-        ids = f["rep"].to_numpy()
+        ids = f["doc_id"].to_numpy()
         pairs = search(sets_, short, f["side"].to_numpy(), percent)
         return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype="int64")
 
-    links = inside.union(crossing).groupBy("first", "second").applyInPandas(link, "a long, b long")
+    links = sent.groupBy("first", "second").applyInPandas(link, "a long, b long")
     joined = components(links).select(F.col("node").alias("rep"), "component")
     member = classes.join(joined, "rep", "left").select("digest", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(member, ["digest", "n_shingles"], "left")
