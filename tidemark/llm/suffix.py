@@ -6,7 +6,7 @@ chunk): about one place in fourteen, and still no repeat is missed. An index ent
 that of the whole stretch of strings the anchor stands for, and the smallest document that has it.
 
 Batches enter as the smallest level; two levels of like size merge into one of twice the size, so a bucket holds
-logarithmically many. Each batch is then merge-scanned against all levels: a stretch that a smaller document has is a
+logarithmically many and a key is moved as often. When the last batch is in, the levels merge into one and each batch is scanned against it: a stretch that a smaller document has is a
 repeat as a whole; one whose anchor alone recurs (the ends of repeated passages) is looked up string by string, in a
 second exchange of the same kind.
 """
@@ -31,66 +31,63 @@ UNIQUE, REPEAT, LOOK_UP = 0, 1, 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
 
 
-class Level(tuple):
-    """Sorted keys and the smallest document of each."""
+Level = tuple[np.ndarray, np.ndarray]
 
-    @staticmethod
-    def merged(a: Level, b: Level) -> Level:
-        keys, docs = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
-        return Level((keys[first], docs[first]))
+
+def _distinct(keys: np.ndarray, docs: np.ndarray, order: np.ndarray) -> tuple[Level, np.ndarray]:
+    """Distinct keys in ``order`` with the smallest document of each; marks where a key begins."""
+    k = keys[order]
+    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(new)) if len(k) else docs
+    return (k[new], least), new
+
+
+def merged(a: Level, b: Level) -> Level:
+    """Two sorted levels as one; the stable sort merges their runs."""
+    keys, docs = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    return _distinct(keys, docs, np.argsort(keys, kind="stable"))[0]
 
 
 class Family:
-    """Levels of geometrically growing sizes."""
+    """Levels of geometrically growing sizes: sorted keys, and the smallest document of each."""
 
     def __init__(self) -> None:
         self.levels: list[Level] = []
 
     def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        self.levels.append(Level((keys, docs)))
+        self.levels.append((keys, docs))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             last = self.levels.pop()
-            self.levels.append(Level.merged(self.levels.pop(), last))
-
-    def smallest(self, keys: np.ndarray) -> np.ndarray:
-        """Smallest document of each key over all levels; the largest number where none has it."""
-        out = np.full(len(keys), np.iinfo("i8").max)
-        for own, docs in self.levels:
-            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-            out = np.where(own[at] == keys, np.minimum(out, docs[at]), out)
-        return out
-
-    def recurring(self, keys: np.ndarray, bits: int) -> np.ndarray:
-        """Whether the leading part of a key, without its last ``bits``, belongs to other keys too."""
-        shift = np.uint64(bits)
-        n = np.zeros(len(keys), "i8")
-        low, high = (keys >> shift) << shift, keys | np.uint64((1 << bits) - 1)
-        for own, _ in self.levels:
-            n += np.searchsorted(own, high, "right") - np.searchsorted(own, low)
-            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-            n -= own[at] == keys
-        return n > 0
-
-
-def _family(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray]) -> Family:
+            self.levels.append(merged(self.levels.pop(), last))
+
+    def whole(self) -> Level:
+        """All levels as one, smallest first."""
+        while len(self.levels) > 1:
+            last = self.levels.pop()
+            self.levels.append(merged(self.levels.pop(), last))
+        return self.levels[0]
+
+
+def _whole(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray]) -> Level:
     family = Family()
     for k, d in zip(keys, docs, strict=True):
         family.add(k, d)
-    return family
+    return family.whole()
 
 
 def judge_stretches(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray], bits: int) -> list[np.ndarray]:
-    """``bits`` of a key, the last ones, are the stretch's."""
-    family = _family(keys, docs)
-    return [np.where(family.smallest(k) < d, REPEAT, np.where(family.recurring(k, bits), LOOK_UP, UNIQUE)) for k, d in zip(keys, docs, strict=True)]
+    """``bits`` of a key, the last ones, are the stretch's; what is before them may recur with other stretches."""
+    own, least = _whole(keys, docs)
+    lead = own >> np.uint64(bits)
+    next_ = lead[1:] == lead[:-1]
+    recurs = np.concatenate(([False], next_)) | np.concatenate((next_, [False]))
+    found = [np.searchsorted(own, k) for k in keys]
+    return [np.where(least[at] < d, REPEAT, np.where(recurs[at], LOOK_UP, UNIQUE)) for at, d in zip(found, docs, strict=True)]
 
 
 def judge_strings(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray]) -> list[np.ndarray]:
-    family = _family(keys, docs)
-    return [np.where(family.smallest(k) < d, REPEAT, UNIQUE) for k, d in zip(keys, docs, strict=True)]
+    own, least = _whole(keys, docs)
+    return [np.where(least[np.searchsorted(own, k)] < d, REPEAT, UNIQUE) for k, d in zip(keys, docs, strict=True)]
 
 
 class Suffixes:
@@ -140,12 +137,11 @@ class Suffixes:
 
 def _unique(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct sorted keys, the smallest document of each, and for each input row where its key is."""
-    order = np.lexsort((docs, keys))
-    k = keys[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
-    back = np.empty(len(k), "i8")
+    order = np.argsort(keys)
+    (own, least), new = _distinct(keys, docs, order)
+    back = np.empty(len(keys), "i8")
     back[order] = np.cumsum(new) - 1
-    return k[new], docs[order][new], back
+    return own, least, back
 
 
 def _stretch_bits(buckets: int) -> int:
