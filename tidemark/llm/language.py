@@ -89,8 +89,10 @@ def _vote(machines: Sequence[Machine], n: int, grams: np.ndarray, start: np.ndar
 
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """L2-regularised squared hinge by accelerated gradient steps, classes weighted alike; columns are standardised first."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-4
-    z = np.hstack([(x - mean) / scale / np.sqrt(x.shape[1]), np.ones((len(x), 1), x.dtype)])
+    root = x.dtype.type(np.sqrt(x.shape[1]))
+    mean, scale = x.mean(axis=0), (x.std(axis=0) + x.dtype.type(1e-4)) * root
+    z = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    np.divide(np.subtract(x, mean, out=z[:, :-1]), scale, out=z[:, :-1])
     c = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x.dtype)
     v = np.ones(z.shape[1], z.dtype)
     for _ in range(12):
@@ -102,7 +104,7 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150)
         loss = np.maximum(0, 1 - y * (z @ u))
         new = u - rate * (penalty * u - 2 * (z.T @ (c * y * loss)))
         u, w = new + t / (t + 3) * (new - w), new
-    weights = w[:-1] / scale / np.sqrt(x.shape[1])
+    weights = w[:-1] / scale
     return weights.astype("f4"), float(w[-1] - mean @ weights)
 
 
@@ -121,7 +123,7 @@ def fit(histograms: np.ndarray, labels: Sequence[str]) -> LanguageModel:
     """Families and machines from histograms (rows that sum to one) and their languages."""
     languages = tuple(sorted(set(labels)))
     y = np.array([languages.index(v) for v in labels], "i8")
-    x = histograms.astype("f4")
+    x = histograms.astype("f4", copy=False)
     if not languages:
         return LanguageModel((), (), (), ())
     families = group_languages(np.array([x[y == k].mean(axis=0) for k in range(len(languages))])) if len(languages) > 1 else [[0]]
@@ -136,7 +138,7 @@ def fit(histograms: np.ndarray, labels: Sequence[str]) -> LanguageModel:
     return LanguageModel(languages, tuple(map(tuple, families)), pairs(families), tuple(pairs([[k] for k in f]) for f in families))
 
 
-def train(docs: DataFrame, use: Column, max_rows: int = 4_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, use: Column, max_rows: int = 2_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fit on a bounded sample: at most ``max_rows`` whole texts, as many of each language, by the hash of their id.
 
     Rows where ``use`` does not hold, or text or language is null, take no part.
