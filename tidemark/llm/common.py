@@ -46,12 +46,15 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def worker_state() -> dict[str, Any]:
-    """A dictionary that lives as long as the Python worker, across tasks."""
+def worker_state(owner: str) -> dict[str, Any]:
+    """What an operator keeps in a Python worker across tasks; what another operator kept there is let go."""
     name = "_tidemark_llm_worker"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-    return sys.modules[name].__dict__
+    held = sys.modules[name].__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["state"] = owner, {}
+    return held["state"]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

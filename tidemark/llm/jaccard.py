@@ -34,7 +34,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash factor and of its inverse, by place; kept by the worker."""
-    held = worker_state()
+    held = worker_state("jaccard")
     if len(held.get("powers", ((),))[0]) < n:
         size = max(n, 1 << 21)
         up = np.cumprod(np.full(size, _FACTOR, "u8"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import binary_array, column, text_batches
+from tidemark.llm.common import binary_array, column, text_batches, worker_state
 
 #: Buckets of the trigram hash.
 BUCKETS = 4096
@@ -154,7 +154,7 @@ def train(docs: DataFrame, use: Column, max_rows: int = 2_000, doc_id: str = "do
     drawn = drawn.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "text")
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches):
+        for b in text_batches(batches, 1_000_000):
             grams, start = trigrams(b.column(1).to_pylist())
             ends = np.append(start[1:], len(grams))
             rows = [np.bincount(grams[i:j], minlength=BUCKETS) / (j - i) for i, j in zip(start, ends, strict=True)]
@@ -167,6 +167,7 @@ def train(docs: DataFrame, use: Column, max_rows: int = 2_000, doc_id: str = "do
 
 def _guess(model: LanguageModel, texts: pa.Array, lettered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Language names and scores; ``und`` and 0 for texts without a letter, or all where nothing was learned."""
+    worker_state("language")
     names = np.array([*model.languages, UNDETERMINED], object)
     ok = lettered.to_numpy(zero_copy_only=False).astype(bool)
     lang, score = np.full(len(ok), len(names) - 1), np.zeros(len(ok))
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches):
+        for b in text_batches(batches, 1_000_000):
             lang, score = _guess(model, b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
@@ -202,7 +203,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.25,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches):
+        for b in text_batches(batches, 1_000_000):
             lang, score = _guess(model, b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0)], names=["row"]).filter(pa.array((lang != UNDETERMINED) & (score >= least)))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, text_batches
+from tidemark.llm.common import column, text_batches, worker_state
 
 #: Where a sentence ends: after a full stop, exclamation or question mark before white space, or at a line's end.
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -64,7 +64,8 @@ def repeated_spans(docs: DataFrame, span_sentences: int = 3, span_words: int = 2
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("key", "start", "end")], T.StructField("hash", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches):
+        worker_state("substring")
+        for b in text_batches(batches, 1_000_000):
             row, start, end, hashes = [], [], [], []
             for at, text_ in enumerate(b.column(1).to_pylist()):
                 found = sentences(text_ or "")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.chunks import Chunk, answers, byte_codes, chunk_table, exchange, joined, mixed, n_buckets
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, worker_state
 
 #: Bytes of the strings that compete for an anchor. Shorter ones recur by chance, longer ones make more anchors.
 GRAM = 24
@@ -94,6 +94,7 @@ class Suffixes:
     """Anchors of a chunk: ``first`` and ``last`` place of the strings each stands for, its ``key`` and its document."""
 
     def __init__(self, c: Chunk, length: int) -> None:
+        worker_state("suffix")
         self.length, n = length, len(c.data)
         codes, wide, places = byte_codes(), length - GRAM + 1, max(n - length + 1, 0)
         self.gram, at = np.empty(places + wide - 1 if places else 0, "u8"), np.empty(places, "i4")

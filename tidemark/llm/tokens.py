@@ -90,7 +90,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; loaded once per worker."""
-    held = worker_state().setdefault("encoders", {})
+    held = worker_state("tokens").setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]

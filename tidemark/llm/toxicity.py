@@ -49,7 +49,7 @@ class ToxicModel:
         import zstandard
 
         key = ("toxic", hash((self.ordinary, self.toxic)))
-        held = worker_state()
+        held = worker_state("toxicity")
         if key not in held:
             params = zstandard.ZstdCompressionParameters.from_level(LEVEL)
             pair = []
@@ -106,11 +106,16 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], dictionary_bytes: in
     """Dictionaries from two thirds of the rows, calibration from the others."""
     import zstandard
 
-    rows = [(t or "", int(y)) for t, y in zip(texts, labels, strict=True)]
+    rows = [(t or "", int(y > 0)) for t, y in zip(texts, labels, strict=True)]
     y = np.array([v for _, v in rows])
     if not len(y) or y.min() == y.max():
         return ToxicModel(b"", b"", (), float(y.mean()) if len(y) else 0.0)
-    learn = [r for i, r in enumerate(rows) if i % 3]
+    nth = {1: 0, 0: 0}
+    held_out = []
+    for _, v in rows:  # every third of each label
+        held_out.append(nth[v] % 3 == 0)
+        nth[v] += 1
+    learn = [r for r, h in zip(rows, held_out, strict=True) if not h]
     toxic, plain = ([t for t, v in learn if v == k] for k in (1, 0))
     samples = [w for t in plain for w in windows(t)][:100_000]
     try:
@@ -119,7 +124,7 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], dictionary_bytes: in
         ordinary = b"".join(samples)[:dictionary_bytes]
     found = "".join(f" {w}" for w in telling_words(toxic, plain, least=min(10, max(3, len(toxic) // 40))))
     model = ToxicModel(ordinary, found.encode()[-dictionary_bytes:], (0.0,) * (len(STEPS) + 3))
-    held = [r for i, r in enumerate(rows) if not i % 3] if len(rows) >= 60 else rows
+    held = [r for r, h in zip(rows, held_out, strict=True) if h] if len(rows) >= 60 else rows
     x = np.array([model.features(t) for t, _ in held])
     w = _logistic(x, np.array([v for _, v in held], float))
     return ToxicModel(model.ordinary, model.toxic, tuple(map(float, w)))
