@@ -123,6 +123,7 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], dictionary_bytes: in
     except zstandard.ZstdError:  # too few samples to choose from: all of them
         ordinary = b"".join(samples)[:dictionary_bytes]
     found = "".join(f" {w}" for w in telling_words(toxic, plain, least=min(10, max(3, len(toxic) // 40))))
+    found = ".".join([found] * 3)  # fast matching indexes every third place of a dictionary: three alignments
     model = ToxicModel(ordinary, found.encode()[-dictionary_bytes:], (0.0,) * (len(STEPS) + 3))
     held = [r for r, h in zip(rows, held_out, strict=True) if h] if len(rows) >= 60 else rows
     x = np.array([model.features(t) for t, _ in held])
