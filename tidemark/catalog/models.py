@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from tidemark.operators import classify as cl
 from tidemark.operators import hmm
 from tidemark.operators import regime as rg
 from tidemark.plans.series import series
-from tidemark.session import checkpoint
+from tidemark.session import checkpoint, work_path
 
 QUERIES, ORACLES = {}, {}
 A = ["asset"]
@@ -85,7 +84,7 @@ def transition_matrix_model(spark, sf):
 def save_load_hmm(spark, sf):
     """Labels from a model that was written and read back."""
     f, p = fitted(spark, sf, 2)
-    path = tempfile.mkdtemp(prefix="tidemark-") + "/model"
+    path = work_path(spark, "model")
     hmm.save_hmm(spark, p, path)
     return hmm.predict_regimes(f, hmm.load_hmm(spark, path), 5, A).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

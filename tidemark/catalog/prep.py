@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from tidemark.catalog.base import (
 )
 from tidemark.operators import cross, features, prep, risk
 from tidemark.sources import market
+from tidemark.session import work_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,14 +31,14 @@ def query(oracle: str | None = None):
 @query(sql(f"SELECT asset, ts, {rnd('close')} AS close, volume FROM bars", BARS))
 def read_write_bars(spark, sf):
     """Bars written partitioned by asset, and read back with the declared schema."""
-    path = tempfile.mkdtemp(prefix="tidemark-") + "/bars"
+    path = work_path(spark, "bars")
     market.write_bars(bars(spark, sf), path)
     return rounded(market.read_bars(spark, path, schema=market.BARS).select("asset", "ts", "close", "volume"))
 
 
 @query(sql(f"SELECT asset, ts, {rnd('close')} AS close, volume FROM bars", BARS))
 def read_write_bars_csv(spark, sf):
-    path = tempfile.mkdtemp(prefix="tidemark-") + "/bars"
+    path = work_path(spark, "bars")
     market.write_bars(bars(spark, sf), path, fmt="csv")
     return rounded(market.read_bars(spark, path, fmt="csv", schema=bars(spark, sf).drop("asset").schema.add("asset", "string")).select("asset", "ts", "close", "volume"))
 
@@ -93,7 +93,7 @@ def calendar_fill(spark, sf):
 @query(sql(f"SELECT series, ts, {rnd('value')} AS value FROM macro WHERE series IN ('1-URGENT', '2-HIGH')", MACRO))
 def read_macro(spark, sf):
     """Macro levels from a file whose level column is called Price."""
-    path = tempfile.mkdtemp(prefix="tidemark-")
+    path = work_path(spark, "results")
     market.write_results({"macro": macro(spark, sf).withColumnRenamed("value", "Price")}, path)
     return rounded(market.read_macro(spark, f"{path}/macro", ["1-URGENT", "2-HIGH"]))
 
@@ -101,7 +101,7 @@ def read_macro(spark, sf):
 @query()
 def write_results(spark, sf):
     """JSON and CSV outputs, counted after reading back."""
-    path = tempfile.mkdtemp(prefix="tidemark-")
+    path = work_path(spark, "results")
     summary = prep.quality_summary(rets(spark, sf))
     market.write_results({"summary": summary}, path, "json")
     market.write_results({"returns": rets(spark, sf).select("asset", "ts", "ret")}, path, "csv")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from tidemark.catalog.base import r6, rnd
 from tidemark.operators.hmm import HmmParams, Prep
 from tidemark.streaming import bars as sb
 from tidemark.streaming import regimes as sr
+from tidemark.session import work_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,7 +33,7 @@ def source(spark, sf):
 
 def drain(spark, df, mode="append"):
     """Run a stream to the end of its input and read back what it wrote."""
-    out, ckpt = tempfile.mkdtemp(prefix="tidemark-"), tempfile.mkdtemp(prefix="tidemark-")
+    out, ckpt = work_path(spark, "stream"), work_path(spark, "stream-state")
     q = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)

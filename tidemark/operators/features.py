@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.operators.prep import KEY, YEAR, fill_all, macro_join, sanitize, zscore
+from tidemark.plans.attach import attach_series
 from tidemark.plans.ranks import average_rank_share, rank_within
 from tidemark.plans.series import SEQ, Series, number_rows, recurrence, running, series
 
@@ -69,9 +70,20 @@ def ewm(df: DataFrame, specs: Mapping[str, tuple[str, str, float]], key: Sequenc
     both with a = 2/(span+1); ``wilder`` is the recursive form y0 = x0 with a = 1/span. All share the block
     windows of one recurrence.
     """
+    plain = {o: F.col(c) if kind != "std" else F.lit(None).cast("double") for o, (kind, c, n) in specs.items() if n == 1}
+    specs = {o: s for o, s in specs.items() if o not in plain}
+    if plain:
+        df = df.withColumns(plain)
+    if not specs:
+        return df
+    centred = {f"_mu_{o}": F.avg(c) for o, (kind, c, _) in specs.items() if kind == "std"}
     d = number_rows(df, key, order)
+    d = attach_series(d, list(key), order, **centred) if centred else d
     items: dict[str, tuple[float, Column]] = {}
     for o, (kind, c, n) in specs.items():
+        if kind == "std":  # deviations do not change, and squares do not cancel
+            d = d.withColumn(f"_x_{o}", F.col(c) - F.col(f"_mu_{o}")).drop(f"_mu_{o}")
+            c = f"_x_{o}"
         x, has = F.col(c), F.col(c).isNotNull().cast("double")
         if kind == "wilder":
             items[f"_n_{o}"] = (1 - 1 / n, F.when(F.col(SEQ) == 0, x).otherwise(x / n))
@@ -90,7 +102,7 @@ def ewm(df: DataFrame, specs: Mapping[str, tuple[str, str, float]], key: Sequenc
             left = w * w - w2
             m = F.sqrt(spread * w * w / F.when(left > 1e-12 * w * w, left))
         out[o] = m
-    return d.withColumns(out).drop(SEQ, *items)
+    return d.withColumns(out).drop(SEQ, *items, *[f"_x_{o}" for o in specs])
 
 
 def ewm_mean(df, span, col="ret", key=KEY, out="ewm_mean", order="ts") -> DataFrame:

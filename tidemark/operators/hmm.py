@@ -395,7 +395,10 @@ def _scaled(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
 
 
 def regimes_per_series(df: DataFrame, cols: Sequence[str], key: Sequence[str] = ("asset",), k: int = 3, max_iter: int = 100, order: str = "ts", smoothing: int = 5) -> DataFrame:
-    """Fit and label every series with its own model, all in one job. Needs series bounded by the calendar."""
+    """Fit and label every series with its own model, all in one job. Needs series bounded by the calendar.
+
+    All rows stay; a series of fewer than ``10 * k`` rows is not fitted: ``fitted`` is false, state and label are NULL.
+    """
     if not is_bounded(df, order):
         raise ValueError("one model per series needs a DATE order; use the pooled fit_hmm for longer series")
     d = df.select(*key, order, *cols)
@@ -405,11 +408,11 @@ def regimes_per_series(df: DataFrame, cols: Sequence[str], key: Sequence[str] =
         pdf = pdf.sort_values(order)
         raw = pdf[list(cols)].to_numpy(dtype=float)
         if len(pdf) < 10 * k:
-            return pdf.drop(columns=list(cols)).assign(state=-1)
+            return pdf.drop(columns=list(cols)).assign(state=None, fitted=False)
         x = _scaled(raw, raw)
-        return pdf.drop(columns=list(cols)).assign(state=viterbi(x, fit_local(x, k, max_iter)))
+        return pdf.drop(columns=list(cols)).assign(state=viterbi(x, fit_local(x, k, max_iter)), fitted=True)
 
-    out = spread(d, key).groupBy(*key).applyInPandas(run, schema_of(d.drop(*cols), state="int")).filter("state >= 0")
+    out = spread(d, key).groupBy(*key).applyInPandas(run, schema_of(d.drop(*cols), state="int", fitted="boolean"))
     out = smooth_mode(out, smoothing, key, "state", order) if smoothing else out
     return out.withColumn("label", F.get(F.array(*[F.lit(x) for x in names]), F.col("state")))
 
@@ -428,7 +431,7 @@ def walk_forward_confidence(
         pdf = pdf.sort_values(order)
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
         if len(test) == 0 or train[list(cols)].dropna().shape[0] < max(min_rows, history, 10):
-            return test.drop(columns=[*cols, "role"]).assign(state=-1)
+            return test.drop(columns=[*cols, "role"]).assign(state=None)
         ref = train[list(cols)].to_numpy(dtype=float)
         p = fit_local(_scaled(ref, ref), k, max_iter)
         context = pd.concat([train.iloc[-history:], test])
@@ -436,7 +439,8 @@ def walk_forward_confidence(
         return test.drop(columns=[*cols, "role"]).assign(state=path[-len(test) :])
 
     out = spread(d, [*key, "window_id"]).groupBy(*key, "window_id").applyInPandas(run, schema_of(d.drop(*cols, "role"), state="int"))
-    return confidence_map(out, mapping, k)
+    known = confidence_map(out, mapping, k)
+    return known.withColumn("confidence", F.when(F.col("state").isNotNull(), F.col("confidence")))
 
 
 def ts_cross_validate(df: DataFrame, cols: Sequence[str], k: int = 3, n_splits: int = 5, key: Sequence[str] = ("series",), max_iter: int = 50, order: str = "ts") -> DataFrame:

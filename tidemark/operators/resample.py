@@ -128,15 +128,21 @@ def _dates(returns: DataFrame, order: str) -> DataFrame:
     return attach_series(number_rows(d, ["_one"], order), ["_one"], order, _n=F.count(F.lit(1))).drop("_one")
 
 
+def _panel(returns: DataFrame, col: str, order: str) -> DataFrame:
+    """Rows of the dates on which every asset has a return above -1."""
+    bad = returns.filter(F.col(col).isNull() | (F.col(col) <= -1)).select(order).distinct()
+    return complete_dates(returns, ["asset"], order).join(bad, order, "left_anti")
+
+
 def block_bootstrap(returns: DataFrame, n_sims: int, n_days: int, block: int = 21, seed: int = 42, col="ret", order="ts") -> DataFrame:
     """Scenario paths from blocks of consecutive days, all assets together: ``sim_id, step, asset, log_ret``.
 
-    Needs a complete panel, which is enforced. The last block is cut to the remaining days, and its start is
+    Only dates on which every asset has a return above -1 are drawn from; others are left out for all assets. The last block is cut to the remaining days, and its start is
     drawn from the same range as the others.
     """
     if n_sims < 1 or n_days < 1 or block < 1:
         raise ValueError("n_sims, n_days and block must be positive")
-    r = complete_dates(returns, ["asset"], order).filter(F.col(col) > -1)
+    r = _panel(returns, col, order)
     cal = _dates(r, order)
     hist = r.join(cal, order).select(F.col("_seq").alias("_day"), "asset", F.log1p(col).alias("log_ret"))
     n = cal.agg(F.max("_n").alias("_n"))
@@ -155,7 +161,7 @@ def regime_block_bootstrap(returns: DataFrame, regimes: DataFrame, n_sims: int,
     its own label from a drawn start, wrapping around. ``regimes(ts, label)`` is one series."""
     from tidemark.operators.regime import with_runs
 
-    r = complete_dates(returns, ["asset"], order).filter(F.col(col) > -1)
+    r = _panel(returns, col, order)
     reg = regimes.select(order, "label").join(r.select(order).distinct(), order).withColumn("_one", F.lit(0))
     reg = number_rows(with_runs(reg, ["_one"], "label", order), ["_one"], order, "step")
     reg = number_rows(reg.drop("_seq"), ["label"], order, "_pos")
@@ -232,11 +238,11 @@ def terminal_moments(stats: DataFrame, col="final_value") -> DataFrame:
 
 def moment_validation(paths: DataFrame, returns: DataFrame, col="ret", order="ts", members: int | None = None) -> DataFrame:
     """Mean absolute difference of means, deviations and correlations between paths and history."""
-    hist = complete_dates(returns, ["asset"], order).filter(F.col(col) > -1).select(order, "asset", F.log1p(col).alias("log_ret"))
+    hist = _panel(returns, col, order).select(order, "asset", F.log1p(col).alias("log_ret"))
     a = paths.groupBy("asset").agg(F.avg("log_ret").alias("_m"), F.stddev_pop("log_ret").alias("_s"))
     b = hist.groupBy("asset").agg(F.avg("log_ret").alias("_hm"), F.stddev_samp("log_ret").alias("_hs"))
     one = a.join(b, "asset").agg(F.avg(F.abs(F.col("_m") - F.col("_hm"))).alias("mean_diff"), F.avg(F.abs(F.col("_s") - F.col("_hs"))).alias("std_diff"))
-    flat = paths.withColumn("_row", F.col("sim_id") * 1_000_000 + F.col("step"))
+    flat = paths.withColumn("_row", F.col("sim_id") * (1 << 31) + F.col("step"))
     ca = correlation(flat, "log_ret", "_row", members=members).select("a", "b", "corr")
     cb = correlation(hist, "log_ret", order, members=members).select("a", "b", F.col("corr").alias("_h"))
     two = ca.join(cb, ["a", "b"]).agg(F.avg(F.abs(F.col("corr") - F.col("_h"))).alias("corr_diff"))

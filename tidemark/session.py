@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +27,27 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that lost executors do not restart the work.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is named
-    (tests) a fresh local one is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``; see ``shared_folder``.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir``.
+
+    Where none is named, a local master (tests) gets a fresh local folder; a cluster raises, as its executors would not
+    see one another's files.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint(eager=eager)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
