@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import checkpoint, lookup, parallelism
 
+#: Rows for each partition, as long as that makes no more of them than the session's shuffles have.
+ROWS = 50_000
+
 
 def running_totals(df: DataFrame, order: Sequence[Column], adds: Sequence[str]) -> DataFrame:
     """Adds ``run_<c>``: the total of each column up to and with the row, in the global order.
@@ -34,7 +37,8 @@ def running_totals(df: DataFrame, order: Sequence[Column], adds: Sequence[str])
                 cols.append(pa.array(v, b.schema.field(c).type))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part)), *cols], names=schema.names)
 
-    d = df.repartitionByRange(parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+    parts = min(parallelism(df.sparkSession), 1 + df.count() // ROWS)
+    d = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     d = checkpoint(d.mapInArrow(run, schema))
     sums = d.groupBy("_part").agg(*[F.max(f"run_{c}").alias(f"_sum_{c}") for c in adds])
     prior = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
