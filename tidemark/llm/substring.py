@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, text_batches, worker_state
+from tidemark.llm.common import column, parallelism, text_batches, worker_state
 
 #: Where a sentence ends: after a full stop, exclamation or question mark before white space, or at a line's end.
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -81,6 +81,7 @@ def repeated_spans(docs: DataFrame, span_sentences: int = 3, span_words: int = 2
     spans = d.mapInArrow(run, schema)
     place = F.struct("doc_id", "key", "start", "end")
     seen = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).filter("_n > 1").select("hash", "_first")
+    seen = seen.repartition(parallelism(docs.sparkSession))  # off the hash, so that the join deals both sides anew and splits hot hashes
     return spans.join(seen, "hash").filter(~place.eqNullSafe(F.col("_first"))).select("doc_id", "key", "start", "end")
 
 
