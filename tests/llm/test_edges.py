@@ -10,9 +10,9 @@ from tidemark.llm.common import work_path
 
 LONG = " ".join(f"word{i % 977} of a long text." for i in range(20_000))
 ROWS = [
-    (1, "The cat sat on the mat. It was a very warm day there. Everybody was glad about it all.", "en", "a"),
-    (2, "The cat sat on the mat. It was a very warm day there. Everybody was glad about it all.", "en", "a"),
-    (2, "The cat sat on the mat. It was a very warm day there. Everybody was glad about it all.", "en", "a"),
+    (1, "The cat sat on the mat. It was a very warm day there. Everybody in the house was glad about it all.", "en", "a"),
+    (2, "The cat sat on the mat. It was a very warm day there. Everybody in the house was glad about it all.", "en", "a"),
+    (2, "The cat sat on the mat. It was a very warm day there. Everybody in the house was glad about it all.", "en", "a"),
     (3, None, None, None), (4, "", "en", "b"), (5, " \t\n ", "", ""), (None, "no id here", "en", "b"), (None, None, None, None),
     (6, "123 456 !!", "en", None), (7, LONG, "en", "b"), (8, "naïve 漢字 ½ \x1c ퟿ 😀", None, "c"), (9, "one", "en", "c"),
 ]
@@ -87,7 +87,7 @@ def test_mixing(docs):
     got = mixing.mix_plan(docs).toPandas()
     assert len(got) == n(docs) and (got.taken <= 3 * got["size"]).all()
     if len(got):
-        assert got[got.doc_id == 7].taken.iloc[0] > 0 and got.target.sum() == pytest.approx(got["size"].sum(), rel=1) and got.source.isna().sum() == 3
+        assert got[got.doc_id == 7].taken.iloc[0] > 0 and got.drop_duplicates("source").target.sum() == pytest.approx(got["size"].sum()) and got.source.isna().sum() == 3
         assert got[got["size"] == 0].taken.sum() == 0
     taken = mixing.mix(docs)
     assert taken.columns == docs.columns
