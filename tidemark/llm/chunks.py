@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -121,15 +120,17 @@ def exchange(chunks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.n
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "low", "width", "keys", "vals"])
 
-    def reply(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("chunk")
-        keys = [_wide(k, width) for k in f["keys"]]
-        vals = [_wide(v, w).astype("i8") + low for v, w, low in zip(f["vals"], f["width"], f["low"], strict=True)]
+    def reply(f: pa.Table) -> pa.Table:
+        f = f.sort_by("chunk")
+        chunk, bucket, low_, width_ = (f[c].to_numpy() for c in ("chunk", "bucket", "low", "width"))
+        keys = [_wide(k.as_buffer(), width) for k in f["keys"]]
+        vals = [_wide(v.as_buffer(), w).astype("i8") + low for v, w, low in zip(f["vals"], width_, low_, strict=True)]
         pack = zstandard.ZstdCompressor(level=1)
-        return pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "reply": [pack.compress(a.astype("u1").tobytes()) for a in answer(keys, vals)]})
+        got = [pack.compress(a.astype("u1").tobytes()) for a in answer(keys, vals)]
+        return pa.table({"chunk": chunk, "bucket": bucket, "reply": pa.array(got, pa.binary())})
 
     sent = chunks.mapInArrow(send, "bucket int, chunk long, low long, width int, keys binary, vals binary")
-    replies = sent.groupBy("bucket").applyInPandas(reply, "chunk long, bucket int, reply binary")
+    replies = sent.groupBy("bucket").applyInArrow(reply, "chunk long, bucket int, reply binary")
     return replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
 
 
