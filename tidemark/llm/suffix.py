@@ -126,7 +126,8 @@ class Suffixes:
         self.doc = np.searchsorted(c.ends, self.first, "right")
         self.docs = c.ids
         stretch = mixed(self.strings(self.first) * np.uint64(3) + self.strings(self.last) + (a - self.first).astype("u8") * np.uint64(0x5851F42D4C957F2D) + (self.last - self.first).astype("u8"))
-        self.key, self.stretch = mixed(self.gram[a]), stretch
+        # hashed once more: anchors have the smallest hashes, and buckets are cut from the key's first bits
+        self.key, self.stretch = mixed(mixed(self.gram[a])), stretch
 
     def strings(self, place: np.ndarray) -> np.ndarray:
         """Hashes of the strings of ``length`` bytes at these places."""
