@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tidemark.llm import components, jaccard, language, mixing, packing, quality, substring, suffix, token_files, topk, toxicity
+from tidemark.llm import chunks, components, jaccard, language, mixing, packing, quality, substring, suffix, token_files, topk, toxicity
 from tidemark.llm.catalog import vocabulary
 from tidemark.llm.tokens import Encoder
 
@@ -83,6 +83,33 @@ def test_repeated_strings(docs, texts):
         assert got.n_removed[i] == gone.sum()
 
 
+def test_stretches_of_one_anchor_are_told_apart(spark):
+    """So many neighbours of one phrase that 28 bits of their hashes repeat; no string of 50 bytes does."""
+    r, n = random.Random(6), 60_000
+    code = chunks.byte_codes()
+
+    def gram(b):
+        h, size = code[np.frombuffer(b, "u1")], 1
+        while size < 16:
+            h, size = chunks.joined(h, size, h, size), 2 * size
+        eight = chunks.joined(*[chunks.joined(*[chunks.joined(code[np.frombuffer(b, "u1")], 1, code[np.frombuffer(b, "u1")], 1), 2] * 2), 4] * 2)
+        return chunks.mixed(chunks.joined(h, 16, eight, 8))[0]
+
+    letters = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    phrase = min((letters(24) for _ in range(3000)), key=lambda w: gram(w.encode()))  # an anchor wherever it occurs
+    rows = [(i, letters(26) + phrase + letters(26)) for i in range(n)]
+    rows.append((n, letters(40) + rows[7][1][3:70] + letters(40)))
+    got = suffix.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("n_removed > 0").toPandas()
+    assert got.doc_id.tolist() == [n] and got.n_removed.tolist() == [67]
+
+
+def test_anchors_alike_by_chance_repeat_nothing():
+    keys, docs = [np.array([1, 5, 9], "u8"), np.array([5, 7], "u8")], [np.array([0, 1, 1]), np.array([2, 2])]
+    leads = [np.array([3, 3, 8], "u8"), np.array([3, 4], "u8")]
+    got = suffix.judge_stretches(keys, docs, leads)
+    assert [g.tolist() for g in got] == [[suffix.LOOK_UP, suffix.LOOK_UP, suffix.UNIQUE], [suffix.REPEAT, suffix.UNIQUE]]
+
+
 def test_substrings(docs, texts):
     got = substring.remove_repeats(docs).select("row.doc_id", "text").toPandas().set_index("doc_id").text
     seen, want = {}, []

@@ -86,21 +86,26 @@ def _bytes_for(most: int) -> int:
 
 
 def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin and end among sorted 64-bit keys: ``buckets + 1`` places."""
+    """Where each bucket's keys begin and end among 64-bit keys in the order of buckets: ``buckets + 1`` places."""
     bits = buckets.bit_length() - 1
     edges = (np.arange(1, buckets, dtype="u8") << np.uint64(64 - bits)) if bits else np.empty(0, "u8")
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def exchange(chunks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], answer: Callable[[Sequence[np.ndarray], Sequence[np.ndarray]], list[np.ndarray]], buckets: int, key_bits: int = 64) -> DataFrame:
+def exchange(chunks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, ...]], answer: Callable[..., list[np.ndarray]], buckets: int, key_bits: int = 64, lead_bits: int = 0) -> DataFrame:
     """``chunk, replies``: for each chunk an answer per key it sent, in the order of its keys.
 
     ``keys_of(row)`` gives a chunk's distinct sorted keys (unsigned, 64 bits; the top ones choose the bucket) and a
     whole number of at least zero with each. ``answer(keys, values)`` gets those of all chunks for one bucket, in the
     order of chunks, and returns an array of small numbers (0 to 255) for each chunk. Of a key ``key_bits`` travel
     beyond the bucket's.
+
+    With ``lead_bits`` (a multiple of 8), ``keys_of`` gives a third array, the keys' leads: their top bits choose the
+    bucket instead, keys are in the order of bucket and key and travel whole, ``lead_bits`` of a lead travel beyond the
+    bucket's, and ``answer`` gets these as its third argument.
     """
     bits = buckets.bit_length() - 1
+    lead_width, lead_shift, lead_mask = lead_bits // 8, np.uint64(max(64 - bits - lead_bits, 0)), np.uint64((1 << lead_bits) - 1)
     width = (key_bits + 7) // 8
     shift = np.uint64(64 - min(64, bits + 8 * width))
     mask = np.uint64((1 << (8 * width)) - 1) if width < 8 else np.uint64(2**64 - 1)
@@ -109,27 +114,29 @@ def exchange(chunks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.n
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                keys, values = keys_of(row)
-                at = cut(keys, buckets)
+                keys, values, *leads = keys_of(row)
+                at = cut(leads[0] if leads else keys, buckets)
                 low = int(values.min()) if len(values) else 0
                 w = _bytes_for(int(values.max()) - low) if len(values) else 1
                 full = np.flatnonzero(np.diff(at))
                 cols = [
                     pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array([low] * len(full), pa.int64()), pa.array([w] * len(full), pa.int32()),
                     pa.array([_thin((keys[at[k] : at[k + 1]] >> shift) & mask, width) for k in full], pa.binary()), pa.array([_thin(values[at[k] : at[k + 1]] - low, w) for k in full], pa.binary()),
+                    pa.array([_thin((leads[0][at[k] : at[k + 1]] >> lead_shift) & lead_mask, lead_width) if leads else None for k in full], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "low", "width", "keys", "vals"])
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "low", "width", "keys", "vals", "leads"])
 
     def reply(f: pa.Table) -> pa.Table:
         f = f.sort_by("chunk")
         chunk, bucket, low_, width_ = (f[c].to_numpy() for c in ("chunk", "bucket", "low", "width"))
         keys = [_wide(k.as_buffer(), width) for k in f["keys"]]
         vals = [_wide(v.as_buffer(), w).astype("i8") + low for v, w, low in zip(f["vals"], width_, low_, strict=True)]
+        leads = [[_wide(v.as_buffer(), lead_width) for v in f["leads"]]] if lead_width else []
         pack = zstandard.ZstdCompressor(level=1)
-        got = [pack.compress(a.astype("u1").tobytes()) for a in answer(keys, vals)]
+        got = [pack.compress(a.astype("u1").tobytes()) for a in answer(keys, vals, *leads)]
         return pa.table({"chunk": chunk, "bucket": bucket, "reply": pa.array(got, pa.binary())})
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk long, low long, width int, keys binary, vals binary")
+    sent = chunks.mapInArrow(send, "bucket int, chunk long, low long, width int, keys binary, vals binary, leads binary")
     replies = sent.groupBy("bucket").applyInArrow(reply, "chunk long, bucket int, reply binary")
     return replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
 

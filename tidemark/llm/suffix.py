@@ -2,8 +2,8 @@
 
 Every string of ``length`` bytes holds, among its ``GRAM``-byte strings, one with the smallest hash, at the same place
 wherever the string occurs. Suffixes that start at such anchors are the sparse suffix array of a batch of texts (a
-chunk): about one place in fourteen, and still no repeat is missed. An index entry is the fingerprint of a suffix's first bytes, then
-that of the whole stretch of strings the anchor stands for, and the smallest document that has it.
+chunk): about one place in fourteen, and still no repeat is missed. An index entry is the fingerprint of the whole
+stretch of strings the anchor stands for, beside it a part of the anchor's, and the smallest document that has it.
 
 Batches enter as the smallest level; two levels of like size merge into one of twice the size, so a bucket holds
 logarithmically many and a key is moved as often. When the last batch is in, the levels merge into one and each batch is scanned against it: a stretch that a smaller document has is a
@@ -14,7 +14,6 @@ second exchange of the same kind.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ from tidemark.llm.common import checkpoint, worker_state
 GRAM = 24
 #: Places worked on at a time.
 STEP = 1 << 16
+#: Bits of an anchor's hash that travel beyond the bucket's, beside the 64 of the stretch's.
+LEAD_BITS = 32
 UNIQUE, REPEAT, LOOK_UP = 0, 1, 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
 
@@ -75,13 +76,20 @@ def _whole(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray]) -> Level:
     return family.whole()
 
 
-def judge_stretches(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray], bits: int) -> list[np.ndarray]:
-    """``bits`` of a key, the last ones, are the stretch's; what is before them may recur with other stretches."""
+def judge_stretches(keys: Sequence[np.ndarray], docs: Sequence[np.ndarray], leads: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """A key is a whole stretch's; its lead, the anchor's, may recur with other stretches.
+
+    Leads of two anchors that are alike by chance only make more strings to look up.
+    """
     own, least = _whole(keys, docs)
-    lead = own >> np.uint64(bits)
-    next_ = lead[1:] == lead[:-1]
-    recurs = np.concatenate(([False], next_)) | np.concatenate((next_, [False]))
     found = [np.searchsorted(own, k) for k in keys]
+    lead = np.empty(len(own), "u4")
+    for at, x in zip(found, leads, strict=True):
+        lead[at] = x
+    order = np.argsort(lead)
+    next_ = np.diff(lead[order]) == 0
+    recurs = np.empty(len(own), bool)
+    recurs[order] = np.concatenate(([False], next_)) | np.concatenate((next_, [False]))
     return [np.where(least[at] < d, REPEAT, np.where(recurs[at], LOOK_UP, UNIQUE)) for at, d in zip(found, docs, strict=True)]
 
 
@@ -137,24 +145,20 @@ class Suffixes:
         return mixed(h + self.gram[place + (self.length - GRAM)])
 
 
-def _unique(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys, the smallest document of each, and for each input row where its key is."""
-    order = np.argsort(keys)
+def _unique(keys: np.ndarray, docs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ``order``, the smallest document of each, for each input row where its key is, and a row of each key."""
     (own, least), new = _distinct(keys, docs, order)
     back = np.empty(len(keys), "i8")
     back[order] = np.cumsum(new) - 1
-    return own, least, back
-
-
-def _stretch_bits(buckets: int) -> int:
-    return max(8, 32 - (buckets.bit_length() - 1))
+    return own, least, back, order[new]
 
 
-def _stretch_keys(s: Suffixes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a chunk's stretches: the bucket's bits and 32 bits more from the suffix, then bits of the stretch."""
-    bits = np.uint64(_stretch_bits(buckets))
-    keys = ((s.key >> bits) << bits) | (s.stretch >> (np.uint64(64) - bits))
-    return _unique(keys, s.docs[s.doc])
+def _stretch_keys(s: Suffixes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a chunk's stretches, all 64 bits of their hashes whatever the number of buckets; documents, places of keys as from ``_unique``, and the anchors' keys, which choose the bucket."""
+    order = np.argsort(s.stretch)
+    order = order[np.argsort(s.key[order] >> np.uint64(64 - (buckets.bit_length() - 1)), kind="stable")]
+    own, least, back, row = _unique(s.stretch, s.docs[s.doc], order)
+    return own, least, back, s.key[row]
 
 
 def _string_keys(s: Suffixes, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +166,8 @@ def _string_keys(s: Suffixes, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.flatnonzero(verdict == LOOK_UP)
     many = s.last[at] - s.first[at] + 1
     place = np.repeat(s.first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return place, *_unique(s.strings(place), s.docs[np.repeat(s.doc[at], many)])
+    keys = s.strings(place)
+    return place, *_unique(keys, s.docs[np.repeat(s.doc[at], many)], np.argsort(keys))[:3]
 
 
 def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,26 +178,28 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
     n_spans, kept`` (bytes) and the removed spans ``starts, ends``.
 
     Null texts are empty. Rows that repeat an id do not take from one another; null ids come before all others and
-    neither do they; other columns are ignored; no documents, no rows. Keys are 64-bit hashes beside the bucket's bits.
+    neither do they; other columns are ignored; no documents, no rows. Strings and stretches are compared by 64-bit
+    hashes, at every size of input.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     chunks = chunk_table(docs, 1_000_000, doc_id, text)
     buckets = n_buckets(chunks)
 
-    def stretches(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return _stretch_keys(Suffixes(Chunk(row), length), buckets)[:2]
+    def stretches(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, first, _, leads = _stretch_keys(Suffixes(Chunk(row), length), buckets)
+        return keys, first, leads
 
     def verdicts(row: dict) -> tuple[Suffixes, np.ndarray]:
         s = Suffixes(Chunk(row), length)
-        _, first, back = _stretch_keys(s, buckets)
+        _, first, back, _ = _stretch_keys(s, buckets)
         got = answers(row["replies"])[back] if len(back) else np.empty(0, "u1")
         return s, np.where(s.docs[s.doc] > first[back], REPEAT, got) if len(back) else got
 
     def strings(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return _string_keys(*verdicts(row))[1:3]
 
-    first = exchange(chunks, stretches, partial(judge_stretches, bits=_stretch_bits(buckets)), buckets)
+    first = exchange(chunks, stretches, judge_stretches, buckets, lead_bits=LEAD_BITS)
     judged = checkpoint(first)
     chunks = chunks.join(judged, "chunk", "left")
     second = exchange(chunks, strings, judge_strings, buckets).withColumnRenamed("replies", "strings")
