@@ -207,6 +207,33 @@ def test_top_products(spark):
     assert got.query_id.nunique() == 40
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 8])
+def test_top_products_near_axes(spark, dim):
+    g = np.random.default_rng(dim)
+    v = g.normal(size=(600, dim)) * g.choice([0.02, 0.2], 600)[:, None]
+    v[np.arange(600), g.integers(0, dim, 600)] += g.choice([-1, 1], 600)
+    v *= (g.choice([1, 1.1, 1.3, 4], 600) * g.uniform(0.95, 1, 600))[:, None]
+    q = np.floor(256 * v.astype("f4").astype("f8")).astype("i8")
+    got = topk.top_products(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), "vec_id % 5 = 0", bucket=32, block=100).toPandas()
+    for i, rows in got.sort_values("rank").groupby("query_id"):
+        s = q @ q[i]
+        best = [j for j in np.lexsort((np.arange(600), -s)) if j != i][:5]
+        assert rows.vec_id.tolist() == best and rows.score.tolist() == s[best].tolist()
+    assert got.query_id.nunique() == 120
+
+
+def test_coordinate_ranges_reach_the_axis():
+    """Thresholds below the query's own coordinate: vectors on the axis, and beyond it, count."""
+    for sign in (1, -1):
+        q, p = np.array([[sign * 950, 312]]), np.array([[sign * 1000, 0], [sign * 950, 312], [0, 1000], [sign * 700, -714]])
+        scores = p @ q[0]
+        for t in (0.72, 0.75, 0.85, 0.94, 0.96):
+            least = int(t * np.linalg.norm(q) * 1000)
+            (got,) = topk.search_bucket(np.array([9]), q, np.array([least]), np.arange(4), p, 4)
+            want = [j for j in np.argsort(-scores, kind="stable") if scores[j] >= least]
+            assert got[1].tolist() == want and got[2].tolist() == scores[want].tolist()
+
+
 def test_mix(docs, texts):
     got = mixing.mix_plan(docs).toPandas()
     sizes = got.groupby("source")["size"].sum()

@@ -57,8 +57,10 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, p_ids: np
         focus = np.argsort(-np.abs(unit_q[row]))[:FOCUS]
         t, c = local[row], unit_q[row, focus]
         half = np.sqrt(np.maximum(0, (1 - t * t) * (1 - c * c))) + 1e-9
+        # a vector within the angle may lie on the axis itself, where the query is as near to it
+        low, high = np.where(c <= -t, -np.inf, t * c - half), np.where(c >= t, np.inf, t * c + half)
         x = unit_p[:, focus]
-        at = np.flatnonzero(((x >= t * c - half) & (x <= t * c + half)).all(axis=1))
+        at = np.flatnonzero(((x >= low) & (x <= high)).all(axis=1))
         if len(at):
             keep(row, at, products(q[row : row + 1], p[at])[0])
     by_length = np.flatnonzero(local < COORDINATES_FROM)
