@@ -179,6 +179,17 @@ def test_encoder_equals_library(texts):
         assert got.tolist() == want.ids
 
 
+def test_encoder_equals_library_on_added_tokens():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary())
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    texts = [x for a in added for x in (f"one{a}two", a, f" {a}{a} ", f"é {a[:-1]}", f"{a}漢")] + ["plain words"]
+    assert added
+    for got, want in zip(Encoder(vocabulary()).encode(texts), fresh.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr("tidemark.llm.tokens.REMEMBERED", 7)
     e, r = Encoder(vocabulary()), random.Random(1)

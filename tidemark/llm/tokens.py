@@ -1,9 +1,9 @@
 """Token ids of whole texts, inside tasks.
 
-The ids are those of the ``tokenizers`` library. A byte-level BPE vocabulary encodes each piece of the
+The ids are those of the ``tokenizers`` library with ``add_special_tokens=False`` and otherwise its defaults. A byte-level BPE vocabulary encodes each piece of the
 pre-tokenizer's split by itself, so that for texts of common letters the split runs as a regular expression and the
-library's model encodes only words that the worker has not met; all other texts and all other kinds of vocabulary go to the
-library whole. The tests hold both ways against each other.
+library's model encodes only words that the worker has not met; all other texts, those that hold an added token of the
+vocabulary, and all other kinds of vocabulary go to the library whole. The tests hold both ways against each other.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -69,7 +69,7 @@ class Encoder:
         for at, text in enumerate(texts):
             if not text:
                 continue
-            if not self.split or not self.plain(text):
+            if not self.split or not self.plain(text) or any(map(text.__contains__, self.added)):
                 whole.append(at)
                 continue
             words = self.find(text)
