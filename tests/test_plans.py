@@ -123,6 +123,20 @@ def test_draws_are_uniform(spark):
     assert abs(u.autocorr()) < 0.03
 
 
+def test_draws_reach_all_places_of_long_series(spark):
+    from tidemark.functions.draws import PRIME, pick
+
+    at = spark.range(2000).withColumn("far", F.col("id") + PRIME)
+    u = at.select(uniform(7, F.col("id"), F.lit(3)).alias("a"), uniform(7, F.col("far"), F.lit(3)).alias("b"), uniform(7, F.col("id"), F.lit(3 + PRIME)).alias("c")).toPandas()
+    assert (u.a != u.b).all() and (u.b != u.c).all() and (u.a != u.c).all()
+    n = 1 << 40
+    got = at.select(pick(F.lit(n), 7, F.col("id")).alias("p"), pick(F.lit(50), 7, F.col("id")).alias("q"), F.floor(uniform(7, F.col("id")) * 50).alias("r")).toPandas()
+    assert got.p.between(0, n - 1).all() and abs(got.p.mean() / n - 0.5) < 0.03 and (got.q == got.r).all()
+    assert abs((got.p % 256).mean() - 127.5) < 8 and (got.p % 256).nunique() == 256
+    step = got.p - np.floor(np.round(got.p / n * PRIME) * (n / PRIME))
+    assert (step.abs() > 1).sum() > 1900  # not only the places of PRIME draws
+
+
 def test_top_half_ties_by_name(spark):
     d = daily(spark, {c: {"ret": np.full(4, v)} for c, v in {"a": 0.1, "b": 0.1, "c": 0.1, "d": 0.2}.items()})
     got = {(r["asset"], str(r["ts"])) for r in cross.top_half_members(d, 3).collect()}

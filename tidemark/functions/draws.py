@@ -11,15 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
+#: Up to so many places one draw of ``PRIME`` values is even to a part in 2,000.
+FEW = 1 << 20
 
 
 def uniform(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) for the seed and the whole numbers given.
 
     The rounds are a fold over an array: nested in one plain expression, each round would triple its input,
-    and filters that the optimizer infers on the result would copy all of it.
+    and filters that the optimizer infers on the result would copy all of it. Numbers of ``PRIME`` and more are told
+    apart by further rounds with their quotients. There are ``PRIME`` different draws; ``pick`` has enough for any count.
     """
-    steps = F.array(*[p.cast("long") for p in parts], F.lit(0).cast("long"), F.lit(0).cast("long"))
+    whole = [p.cast("long") for p in parts]
+    steps = F.array(*whole, F.lit(0).cast("long"), F.lit(0).cast("long"))
+    if parts:
+        high = F.array(*[F.round((p - p % PRIME) / PRIME).cast("long") for p in whole])
+        steps = F.when(F.greatest(*[F.abs(p) for p in whole], F.lit(0).cast("long")) < PRIME, steps).otherwise(F.concat(steps, high))
 
     def mix(h: Column, p: Column) -> Column:
         x = (h * 48271 + p % PRIME + 1) % PRIME
@@ -32,8 +39,15 @@ def with_uniform(df: DataFrame, out: str, seed: int, *parts: Column) -> DataFram
     return df.withColumn(out, uniform(seed, *parts))
 
 
+def pick(n: Column, seed: int, *parts: Column) -> Column:
+    """A whole number in [0, n): ``floor(u * n)``, from a draw of twice the rounds where ``n`` is over ``FEW``."""
+    u = uniform(seed, *parts)
+    fine = u + uniform(seed + 1_000_003, *parts) / F.lit(float(PRIME))
+    return F.when(n <= FEW, F.floor(u * n)).otherwise(F.least(F.floor(fine * n), n - 1)).cast("long")
+
+
 def uniform_sql(seed: int, *parts: str) -> str:
-    """The same in SQL."""
+    """The same in SQL, for whole numbers below ``PRIME``."""
     steps = ", ".join(f"CAST({p} AS BIGINT)" for p in (seed % PRIME, *parts, 0, 0))
     x = f"((h * 48271 + p % {PRIME} + 1) % {PRIME})"
     return f"(list_reduce([{steps}], lambda h, p: ({x} * {x} % {PRIME} + {x} * 40692 + 12345) % {PRIME}) / CAST({PRIME} AS DOUBLE))"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import poisson1, with_uniform
+from tidemark.functions.draws import pick, poisson1, with_uniform
 from tidemark.functions.rolling import sample_kurt, sample_skew
 from tidemark.operators.cross import correlation
 from tidemark.operators.prep import YEAR, complete_dates
@@ -41,14 +41,13 @@ def _times(df: DataFrame, n: int, key: Sequence[str], out: str = BOOT) -> DataFr
 def resampled(df: DataFrame, col: str, n: int, key: Sequence[str] = (), order: str = "ts", seed: int = 42) -> DataFrame:
     """n resamples with replacement of each series: ``key, boot_id, slot, col``.
 
-    Slot s of resample b takes row floor(u(s, b) * rows): an equi-join of drawn positions with row positions.
+    Slot s of resample b takes row floor(u(s, b) * rows), with finer draws for long series: an equi-join of drawn positions with row positions.
     """
     k = list(key) or ["_one"]
     d = df if key else df.withColumn("_one", F.lit(0))
     d = attach_series(number_rows(d.select(*k, order, col), k, order), k, order, _n=F.count(F.lit(1)))
     draws = _times(d.select(*k, F.col("_seq").alias("slot"), "_n"), n, [*k, "slot"])
-    draws = with_uniform(draws, "_u", seed, F.col("slot"), F.col(BOOT))
-    draws = draws.withColumn("_pick", F.floor(F.col("_u") * F.col("_n")).cast("long"))
+    draws = draws.withColumn("_pick", pick(F.col("_n"), seed, F.col("slot"), F.col(BOOT)))
     return draws.join(d.select(*k, F.col("_seq").alias("_pick"), col), [*k, "_pick"]).select(*key, BOOT, "slot", col)
 
 
@@ -168,8 +167,7 @@ def regime_block_bootstrap(returns: DataFrame, regimes: DataFrame, n_sims: int,
     reg = attach_series(reg, ["label"], order, _n=F.count(F.lit(1)))
     reg = attach_series(reg, ["run"], order, _run0=F.min("step"))
     sims = _times(reg, n_sims, [order], "sim_id")
-    sims = with_uniform(sims, "_u", seed, F.col("sim_id"), F.col("run"))
-    start = F.floor(F.col("_u") * F.col("_n")).cast("long")
+    start = pick(F.col("_n"), seed, F.col("sim_id"), F.col("run"))
     sims = sims.select("sim_id", "step", "label", ((start + F.col("step") - F.col("_run0")) % F.col("_n")).alias("_pos"))
     donors = reg.select("label", "_pos", order).join(r.select(order, "asset", F.log1p(col).alias("log_ret")), order).drop(order)
     return sims.join(donors, ["label", "_pos"]).select(F.col("sim_id").cast("long").alias("sim_id"), "step", "asset", "label", "log_ret")
