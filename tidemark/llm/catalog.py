@@ -18,10 +18,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -114,3 +114,59 @@ def op3_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    from tidemark.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM lists, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, a, i, array_to_string(w[:i], ' ') AS x, array_to_string(w[i + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS i FROM found)
+), lefts AS MATERIALIZED (SELECT p.*, f AS l FROM parts p JOIN f ON f.lang = p.lang AND f.phrase = p.x),
+cuts AS (
+  SELECT p.lang, p.phrase, a, i, l, f AS r, (1000000::HUGEINT * a * a) // (l::HUGEINT * f) AS score
+  FROM lefts p JOIN f ON f.lang = p.lang AND f.phrase = p.y
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS most
+  FROM (SELECT lang, a, array_to_string(w[:2], ' ') AS phrase FROM found WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:], ' ') FROM found WHERE k = 3)
+  GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i USING (lang, phrase) WHERE i.most IS NULL OR 100 * i.most < 50 * b.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as SentencePiece ids, and the texts decoded from these."""
+    from tidemark.llm.pieces import encode
+
+    d = encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), decoded=True)
+    return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first eight components of their covariance, whitened."""
+    from tidemark.llm.whitening import whiten
+
+    w = whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return w.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained", "identity_error")
