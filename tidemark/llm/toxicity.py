@@ -135,12 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, use: str, max_toxic: int = 1_500,
     """Fit on a bounded sample of labelled rows: of each label those with the smallest hash of their id.
 
     ``labels`` has ``doc_id`` and ``toxic``; a row takes part where the SQL condition ``use`` over ``doc_id`` holds
-    and the label is not null; of several labels the highest counts.
+    and neither id nor label is null; of several labels the highest counts. At most ``max_toxic + max_ordinary`` ids take
+    part, and of documents that repeat ids at most twice as many rows, with their whole texts. Null texts count as
+    empty. Without labels, or with one class alone, the model gives every text that class's share (0 without labels).
+    The ordinary dictionary is trained on the first 100,000 windows of these rows.
     """
     known = labels.filter(use).filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, max_toxic).union(pick(0, max_ordinary)).withColumnRenamed("doc_id", "_id").withColumnRenamed("toxic", "_label")
-    found = docs.join(F.broadcast(ids), column("doc_id") == F.col("_id")).select("_label", column("text").alias("text"), F.xxhash64("_id").alias("_h"))
+    named = docs.select(column("doc_id").alias("_id"), column("text").alias("text"))
+    found = named.join(F.broadcast(ids), "_id").select("_label", "text", F.xxhash64("_id").alias("_h"))
     rows = found.orderBy("_h", "text").limit(2 * (max_toxic + max_ordinary)).collect()
     return fit([r["text"] for r in rows], [r["_label"] for r in rows])
 
