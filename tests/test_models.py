@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import classify, hmm
 from tidemark.operators import regime as rg
+from tidemark.plans import timemajor as tm
 
 RNG = np.random.default_rng(11)
 PARAMS = hmm.HmmParams(
@@ -51,17 +52,94 @@ def test_decode_against_all_paths(df, chunk):
     same([c["log_likelihood"], c["aic"]], [ll, -2 * ll + 2 * (4 - 1 + 4)])
 
 
-def test_sums_of_chunks_equal_the_whole(df):
-    x, _ = df
-    whole = hmm.sufficient(x, PARAMS)
-    m = [hmm.chunk_matrix(c, PARAMS, i == 0, False) for i, c in enumerate((x[:4], x[4:7], x[7:]))]
-    pdf = pd.DataFrame({"_chunk": [0, 1, 2], "m": [list(v.ravel()) for v in m]})
-    ends = hmm._chain(pdf, hmm._lse, 2)
-    parts = [
-        hmm.sufficient(c, PARAMS, None if b is None else np.array(b), np.array(a)) for c, b, a in zip((x[:4], x[4:7], x[7:]), ends["before"], ends["after"])
-    ]
-    for n in whole:
-        np.testing.assert_allclose(sum(p[n] for p in parts), whole[n], atol=1e-9)
+@pytest.mark.parametrize("best", [False, True])
+@pytest.mark.parametrize("fan", [2, 3, 256])
+def test_tree_of_chunks_equals_the_whole(spark, fan, best):
+    """Series of one to eleven chunks: ends from the tree, sums and paths from chunks, against uncut series."""
+    rng = np.random.default_rng(fan)
+    series = {f"s{n}": rng.normal(size=(3 * n + 1, 2)) for n in range(11)}
+    rows, cut = [], []
+    for name, x in series.items():
+        parts = [x[i : i + 3] for i in range(0, len(x), 3)]
+        for c, s in enumerate(parts):
+            m = tm.effects(tm.Stack.of([s]), tm.Models.same(PARAMS, 1), np.array([c == 0]), best)[0]
+            rows.append((name, c, m.ravel().tolist()))
+            cut.append((name, c, s))
+    ms = spark.createDataFrame(rows, "series string, _chunk long, m array<double>").repartition(3)
+    got = {(r["series"], r["_chunk"]): (r["before"], r["after"]) for r in hmm.state_ends(ms, ["series"], 2, best, fan).collect()}
+    assert len(got) == len(cut) and all((got[n, c][0] is None) == (c == 0) for n, c, _ in cut)
+    ends = tm.Ends(np.array([got[n, c][0] or [0.0, 0.0] for n, c, _ in cut]), np.array([got[n, c][1] for n, c, _ in cut]), np.array([c == 0 for _, c, _ in cut]))
+    xs, names = [x for *_, x in cut], np.array([n for n, *_ in cut])
+    whole = list(series.values())
+    if best:
+        paths = tm.paths_many(xs, tm.Models.same(PARAMS, len(xs)), ends)
+        for name, want in zip(series, tm.paths_many(whole, tm.Models.same(PARAMS, len(whole)))):
+            assert np.concatenate([p for p, n in zip(paths, names) if n == name]).tolist() == want.tolist()
+    else:
+        want = hmm.expected_sums(whole, tm.Models.same(PARAMS, len(whole)), tm.Ends.none(len(whole), 2))
+        parts = hmm.expected_sums(xs, tm.Models.same(PARAMS, len(xs)), ends)
+        for i, name in enumerate(series):
+            np.testing.assert_allclose(parts[names == name].sum(0), want[i], atol=1e-8)
+
+
+def plain_fit(x, k, max_iter, tol=1e-2):
+    """One series, one row at a time."""
+    far = np.argsort(np.argsort(np.abs(x[:, 0] - np.median(x[:, 0])), kind="stable"), kind="stable") * k // len(x)
+    pick = [x[far == s] if (far == s).any() else x for s in range(k)]
+    means, covs = np.array([v.mean(0) for v in pick]), np.array([(v - v.mean(0)).T @ (v - v.mean(0)) / max(len(v) - 1, 1) + 0.01 * np.eye(x.shape[1]) for v in pick])
+    start, trans, last = np.full(k, 1 / k), (np.ones((k, k)) + np.eye(k)) / (k + 1), -np.inf
+    for it in range(1, max_iter + 1):
+        p = hmm.HmmParams(start, trans, means, covs)
+        e = np.exp(hmm.log_density(x, p))
+        al, be = np.empty_like(e), np.ones_like(e)
+        for t in range(len(x)):
+            al[t] = (start if t == 0 else al[t - 1] @ trans) * e[t]
+        for t in range(len(x) - 2, -1, -1):
+            be[t] = trans @ (e[t + 1] * be[t + 1])
+        like = al[-1].sum()
+        g, xi = al * be / like, sum(np.outer(al[t], e[t + 1] * be[t + 1]) * trans / like for t in range(len(x) - 1)) if len(x) > 1 else np.zeros((k, k))
+        start, n = g[0], np.maximum(g.sum(0), 1e-10)
+        means = g.T @ x / n[:, None]
+        covs = np.array([((x.T * g[:, s]) @ x - n[s] * np.outer(means[s], means[s]) + 0.01 * np.eye(x.shape[1])) / n[s] for s in range(k)])
+        trans = np.where(xi.sum(1, keepdims=True) > 0, xi / np.maximum(xi.sum(1, keepdims=True), 1e-300), trans)
+        if np.log(like) - last < tol:
+            return trans, means, covs, it, True
+        last = np.log(like)
+    return trans, means, covs, max_iter, False
+
+
+def test_many_fits_equal_single_ones():
+    """Series of all lengths down to one row, fitted side by side: each as if alone."""
+    rng = np.random.default_rng(2)
+    xs = [rng.normal(size=(n, 2)) * np.where(np.arange(n) % 40 < 20, 0.3, 2.0)[:, None] for n in (60, 1, 45, 2, 3, 44, 80, 7, 60)]
+    for most in (3, 40):
+        f = tm.fit_many(xs, 2, most)
+        for i, x in enumerate(xs):
+            trans, means, covs, it, done = plain_fit(x, 2, most)
+            o = np.argsort(covs[:, 0, 0], kind="stable")
+            if abs(np.diff(covs[o, 0, 0])[0]) < 1e-9 and abs(means[o] - f.models.means[i]).max() > 1e-6:  # equal variances: either order
+                o = o[::-1]
+            assert (f.iterations[i], f.converged[i]) == (it, done)
+            np.testing.assert_allclose(f.models.means[i], means[o], atol=1e-6)
+            np.testing.assert_allclose(f.models.covs[i], covs[o], atol=1e-6)
+            np.testing.assert_allclose(f.models.trans[i], trans[np.ix_(o, o)], atol=1e-6)
+
+
+def test_a_model_per_series(spark):
+    """All rows of all series come back, with nulls, one row, constants and time stamps; chunks give what whole series give."""
+    rng = np.random.default_rng(5)
+    wild = rng.normal(size=240) * np.where(np.arange(240) % 80 < 40, 0.3, 2.0)
+    cols = {"a": wild, "b": wild[::-1].copy(), "one": wild[:1], "few": wild[:5], "flat": np.ones(50)}
+    d = daily(spark, {n: {"u": x, "w": pd.Series(np.abs(x)).rolling(5, center=True, min_periods=1).mean().to_numpy()} for n, x in cols.items()})
+    d = d.withColumn("u", F.when(F.col("asset") != "few", F.col("u")))  # a feature without a value
+    want = {(r["asset"], r["ts"]): r for r in hmm.regimes_per_series(d, ["u", "w"], ["asset"], 2, smoothing=0).collect()}
+    assert len(want) == d.count() and all(r["state"] is not None and r["converged"] and r["label"] for r in want.values())
+    assert np.mean([want["a", t]["state"] == (i % 80 >= 40) for i, t in enumerate(sorted(t for a, t in want if a == "a"))]) > 0.85
+    got = hmm.regimes_per_series(stamped(d), ["u", "w"], ["asset"], 2, smoothing=0, long_rows=100, chunk_rows=50).collect()
+    assert len(got) == len(want)
+    assert all(want[r["asset"], r["ts"].date()]["state"] == r["state"] and want[r["asset"], r["ts"].date()]["iterations"] == r["iterations"] for r in got)
+    none = hmm.regimes_per_series(d.limit(0), ["u"], ["asset"], 2)
+    assert none.count() == 0 and hmm.regimes_per_series(stamped(d.limit(0)), ["u"], ["asset"], 2).count() == 0
 
 
 def test_fit_finds_calm_and_wild(spark):
@@ -75,10 +153,9 @@ def test_fit_finds_calm_and_wild(spark):
     assert p8.covs[0, 0, 0] < p8.covs[1, 0, 0]
     got = by(hmm.predict_regimes(d, p8, 3, ["asset"]), "state")
     assert np.mean(np.array(got) == s) > 0.9
+    assert p8.iterations <= 8 and not p2.converged and hmm.fit_hmm(d, cols, ["asset"], 2).converged
     own = by(hmm.regimes_per_series(d, cols, ["asset"], 2), "state")
     assert np.mean(np.array(own) == s) > 0.9
-    with pytest.raises(ValueError):
-        hmm.regimes_per_series(stamped(d), ["u"], ["asset"], 2)
     with pytest.raises(ValueError):
         hmm.fit_hmm(d, ["missing"], ["asset"], 2)
 

@@ -1,19 +1,22 @@
 """Gaussian hidden Markov models over many series, or over long series cut into chunks.
 
-Expectation runs where the rows are and returns sums; only K x d numbers reach the driver. A series bounded by
-the calendar is one group. A longer one is cut into chunks: the effect of a chunk on the state is a K x K matrix,
-the matrices of all chunks are chained per series, and every chunk is then processed with the exact state
-information from before and after it. The result equals that of the uncut series.
+Expectation runs where the rows are and returns sums; only K x d numbers reach the driver. A task works on many
+series at once, time-major. A series bounded by the calendar is one group. A longer one is cut into chunks: the effect of
+a chunk on the state is a K x K matrix, the matrices of all chunks are multiplied along a tree, level by level, and every
+chunk is then processed with the exact state information from before and after it. The result equals that of the uncut
+series, and no task sees more than one chunk's rows or ``FAN`` matrices of a series.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.prep import winsor_limits
 from tidemark.operators.regime import regime_labels, smooth_mode
-from tidemark.plans.folds import schema_of, spread
+from tidemark.plans import timemajor as tm
+from tidemark.plans.folds import spread
+from tidemark.plans.groups import map_groups
 from tidemark.plans.series import CHUNK, CHUNK_ROWS, SEQ, is_bounded, number_rows
 from tidemark.session import checkpoint
 
@@ -48,6 +53,7 @@ class HmmParams:
     labels: list[str] = field(default_factory=list)
     log_likelihood: float = float("nan")
     iterations: int = 0
+    converged: bool = False
 
     @property
     def k(self) -> int:
@@ -79,6 +85,17 @@ def prepare_regime_features(df: DataFrame, cols: Sequence[str], prep: Prep | Non
     return df.withColumn("x", x), prep
 
 
+def log_density(x: np.ndarray, p: HmmParams) -> np.ndarray:
+    """Log densities of the rows of one series in the states of a model."""
+    return tm.densities(tm.Stack.of([x]), tm.Models.same(p, 1))[:, 0]
+
+
+def order_states(p: HmmParams) -> HmmParams:
+    """States by the variance of the first feature, so that state 0 is the calmest."""
+    m = tm.ordered(tm.Models.same(p, 1))
+    return replace(p, start=m.start[0], trans=m.trans[0], means=m.means[0], covs=m.covs[0])
+
+
 def kmeans_init(df: DataFrame, k: int = 3, seed: int = 42) -> HmmParams:
     """Start from clusters of ``x``: their centres and covariances, sticky transitions, uniform start."""
     d = df.select("x").withColumn("v", array_to_vector("x"))
@@ -97,190 +114,172 @@ def kmeans_init(df: DataFrame, k: int = 3, seed: int = 42) -> HmmParams:
 
 
 # ---------------------------------------------------------------------------------------------------------
-# Numerics of one chunk
+# Distribution
 
+#: Matrices that a task chains one after the other; more of them make another level of the tree.
+FAN = 256
 
-def log_density(x: np.ndarray, p: HmmParams) -> np.ndarray:
-    out = np.empty((len(x), p.k))
-    for s in range(p.k):
-        chol = np.linalg.cholesky(p.covs[s])
-        z = np.linalg.solve(chol, (x - p.means[s]).T)
-        out[:, s] = -0.5 * (z**2).sum(0) - np.log(np.diag(chol)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
 
+def _vectors(t: pa.Table, starts: np.ndarray, col: str = "x") -> list[np.ndarray]:
+    """The rows of each group as an array."""
+    flat = t[col].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    x = flat.reshape(t.num_rows, -1)
+    return [x[a:b] for a, b in zip(starts[:-1], starts[1:])]
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    m = np.where(np.isfinite(m), m, 0.0)
-    return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def _log(a: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(a, 1e-300))
-
-
-def _unlog(a: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights that sum to 1, and the log of what was taken out."""
-    m = a.max()
-    w = np.exp(a - m)
-    return w / w.sum(), float(m + np.log(w.sum()))
-
-
-def chunk_matrix(x: np.ndarray, p: HmmParams, first: bool, best: bool) -> np.ndarray:
-    """K x K log effect of the rows: from the state before the chunk to its last state, over all paths or the best."""
-    b, a = log_density(x, p), _log(p.trans)
-    m = (np.tile(_log(p.start), (p.k, 1)) if first else a) + b[0]
-    if best:
-        for row in b[1:]:
-            m = (m[:, :, None] + a[None]).max(1) + row
-        return m
-    top = b.max(1)
-    e, scale = np.exp(b - top[:, None]), m.max() + top[1:].sum()
-    w = np.exp(m - m.max())
-    for row in e[1:]:
-        w = (w @ p.trans) * row
-        s = w.sum()
-        w, scale = w / s, scale + np.log(s)
-    return _log(w) + scale
-
-
-def forward_backward(x: np.ndarray, p: HmmParams, before: np.ndarray | None = None, after: np.ndarray | None = None):
-    """Forward and backward weights of each row (each row up to scale), row densities up to scale, the weights
-    before the first row, and the log likelihood of the whole series."""
-    b = log_density(x, p)
-    top = b.max(1)
-    e = np.exp(b - top[:, None])
-    al, be = np.empty_like(b), np.empty_like(b)
-    w0, ll = (None, 0.0) if before is None else _unlog(before)
-    v = (p.start if w0 is None else w0 @ p.trans) * e[0]
-    for t in range(len(x)):
-        if t:
-            v = (v @ p.trans) * e[t]
-        s = v.sum()
-        v = v / s
-        al[t] = v
-        ll += np.log(s)
-    u, tail = _unlog(np.zeros(p.k) if after is None else after)
-    for t in range(len(x) - 1, -1, -1):
-        be[t] = u
-        u = p.trans @ (e[t] * u)
-        u = u / u.sum()
-    return al, be, e, w0, float(ll + top.sum() + tail + np.log((al[-1] * be[-1]).sum()))
-
-
-def viterbi(x: np.ndarray, p: HmmParams, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
-    """Most likely states of the rows, given the best scores before and after them."""
-    b, a = log_density(x, p), _log(p.trans)
-    score = (_log(p.start) if before is None else (before[:, None] + a).max(0)) + b[0]
-    back = np.zeros((len(x), p.k), dtype=int)
-    for t in range(1, len(x)):
-        step = score[:, None] + a
-        back[t] = step.argmax(0)
-        score = step.max(0) + b[t]
-    path = np.empty(len(x), dtype=int)
-    path[-1] = int((score + (0.0 if after is None else after)).argmax())
-    for t in range(len(x) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def sufficient(x: np.ndarray, p: HmmParams, before=None, after=None) -> dict[str, np.ndarray]:
-    """Sums that the maximisation needs. The transition into the chunk counts here, the one out of it there."""
-    al, be, e, w0, ll = forward_backward(x, p, before, after)
-    g = al * be
-    g = g / g.sum(1, keepdims=True)
-    prior = al[:-1] if w0 is None else np.vstack([w0, al[:-1]])
-    nxt = (e * be)[1:] if w0 is None else e * be
-    z = np.einsum("ti,ij,tj->t", prior, p.trans, nxt)
-    xi = p.trans * ((prior / z[:, None]).T @ nxt)
-    return {
-        "ll": np.array([ll if before is None else 0.0]), "n": np.array([float(len(x))]), "g0": g[0] if before is None else np.zeros(p.k),
-        "g": g.sum(0), "gx": (g.T @ x).ravel(), "gxx": np.einsum("tk,ti,tj->kij", g, x, x).ravel(), "xi": xi.ravel(),
-    }
 
+def _lists(a: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """A list of doubles per row of an array; null where ``mask``."""
+    out = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(a, dtype=float).ravel()), a.shape[1]).cast(pa.list_(pa.float64()))
+    return out if mask is None else pc.if_else(pa.array(mask), pa.scalar(None, out.type), out)
 
-def maximise(s: dict[str, np.ndarray], p: HmmParams) -> HmmParams:
-    """New parameters from the sums; a small prior keeps covariances positive."""
-    k, d = p.means.shape
-    g = np.maximum(s["g"], 1e-10)
-    means = s["gx"].reshape(k, d) / g[:, None]
-    scatter = s["gxx"].reshape(k, d, d) - g[:, None, None] * means[:, :, None] * means[:, None, :]
-    covs = (scatter + 0.01 * np.eye(d)) / g[:, None, None]
-    xi = s["xi"].reshape(k, k)
-    row = xi.sum(1, keepdims=True)
-    trans = np.where(row > 0, xi / np.where(row > 0, row, 1.0), p.trans)
-    return replace(p, start=s["g0"] / s["g0"].sum(), trans=trans, means=means, covs=(covs + covs.transpose(0, 2, 1)) / 2)
-
-
-def fit_local(x: np.ndarray, k: int, max_iter: int = 100, tol: float = 1e-2, seed: int = 42) -> HmmParams:
-    """Fit one bounded series inside a task: start from quantile bands of the first feature, then EM."""
-    rank = np.argsort(np.argsort(np.abs(x[:, 0] - np.median(x[:, 0])), kind="stable"), kind="stable") * k // len(x)
-    means = np.array([x[rank == s].mean(0) for s in range(k)])
-    covs = np.array([np.atleast_2d(np.cov(x[rank == s].T)) + 0.01 * np.eye(x.shape[1]) for s in range(k)])
-    trans = np.ones((k, k)) + np.eye(k)
-    p = HmmParams(np.full(k, 1 / k), trans / trans.sum(1, keepdims=True), means, covs)
-    last = -np.inf
-    for i in range(max_iter):
-        s = sufficient(x, p)
-        p = replace(maximise(s, p), log_likelihood=float(s["ll"][0]), iterations=i + 1)
-        if s["ll"][0] - last < tol:
-            break
-        last = s["ll"][0]
-    return order_states(p)
 
+def _kinds(df: DataFrame, cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
-def order_states(p: HmmParams) -> HmmParams:
-    """States by the variance of the first feature, so that state 0 is the calmest."""
-    o = np.argsort(p.covs[:, 0, 0], kind="stable")
-    return replace(p, start=p.start[o], trans=p.trans[np.ix_(o, o)], means=p.means[o], covs=p.covs[o])
 
+def _heads(t: pa.Table, starts: np.ndarray, cols: Sequence[str], **more: pa.Array) -> pa.Table:
+    """One row per group: its key and what was found for it."""
+    return pa.table({**{c: t[c].take(pa.array(starts[:-1])) for c in cols}, **more})
+
+
+def _product(k: int, best: bool):
+    """All matrices of a group, multiplied in order."""
+    reduce = (lambda a: a.max(1)) if best else (lambda a: tm.lse(a, 1))
+
+    def run(t: pa.Table, starts: np.ndarray) -> np.ndarray:
+        out = []
+        for g in _vectors(t, starts, "m"):
+            m = g[0].reshape(k, k)
+            for row in g[1:]:
+                m = reduce(m[:, :, None] + row.reshape(1, k, k))
+            out.append(m.ravel())
+        return np.array(out)
+
+    return run
+
+
+def _chain(ms: np.ndarray, best: bool, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[list, list]:
+    """State information before and after each of some consecutive chunks (C, K, K), from that around all of them."""
+    reduce = (lambda a, axis: a.max(axis)) if best else tm.lse
+    b, a, at = [], [], before
+    for m in ms:
+        b.append(at)
+        at = m[0] if at is None else reduce(at[:, None] + m, 0)
+    at = np.zeros(ms.shape[1]) if after is None else after
+    for m in ms[::-1]:
+        a.append(at)
+        at = reduce(m + at[None], 1)
+    return b, a[::-1]
 
-# ---------------------------------------------------------------------------------------------------------
-# Distribution
 
+def state_ends(ms: DataFrame, key: Sequence[str], k: int, best: bool = False, fan: int | None = None) -> DataFrame:
+    """``key, chunk, before, after`` from ``key, chunk, m``: what the other chunks of a series say of the state around each.
 
-def _chain(pdf: pd.DataFrame, reduce, k: int) -> pd.DataFrame:
-    """State information before and after each chunk of one series, from the chunk matrices."""
-    pdf = pdf.sort_values(CHUNK).reset_index(drop=True)
-    ms = [np.array(m).reshape(k, k) for m in pdf["m"]]
-    before, after = [None] * len(ms), [None] * len(ms)
-    a = None
-    for i, m in enumerate(ms):
-        before[i] = a
-        a = m[0] if a is None else reduce(a[:, None] + m, 0)
-    z = np.zeros(k)
-    for i in range(len(ms) - 1, -1, -1):
-        after[i] = z
-        z = reduce(ms[i] + z[None], 1)
-    return pdf.assign(before=[None if v is None else list(v) for v in before], after=[list(v) for v in after]).drop(columns=["m"])
-
-
-def _by_chunk(df: DataFrame, key: Sequence[str], p: HmmParams, fn, schema: str, order: str, best: bool = False, chunk_rows: int | None = None) -> DataFrame:
-    """Apply ``fn(rows, before, after)`` to whole bounded series or, exactly, to chunks of long ones."""
-    key = list(key)
+    Up the tree, blocks of ``fan`` consecutive matrices become their product; down the tree, a block hands its own
+    ends to the matrices in it. ``before`` is null for the first chunk of a series.
+    """
+    key, fan = list(key), fan or FAN
+    head, block = _kinds(ms, [*key, CHUNK]), F.floor(F.col(CHUNK) / fan).cast("long")
+    span = (ms.agg(F.max(CHUNK).alias("n")).first()["n"] or 0) + 1
+    multiply, levels = _product(k, best), [ms]
+    while span > fan:
+        up = map_groups(levels[-1].withColumn("_block", block), [*key, "_block"], [CHUNK], lambda t, s: _heads(t, s, [*key, "_block"], m=_lists(multiply(t, s))).rename_columns([*key, CHUNK, "m"]), f"{head}, m array<double>")
+        levels.append(checkpoint(up))
+        span = -(-span // fan)
+
+    def ends(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        b, a = [], []
+        known = "_after" in t.column_names
+        for g, at in zip(_vectors(t, starts, "m"), starts):
+            around = [None if v is None else np.array(v) for v in (t["_before"][at].as_py(), t["_after"][at].as_py())] if known else [None, None]
+            gb, ga = _chain(g.reshape(-1, k, k), best, *around)
+            b, a = b + gb, a + ga
+        first = np.array([v is None for v in b])
+        return t.select([*key, CHUNK]).append_column("before", _lists(np.array([np.zeros(k) if v is None else v for v in b]), first)).append_column("after", _lists(np.array(a)))
+
+    schema = f"{head}, before array<double>, after array<double>"
+    out = map_groups(levels[-1], key, [CHUNK], ends, schema)
+    for lower in reversed(levels[:-1]):
+        around = out.select(*key, F.col(CHUNK).alias("_block"), F.col("before").alias("_before"), F.col("after").alias("_after"))
+        out = map_groups(lower.withColumn("_block", block).join(around, [*key, "_block"]), [*key, "_block"], [CHUNK], ends, schema)
+    return out
+
+
+def place(df: DataFrame, key: Sequence[str], order: str, chunk_rows: int | None = None) -> DataFrame:
+    """Rows where their series or chunk is worked on, written once: further passes shuffle none of them.
+
+    Series ordered by DATE are whole; others get positions and chunk numbers.
+    """
     if chunk_rows is None and is_bounded(df, order):
-        return df.groupBy(*key).applyInPandas(lambda pdf: fn(pdf.sort_values(order), None, None), schema)
-    had = SEQ in df.columns
+        return checkpoint(spread(df, key))
     d = number_rows(df, key, order, chunked=True)
-    d = d.withColumn(CHUNK, F.floor(F.col(SEQ) / (chunk_rows or CHUNK_ROWS)))
-    reduce = (lambda a, axis: a.max(axis)) if best else _lse
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, CHUNK])
+    d = d.withColumn(CHUNK, F.floor(F.col(SEQ) / (chunk_rows or CHUNK_ROWS)).cast("long"))
+    return checkpoint(spread(d, [*key, CHUNK]))
 
-    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEQ)
-        m = chunk_matrix(np.stack(pdf["x"]), p, pdf[CHUNK].iloc[0] == 0, best)
-        return pdf.iloc[:1][[*key, CHUNK]].assign(m=[list(m.ravel())])
 
-    ms = d.groupBy(*key, CHUNK).applyInPandas(matrix, f"{head}, m array<double>")
-    ends = ms.groupBy(*key).applyInPandas(lambda pdf: _chain(pdf, reduce, p.k), f"{head}, before array<double>, after array<double>")
+def over_series(df: DataFrame, key: Sequence[str], p: HmmParams | None, fn, schema: str, order: str, best: bool = False, k: int | None = None) -> DataFrame:
+    """``fn(table, starts, rows of each group, models, ends)`` over placed series or, exactly, over chunks of them.
 
-    def both(rows: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
-        b, a = end["before"].iloc[0], end["after"].iloc[0]
-        out = fn(rows.sort_values(SEQ), None if b is None else np.array(b), np.array(a))
-        return out.drop(columns=[c for c in (CHUNK, *([] if had else [SEQ])) if c in out.columns])
+    All have the model ``p``; or, without it, each its own of ``k`` states, which the column ``_model`` holds.
+    """
+    key, k = list(key), p.k if p is not None else k
 
-    return d.groupBy(*key, CHUNK).cogroup(ends.groupBy(*key, CHUNK)).applyInPandas(both, schema)
+    def models(t: pa.Table, starts: np.ndarray, xs: list[np.ndarray]) -> tm.Models:
+        if p is not None:
+            return tm.Models.same(p, len(xs))
+        flat = t["_model"].take(pa.array(starts[:-1])).combine_chunks().flatten().to_numpy()
+        return tm.Models.from_flat(flat.reshape(len(xs), -1), k, xs[0].shape[1])
+
+    def alone(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        xs = _vectors(t, starts)
+        return fn(t, starts, xs, models(t, starts, xs), tm.Ends.none(len(xs), k))
+
+    if CHUNK not in df.columns:
+        return map_groups(df, key, [order], alone, schema, placed=True)
+    group = [*key, CHUNK]
+
+    def effect(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        xs, first = _vectors(t, starts), t[CHUNK].to_numpy()[starts[:-1]] == 0
+        m, out = models(t, starts, xs), np.empty((len(xs), k * k))
+        for at, s in tm.stacks(xs):
+            out[at] = tm.effects(s, m.pick(at), first[at], best).reshape(len(at), -1)
+        return _heads(t, starts, group, m=_lists(out))
+
+    own = ["_model"] if p is None else []
+    ms = checkpoint(map_groups(df.select(*group, SEQ, "x", *own), group, [SEQ], effect, _kinds(df, group) + ", m array<double>", placed=True))
+    ends = state_ends(ms, key, k, best)
+
+    def both(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        at = pa.array(starts[:-1])
+        before, after = (t[c].take(at).combine_chunks() for c in ("before", "after"))
+        first = before.is_null().to_numpy(zero_copy_only=False)
+        logs = np.zeros((len(first), k))
+        logs[~first] = before.flatten().to_numpy().reshape(-1, k)
+        xs = _vectors(t, starts)
+        return fn(t, starts, xs, models(t, starts, xs), tm.Ends(logs, after.flatten().to_numpy().reshape(-1, k), first))
+
+    return map_groups(df.join(ends, group), group, [SEQ], both, schema, placed=True)
+
+
+def _each(xs: list[np.ndarray], m: tm.Models, ends: tm.Ends, fn) -> Iterator[tuple[np.ndarray, tm.Stack, np.ndarray]]:
+    for at, s in tm.stacks(xs):
+        yield at, s, fn(s, m.pick(at), ends.pick(at))
+
+
+def expected_sums(xs: list[np.ndarray], m: tm.Models, ends: tm.Ends) -> np.ndarray:
+    """What the maximisation needs of each series, a flat row for each; see ``sums_from``."""
+    rows: np.ndarray | None = None
+    for at, _, e in _each(xs, m, ends, tm.expected):
+        flat = np.concatenate([e[n].reshape(len(at), -1) for n in tm.SUMS], axis=1)
+        rows = np.empty((len(xs), flat.shape[1])) if rows is None else rows
+        rows[at] = flat
+    return rows
+
+
+def sums_from(rows: np.ndarray, k: int, d: int) -> dict[str, np.ndarray]:
+    shapes = {"ll": (), "n": (), "g0": (k,), "g": (k,), "gx": (k, d), "gxx": (k, d, d), "xi": (k, k)}
+    cut = np.cumsum([0, *[int(np.prod(s)) for s in shapes.values()]])
+    return {n: rows[:, a:b].reshape(len(rows), *s) for (n, s), a, b in zip(shapes.items(), cut, cut[1:])}
 
 
 def _features(df: DataFrame, p: HmmParams) -> DataFrame:
@@ -294,41 +293,42 @@ def fit_hmm(
     """One model pooled over all series. Each iteration is one job over the prepared features, which are
     written to the checkpoint folder once; a few hundred numbers come back."""
     d, prep = prepare_regime_features(df, cols, approx=approx)
-    d = d.select(*key, order, "x")
-    if chunk_rows is not None or not is_bounded(d, order):
-        d = checkpoint(number_rows(d, key, order, chunked=True))
-    else:
-        d = checkpoint(spread(d, key))  # keeps its partitioning: the iterations shuffle no rows
+    d = place(d.select(*key, order, "x", *([SEQ] if SEQ in d.columns else [])), key, order, chunk_rows)
     p = replace(kmeans_init(d, k, seed), prep=prep, labels=regime_labels(k))
     dim = len(prep.cols)
-    sizes = {"ll": 1, "n": 1, "g0": k, "g": k, "gx": k * dim, "gxx": k * dim * dim, "xi": k * k}
-    names = [f"{n}_{i}" for n, m in sizes.items() for i in range(m)]
+    names = [f"s{i}" for i in range(2 + 2 * k + k * dim * (1 + dim) + k * k)]
     last = -np.inf
     for it in range(max_iter):
 
-        def step(pdf, before, after, p=p):
-            s = sufficient(np.stack(pdf["x"]), p, before, after)
-            return pd.DataFrame([np.concatenate([s[n] for n in sizes])], columns=names)
+        def step(t, starts, xs, m, ends):
+            return pa.table({n: [v] for n, v in zip(names, expected_sums(xs, m, ends).sum(0))})
 
-        sums = _by_chunk(d, key, p, step, ", ".join(f"{n} double" for n in names), order, chunk_rows=chunk_rows)
-        row = np.array(sums.agg(*[F.sum(n).alias(n) for n in names]).first(), dtype=float)
-        cut = np.cumsum([0, *sizes.values()])
-        s = {n: row[a:b] for n, a, b in zip(sizes, cut, cut[1:])}
-        p = replace(maximise(s, p), log_likelihood=float(s["ll"][0]), iterations=it + 1)
-        if s["ll"][0] - last < tol:
+        sums = over_series(d, key, p, step, ", ".join(f"{n} double" for n in names), order)
+        e = sums_from(np.array([sums.agg(*[F.sum(n).alias(n) for n in names]).first()], dtype=float), k, dim)
+        m = tm.maximised(e, tm.Models.same(p, 1))
+        p = replace(p, start=m.start[0], trans=m.trans[0], means=m.means[0], covs=m.covs[0], log_likelihood=float(e["ll"][0]), iterations=it + 1)
+        if e["ll"][0] - last < tol:
+            p = replace(p, converged=True)
             break
-        last = s["ll"][0]
+        last = e["ll"][0]
     return order_states(p) if label_order == "variance" else p
 
 
+def _placed(df: DataFrame, p: HmmParams, key: Sequence[str], order: str, chunk_rows: int | None) -> DataFrame:
+    d = _features(df, p)
+    return place(d.select(*key, order, "x", *([SEQ] if SEQ in d.columns else [])), key, order, chunk_rows)
+
+
 def predict_regimes(df: DataFrame, p: HmmParams, smoothing: int = 5, key: Sequence[str] = KEY, order: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     """``key, ts, state, label``: the most likely path, smoothed by the mode of the rows around."""
-    d = _features(df, p).select(*key, order, "x", *([SEQ] if SEQ in df.columns else []))
+    d = _placed(df, p, key, order, chunk_rows)
+    keep = [*key, order, *([SEQ] if SEQ in df.columns else [])]
 
-    def run(pdf, before, after):
-        return pdf.drop(columns=["x"]).assign(state=viterbi(np.stack(pdf["x"]), p, before, after))
+    def run(t, starts, xs, m, ends):
+        path = tm.paths_many(xs, m, ends)
+        return t.select(keep).append_column("state", pa.array(np.concatenate(path), pa.int32()))
 
-    out = _by_chunk(d, key, p, run, schema_of(d.drop("x"), state="int"), order, True, chunk_rows)
+    out = over_series(d, key, p, run, _kinds(d, keep) + ", state int", order, True)
     if smoothing > 0:
         out = smooth_mode(out, smoothing, key, "state", order, chunk_rows=chunk_rows)
     names = p.labels or regime_labels(p.k)
@@ -337,26 +337,30 @@ def predict_regimes(df: DataFrame, p: HmmParams, smoothing: int = 5, key: Sequen
 
 def predict_proba(df: DataFrame, p: HmmParams, key: Sequence[str] = KEY, order: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     """``key, ts, p``: probability of each state given the whole series."""
-    d = _features(df, p).select(*key, order, "x", *([SEQ] if SEQ in df.columns else []))
+    d = _placed(df, p, key, order, chunk_rows)
+    keep = [*key, order, *([SEQ] if SEQ in df.columns else [])]
 
-    def run(pdf, before, after):
-        al, be, *_ = forward_backward(np.stack(pdf["x"]), p, before, after)
-        g = al * be
-        return pdf.drop(columns=["x"]).assign(p=list(g / g.sum(1, keepdims=True)))
+    def run(t, starts, xs, m, ends):
+        out: list[np.ndarray] = [np.empty(0)] * len(xs)
+        for at, s, g in _each(xs, m, ends, tm.probabilities):
+            for j, i in enumerate(at):
+                out[i] = g[: s.n[j], j]
+        return t.select(keep).append_column("p", _lists(np.concatenate(out)))
 
-    return _by_chunk(d, key, p, run, schema_of(d.drop("x"), p="array<double>"), order, chunk_rows=chunk_rows)
+    return over_series(d, key, p, run, _kinds(d, keep) + ", p array<double>", order)
 
 
 def information_criteria(df: DataFrame, p: HmmParams, key: Sequence[str] = KEY, order: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     """Per series: log likelihood, AIC and BIC with (K^2 - 1) + 2K parameters."""
-    d = _features(df, p).select(*key, order, "x")
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    d = _placed(df, p, key, order, chunk_rows)
 
-    def run(pdf, before, after):
-        ll = forward_backward(np.stack(pdf["x"]), p, before, after)[-1]
-        return pdf.iloc[:1][list(key)].assign(ll=ll if before is None else 0.0, n=float(len(pdf)))
+    def run(t, starts, xs, m, ends):
+        ll = np.zeros(len(xs))
+        for at, _, v in _each(xs, m, ends, tm.likelihoods):
+            ll[at] = np.where(ends.first[at], v, 0.0)
+        return _heads(t, starts, key, ll=pa.array(ll), n=pa.array(np.diff(starts).astype(float)))
 
-    s = _by_chunk(d, key, p, run, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", ll double, n double", order, chunk_rows=chunk_rows)
+    s = over_series(d, key, p, run, _kinds(d, key) + ", ll double, n double", order)
     m = p.k * p.k - 1 + 2 * p.k
     s = s.groupBy(*key).agg(F.sum("ll").alias("log_likelihood"), F.sum("n").alias("n"))
     return s.withColumns({"aic": -2 * F.col("log_likelihood") + 2 * m, "bic": -2 * F.col("log_likelihood") + F.log("n") * m})
@@ -372,7 +376,7 @@ def save_hmm(spark: SparkSession, p: HmmParams, path: str) -> None:
     """Parameters as a one-row table."""
     body = {
         "start": p.start.tolist(), "trans": p.trans.tolist(), "means": p.means.tolist(), "covs": p.covs.tolist(), "labels": p.labels,
-        "prep": None if p.prep is None else vars(p.prep), "log_likelihood": p.log_likelihood, "iterations": p.iterations,
+        "prep": None if p.prep is None else vars(p.prep), "log_likelihood": p.log_likelihood, "iterations": p.iterations, "converged": p.converged,
     }
     spark.createDataFrame([(json.dumps(body),)], "model string").write.mode("overwrite").parquet(path)
 
@@ -380,40 +384,65 @@ def save_hmm(spark: SparkSession, p: HmmParams, path: str) -> None:
 def load_hmm(spark: SparkSession, path: str) -> HmmParams:
     b = json.loads(spark.read.parquet(path).first()["model"])
     prep = None if b["prep"] is None else Prep(b["prep"]["cols"], {c: tuple(v) for c, v in b["prep"]["limits"].items()}, b["prep"]["mean"], b["prep"]["scale"])
-    return HmmParams(*[np.array(b[n]) for n in ("start", "trans", "means", "covs")], prep, b["labels"], b["log_likelihood"], b["iterations"])
+    return HmmParams(*[np.array(b[n]) for n in ("start", "trans", "means", "covs")], prep, b["labels"], b["log_likelihood"], b["iterations"], b.get("converged", False))
 
 
 # ---------------------------------------------------------------------------------------------------------
-# One model per group: series, walk-forward window, fold. Groups are bounded, so each is fitted in its task.
+# One model per group: series, walk-forward window, fold. A task fits all groups it holds at once.
 
 
 def _scaled(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    lo, hi = np.nanpercentile(ref, 1, axis=0), np.nanpercentile(ref, 99, axis=0)
+    """Winsorised, filled and scaled by the limits and spread of ``ref``; a column without a value is 0."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # columns without a value
+        lo, hi = np.nanpercentile(ref, 1, axis=0), np.nanpercentile(ref, 99, axis=0)
     c = np.nan_to_num(np.clip(ref, lo, hi))
     s = c.std(0)
     return (np.nan_to_num(np.clip(x, lo, hi)) - c.mean(0)) / np.where(s > 1e-4, s, 1.0)
 
 
-def regimes_per_series(df: DataFrame, cols: Sequence[str], key: Sequence[str] = ("asset",), k: int = 3, max_iter: int = 100, order: str = "ts", smoothing: int = 5) -> DataFrame:
-    """Fit and label every series with its own model, all in one job. Needs series bounded by the calendar.
+def _raw(t: pa.Table, cols: Sequence[str]) -> np.ndarray:
+    """Columns as one array of doubles; null is NaN."""
+    return np.stack([t[c].cast(pa.float64()).to_numpy() for c in cols], axis=1)
 
-    All rows stay; a series of fewer than ``10 * k`` rows is not fitted: ``fitted`` is false, state and label are NULL.
+
+def regimes_per_series(
+    df: DataFrame, cols: Sequence[str], key: Sequence[str] = ("asset",), k: int = 3, max_iter: int = 100, order: str = "ts", smoothing: int = 5, tol: float = 1e-2,
+    long_rows: int = 500_000, chunk_rows: int | None = None,
+) -> DataFrame:
+    """Fit and label every series with its own model, all in one job: ``key, ts, state, iterations, converged, label``.
+
+    All rows of all series stay, however short; ``converged`` says whether the likelihood of a series settled within
+    ``max_iter``. Series that are not ordered by DATE may hold any number of rows: those of more than ``long_rows``
+    are cut into chunks of ``chunk_rows`` and fitted together, an iteration of all of them at a time.
     """
-    if not is_bounded(df, order):
-        raise ValueError("one model per series needs a DATE order; use the pooled fit_hmm for longer series")
     d = df.select(*key, order, *cols)
     names = regime_labels(k)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        raw = pdf[list(cols)].to_numpy(dtype=float)
-        if len(pdf) < 10 * k:
-            return pdf.drop(columns=list(cols)).assign(state=None, fitted=False)
-        x = _scaled(raw, raw)
-        return pdf.drop(columns=list(cols)).assign(state=viterbi(x, fit_local(x, k, max_iter)), fitted=True)
-
-    out = spread(d, key).groupBy(*key).applyInPandas(run, schema_of(d.drop(*cols), state="int", fitted="boolean"))
-    out = smooth_mode(out, smoothing, key, "state", order) if smoothing else out
+    keep = [*key, order]
+    schema = _kinds(d, keep) + ", state int, iterations int, converged boolean"
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        raw = _raw(t, cols)
+        xs = [_scaled(raw[a:b], raw[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        fits = tm.fit_many(xs, k, max_iter, tol)
+        path, size = np.concatenate(tm.paths_many(xs, fits.models)), np.diff(starts)
+        out = t.select(keep)
+        for name, v, kind in (("state", path, pa.int32()), ("iterations", np.repeat(fits.iterations, size), pa.int32()), ("converged", np.repeat(fits.converged, size), pa.bool_())):
+            out = out.append_column(name, pa.array(v, kind))
+        return out
+
+    if is_bounded(d, order):
+        out = map_groups(d, key, [order], run, schema, rows=20_000)
+    else:
+        sizes = checkpoint(d.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
+        short = d.join(sizes.filter(F.col("_n") <= long_rows).select(*key), list(key), "left_semi")
+        out = map_groups(short, key, [order], run, schema, rows=20_000)
+        if sizes.filter(F.col("_n") > long_rows).limit(1).count():
+            from tidemark.operators.longfit import regimes_of_long_series
+
+            long = d.join(sizes.filter(F.col("_n") > long_rows).select(*key), list(key), "left_semi")
+            out = out.unionByName(regimes_of_long_series(long, cols, key, k, max_iter, order, tol, chunk_rows))
+    out = smooth_mode(out, smoothing, key, "state", order, chunk_rows=None if is_bounded(d, order) else chunk_rows) if smoothing else out
     return out.withColumn("label", F.get(F.array(*[F.lit(x) for x in names]), F.col("state")))
 
 
@@ -422,54 +451,81 @@ def walk_forward_confidence(
     history: int = 63, min_rows: int = 21, max_iter: int = 50, order: str = "ts",
 ) -> DataFrame:
     """Per window: fit on its training rows, label its test rows (with ``history`` rows before them as context),
-    and map states to confidence. ``windows`` is ``ts, window_id, role``; a group holds one window of one series."""
+    and map states to confidence. ``windows`` is ``ts, window_id, role``; a group holds one window of one series.
+
+    A window of fewer training rows without nulls than ``max(min_rows, history, 10)`` is not fitted: state, confidence,
+    iterations and converged of its test rows are NULL.
+    """
     from tidemark.operators.backtest import confidence_map
 
     d = df.select(*key, order, *cols).join(windows, order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        if len(test) == 0 or train[list(cols)].dropna().shape[0] < max(min_rows, history, 10):
-            return test.drop(columns=[*cols, "role"]).assign(state=None)
-        ref = train[list(cols)].to_numpy(dtype=float)
-        p = fit_local(_scaled(ref, ref), k, max_iter)
-        context = pd.concat([train.iloc[-history:], test])
-        path = viterbi(_scaled(context[list(cols)].to_numpy(dtype=float), ref), p)
-        return test.drop(columns=[*cols, "role"]).assign(state=path[-len(test) :])
-
-    out = spread(d, [*key, "window_id"]).groupBy(*key, "window_id").applyInPandas(run, schema_of(d.drop(*cols, "role"), state="int"))
+    keep = [c for c in d.columns if c not in (*cols, "role")]
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        raw, train = _raw(t, cols), np.array(t["role"].to_pylist()) == "train"
+        tests, fits_on, contexts, pick = [], [], [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            known, test = raw[a:b][train[a:b]], a + np.flatnonzero(~train[a:b])
+            tests.append(test)
+            pick.append(len(test) > 0 and (~np.isnan(known).any(axis=1)).sum() >= max(min_rows, history, 10))
+            if pick[-1]:
+                fits_on.append(_scaled(known, known))
+                contexts.append(_scaled(np.concatenate((known[-history:], raw[test])), known))
+        n = sum(map(len, tests))
+        state, its, done, fitted = np.zeros(n, "i4"), np.zeros(n, "i4"), np.zeros(n, bool), np.repeat(pick, [len(x) for x in tests]).astype(bool)
+        if fits_on:
+            fits = tm.fit_many(fits_on, k, max_iter)
+            paths = tm.paths_many(contexts, fits.models)
+            size = [len(x) for x, ok in zip(tests, pick) if ok]
+            state[fitted] = np.concatenate([p[-m:] for p, m in zip(paths, size)])
+            its[fitted], done[fitted] = np.repeat(fits.iterations, size), np.repeat(fits.converged, size)
+        out = t.select(keep).take(pa.array(np.concatenate(tests)))
+        for name, v in (("state", state), ("iterations", its), ("converged", done)):
+            out = out.append_column(name, pa.array(v, mask=~fitted))
+        return out
+
+    out = map_groups(d, [*key, "window_id"], [order], run, _kinds(d, keep) + ", state int, iterations int, converged boolean", rows=20_000)
     known = confidence_map(out, mapping, k)
     return known.withColumn("confidence", F.when(F.col("state").isNotNull(), F.col("confidence")))
 
 
 def ts_cross_validate(df: DataFrame, cols: Sequence[str], k: int = 3, n_splits: int = 5, key: Sequence[str] = ("series",), max_iter: int = 50, order: str = "ts") -> DataFrame:
-    """Per expanding fold: share of test rows that keep the label of the row before (the first counts as a change)."""
+    """Per expanding fold: share of test rows that keep the label of the row before (the first counts as a change).
+
+    ``train_rows, test_rows, iterations, converged`` come with it; a fold without rows on either side has a null share.
+    """
     from tidemark.operators.prep import time_series_folds
 
     d = time_series_folds(df.select(*key, order, *cols).dropna(), n_splits, key, order)
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        head = pdf.iloc[:1][[*key, "fold"]]
-        if len(train) < 10 * k or len(test) == 0:
-            return head.assign(stability=np.nan)
-        ref = train[list(cols)].to_numpy(dtype=float)
-        p = fit_local(_scaled(ref, ref), k, max_iter)
-        path = viterbi(_scaled(test[list(cols)].to_numpy(dtype=float), ref), p)
-        return head.assign(stability=1 - (1 + (path[1:] != path[:-1]).sum()) / len(path))
-
-    return spread(d, [*key, "fold"]).groupBy(*key, "fold").applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*key, "fold"]) + ", stability double")
+    head = [*key, "fold"]
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        raw, train = _raw(t, cols), np.array(t["role"].to_pylist()) == "train"
+        parts = [(raw[a:b][train[a:b]], raw[a:b][~train[a:b]]) for a, b in zip(starts[:-1], starts[1:])]
+        n = len(parts)
+        known = np.array([len(x) > 0 and len(y) > 0 for x, y in parts])
+        share, its, done = np.zeros(n), np.zeros(n, "i4"), np.zeros(n, bool)
+        if known.any():
+            fits = tm.fit_many([_scaled(x, x) for (x, _), ok in zip(parts, known) if ok], k, max_iter)
+            paths = tm.paths_many([_scaled(y, x) for (x, y), ok in zip(parts, known) if ok], fits.models)
+            share[known] = [1 - (1 + (p[1:] != p[:-1]).sum()) / len(p) for p in paths]
+            its[known], done[known] = fits.iterations, fits.converged
+        size = [pa.array([len(p[i]) for p in parts], pa.int64()) for i in (0, 1)]
+        mask = ~known
+        return _heads(t, starts, head, stability=pa.array(share, mask=mask), train_rows=size[0], test_rows=size[1], iterations=pa.array(its, mask=mask), converged=pa.array(done, mask=mask))
+
+    return map_groups(d, head, [order], run, _kinds(d, head) + ", stability double, train_rows long, test_rows long, iterations int, converged boolean", rows=20_000)
 
 
 def stability_report(df: DataFrame, p: HmmParams, cols: Sequence[str], key: Sequence[str] = ("series",), n_splits: int = 5, order: str = "ts") -> DataFrame:
-    """Cross-validated stability next to likelihood criteria, persistence and mean duration of the labels."""
+    """Cross-validated stability next to likelihood criteria, persistence and mean duration of the labels.
+
+    ``n_folds`` counts the folds that the mean is over.
+    """
     from tidemark.operators.regime import average_duration, regime_persistence
 
     cv = ts_cross_validate(df, cols, p.k, n_splits, key, order=order).groupBy(*key).agg(
-        F.avg("stability").alias("mean_stability"), F.stddev_pop("stability").alias("std_stability")
+        F.avg("stability").alias("mean_stability"), F.stddev_pop("stability").alias("std_stability"), F.count("stability").alias("n_folds")
     )
     reg = checkpoint(predict_regimes(df, p, 5, key, order))
     out = cv.withColumn("stability_significant", F.col("mean_stability") > 0.7)
