@@ -156,6 +156,13 @@ def test_fit_finds_calm_and_wild(spark):
     assert p8.iterations <= 8 and not p2.converged and hmm.fit_hmm(d, cols, ["asset"], 2).converged
     own = by(hmm.regimes_per_series(d, cols, ["asset"], 2), "state")
     assert np.mean(np.array(own) == s) > 0.9
+    plans = [hmm.fit_hmm(d, cols, ["asset"], 2, max_iter=5, small_rows=0), hmm.fit_hmm(stamped(d), cols, ["asset"], 2, max_iter=5, chunk_rows=50)]
+    whole = hmm.fit_hmm(d, cols, ["asset"], 2, max_iter=5)
+    for q in plans:  # stacks, chunks: the same sums as in one task
+        assert q.iterations == whole.iterations
+        np.testing.assert_allclose(q.means, whole.means, atol=1e-8)
+        np.testing.assert_allclose(q.trans, whole.trans, atol=1e-8)
+        assert abs(q.log_likelihood - whole.log_likelihood) < 1e-6
     with pytest.raises(ValueError):
         hmm.fit_hmm(d, ["missing"], ["asset"], 2)
 

@@ -127,17 +127,14 @@ def market_data(spark):
     return pd.DataFrame(rets), pd.DataFrame(sig), d
 
 
-def _loop(rets, sig, conf, dynamic, cost=0.0015, fixed=0.0, freq=lambda t, p: True):
+def _loop(rets, sig, conf, cost=0.0015, fixed=0.0, freq=lambda t, p: True):
     """Plain day loop over the same rules."""
-    v, held, out, curve = 1.0, np.zeros(3), [], []
+    v, held, out = 1.0, np.zeros(3), []
     days = pd.date_range("2020-01-01", periods=len(rets))
     for i in range(len(rets)):
         if i == 0 or freq(days[i], days[i - 1]):
             s = sig.iloc[i].to_numpy()
             w = s / np.abs(s).sum() * np.clip(conf, 0.2, 1)
-            if dynamic and i > 21:
-                vol = pd.Series(curve).pct_change().tail(21).std() * 252**0.5
-                w = w * np.clip(0.15 / vol, 0.5, 2.0)
             w = np.clip(w, -0.5, 0.5)
             if np.abs(w).sum() > 1:
                 w = w / np.abs(w).sum()
@@ -147,21 +144,19 @@ def _loop(rets, sig, conf, dynamic, cost=0.0015, fixed=0.0, freq=lambda t, p: Tr
                 v -= move.sum() * cost * v + (move > 1e-6).sum() * fixed
             held = w
         v *= 1 + (held * rets.iloc[i].to_numpy()).sum()
-        curve.append(v)
         out.append(v)
     return out
 
 
-@pytest.mark.parametrize("kind", ["regime_confidence", "dynamic"])
-def test_backtest_against_day_loop(market_data, kind):
+def test_backtest_against_day_loop(market_data):
     rets, sig, d = market_data
     conf = d.select("asset", "ts").withColumn("confidence", F.lit(0.9))
-    s = Strategy("s", kind, "M", max_position=0.5, fixed_cost=0.0001)
+    s = Strategy("s", "regime_confidence", "M", max_position=0.5, fixed_cost=0.0001)
     t = bt.run_backtest(d.select("asset", "ts", "ret"), d.select("asset", "ts", "signal"), [s], confidence=conf)
     got = [r["equity"] for r in t.ledger.orderBy("ts").collect()]
-    same(got, _loop(rets, sig, 0.9, kind == "dynamic", fixed=0.0001, freq=lambda a, b: a.month != b.month))
-    daily_ = bt.run_backtest(d.select("asset", "ts", "ret"), d.select("asset", "ts", "signal"), [Strategy("s", kind, "D", max_position=0.5)], confidence=conf)
-    same([r["equity"] for r in daily_.ledger.orderBy("ts").collect()], _loop(rets, sig, 0.9, kind == "dynamic"))
+    same(got, _loop(rets, sig, 0.9, fixed=0.0001, freq=lambda a, b: a.month != b.month))
+    daily_ = bt.run_backtest(d.select("asset", "ts", "ret"), d.select("asset", "ts", "signal"), [Strategy("s", "regime_confidence", "D", max_position=0.5)], confidence=conf)
+    same([r["equity"] for r in daily_.ledger.orderBy("ts").collect()], _loop(rets, sig, 0.9))
     assert daily_.positions.groupBy("ts").agg(F.sum(F.abs("weight")).alias("g")).filter("g > 1 + 1e-9").count() == 0
 
 

@@ -339,14 +339,6 @@ def confidence_map(spark, sf):
     return rounded(bt.confidence_map(e))
 
 
-@query()
-def backtest_dynamic(spark, sf):
-    """Sizing with feedback from the equity curve, per walk-forward window, next to a static strategy."""
-    r = returns_of(panel(spark, sf))
-    strategies = [Strategy("feedback", "dynamic", "D"), Strategy("static", "regime_confidence", "D")]
-    return rounded(bt.run_backtest(r, signals_of(r), strategies, (252, 63), confidence_of(r)).metrics)
-
-
 @query(
     sql(
         f"""SELECT strategy, {rnd('avg(ret) * 252')} AS annual_return, {rnd('stddev_samp(ret) * sqrt(252)')} AS annual_vol, {rnd('avg(ret) / (stddev_samp(ret) + 1e-8) * sqrt(252)')} AS sharpe,

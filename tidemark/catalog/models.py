@@ -32,9 +32,9 @@ def feats(r):
     return d.filter("vol is not null")
 
 
-def fitted(spark, sf, max_iter=4):
+def fitted(spark, sf):
     f = checkpoint(feats(mrets(spark, sf)))
-    return f, hmm.fit_hmm(f, COLS, A, 3, max_iter=max_iter)
+    return f, hmm.fit_hmm(f, COLS, A, 3)
 
 
 @query
@@ -53,8 +53,8 @@ def kmeans_init(spark, sf):
 @query
 def fit_hmm(spark, sf):
     _, p = fitted(spark, sf)
-    rows = [(i, p.labels[i], float(p.log_likelihood), *map(float, p.means[i])) for i in range(p.k)]
-    return rounded(spark.createDataFrame(rows, "state int, label string, log_likelihood double, " + ", ".join(f"{c} double" for c in COLS)), 3)
+    rows = [(i, p.labels[i], float(p.log_likelihood), p.iterations, p.converged, *map(float, p.means[i])) for i in range(p.k)]
+    return rounded(spark.createDataFrame(rows, "state int, label string, log_likelihood double, iterations int, converged boolean, " + ", ".join(f"{c} double" for c in COLS)), 3)
 
 
 @query
@@ -83,7 +83,7 @@ def transition_matrix_model(spark, sf):
 @query
 def save_load_hmm(spark, sf):
     """Labels from a model that was written and read back."""
-    f, p = fitted(spark, sf, 2)
+    f, p = fitted(spark, sf)
     path = work_path(spark, "model")
     hmm.save_hmm(spark, p, path)
     return hmm.predict_regimes(f, hmm.load_hmm(spark, path), 5, A).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -92,24 +92,24 @@ def save_load_hmm(spark, sf):
 @query
 def regimes_per_asset(spark, sf):
     """One model per supplier series, all in one job."""
-    return hmm.regimes_per_series(feats(mrets(spark, sf)), COLS, A, max_iter=10)
+    return hmm.regimes_per_series(feats(mrets(spark, sf)), COLS, A)
 
 
 @query
 def walk_forward_confidence(spark, sf):
     d = panel(spark, sf).groupBy("ts").agg(F.avg(F.tanh("ret")).alias("ret")).withColumn("series", F.lit("all"))
     w = bt.walk_forward_windows(d)
-    return hmm.walk_forward_confidence(d, w, max_iter=5)
+    return hmm.walk_forward_confidence(d, w)
 
 
 @query
 def ts_cross_validate(spark, sf):
-    return rounded(hmm.ts_cross_validate(feats(rets(spark, sf)), COLS, key=A, max_iter=5), 4)
+    return rounded(hmm.ts_cross_validate(feats(rets(spark, sf)), COLS, key=A), 4)
 
 
 @query
 def stability_report(spark, sf):
-    f, p = fitted(spark, sf, 2)
+    f, p = fitted(spark, sf)
     return rounded(hmm.stability_report(f, p, COLS, A, 3), 3)
 
 
@@ -124,7 +124,7 @@ def _windows(spark, sf):
 @query
 def regime_classifier(spark, sf):
     seq = _windows(spark, sf)
-    model, _ = cl.fit_regime_classifier(seq, 3, max_iter=15)
+    model, _ = cl.fit_regime_classifier(seq, 3)
     p = cl.classifier_proba(seq, model)
     return rounded(p.select("asset", "ts", *[F.col("p")[i].alias(f"p{i}") for i in range(3)]), 3)
 
@@ -132,7 +132,7 @@ def regime_classifier(spark, sf):
 @query
 def regime_classifier_perceptron(spark, sf):
     seq = _windows(spark, sf)
-    model, acc = cl.fit_regime_classifier(seq, 3, hidden=[8], max_iter=15)
+    model, acc = cl.fit_regime_classifier(seq, 3, hidden=[8])
     return rounded(cl.predict_latest(seq, model).select("asset", "ts", *[F.col("p")[i].alias(f"p{i}") for i in range(3)]), 2)
 
 
@@ -140,9 +140,9 @@ def regime_classifier_perceptron(spark, sf):
 def fused_model_labels(spark, sf):
     """Markov probabilities fused with those of the classifier."""
     f = checkpoint(feats(rets(spark, sf)))
-    p = hmm.fit_hmm(f, COLS, A, 3, max_iter=3)
+    p = hmm.fit_hmm(f, COLS, A, 3)
     seq = checkpoint(rg.sequence_windows(f.join(hmm.predict_regimes(f, p, 5, A).select("asset", "ts", "state"), ["asset", "ts"]), COLS, 20))
-    model, _ = cl.fit_regime_classifier(seq, 3, max_iter=10)
+    model, _ = cl.fit_regime_classifier(seq, 3)
     return rg.fuse_labels(hmm.predict_proba(f, p, A), cl.classifier_proba(seq, model), key=A)
 
 
@@ -151,4 +151,4 @@ def vol_forecast_interval(spark, sf):
     r = rets(spark, sf).select("asset", "ts", F.tanh("ret").alias("ret"))
     s = series(r, A, lookback=9)
     d = s.add({"vol": R.std(s, "ret", 10)}).filter("vol is not null")
-    return rounded(cl.vol_forecast_interval(rg.sequence_windows(d, ["vol"], 5), "vol", 5, 50), 4)
+    return rounded(cl.vol_forecast_interval(rg.sequence_windows(d, ["vol"], 5), "vol", 5), 4)

@@ -13,7 +13,7 @@ from tidemark.session import checkpoint
 QUERIES, ORACLES = {}, {}
 SMALL = "port AS (SELECT substr(asset, 3, 1) AS portfolio, ts, avg(ret) / 50 AS ret FROM rets GROUP BY 1, 2)"
 SEQ = "sq AS (SELECT portfolio, ret, row_number() OVER (PARTITION BY portfolio ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY portfolio) AS n FROM port)"
-BOOTS = 100
+BOOTS = 1000
 
 
 def query(oracle: str | None = None):

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,65 +105,6 @@ def no_trade_zone(weights: DataFrame, threshold: float = BAND, key: Sequence[str
     return d.drop("_target")
 
 
-def dynamic_positions(weights: DataFrame, threshold: float = BAND, order: str = "ts") -> DataFrame:
-    """Sizing that scales with the volatility of its own equity curve: date after date per run.
-
-    The scale of a date depends on the equity before it, which depends on all scales before, so one run is
-    sequential; runs are parallel. A task holds one cross-section, the held weights and 22 equity values.
-    Expects ``weight`` (base weights), ``ret``, ``rebalance_day`` and the settings.
-    """
-    cols = weights.columns
-
-    def run(batches):
-        state = {"run": None}
-
-        def close(rows: pd.DataFrame) -> pd.DataFrame:
-            first = rows.iloc[0]
-            this = (first["strategy_id"], first["window_id"])
-            if this != state["run"]:
-                state.update(run=this, i=0, value=first["cash"], held={}, curve=deque(maxlen=22))
-            names = rows["asset"].tolist()
-            old = np.array([state["held"].get(a, 0.0) for a in names])
-            new = old
-            if first["rebalance_day"]:
-                w = rows["weight"].fillna(0.0).to_numpy().copy()
-                if state["i"] > 21:
-                    curve = np.array(state["curve"])
-                    vol = (curve[1:] / curve[:-1] - 1).std(ddof=1) * ROOT_YEAR
-                    if vol > 0:
-                        w *= np.clip(0.15 / vol, 0.5, 2.0)
-                if not first["allow_short"]:
-                    w = np.maximum(w, 0.0)
-                w = np.clip(w, -first["max_position"], first["max_position"])
-                gross = np.abs(w).sum()
-                if gross > first["leverage"] and gross > 0:
-                    w *= first["leverage"] / gross
-                new = np.where(np.abs(w - old) < threshold, old, w) if state["i"] else w
-                if state["i"]:
-                    turn = np.abs(new - old)
-                    rate = first["cost"] + first["slippage"]
-                    state["value"] -= turn.sum() * rate * state["value"] + (turn > first["min_trade"]).sum() * first["fixed_cost"]
-                state["held"].update(zip(names, new))
-            state["value"] *= 1 + float((new * rows["ret"].fillna(0.0).to_numpy()).sum())
-            state["curve"].append(state["value"])
-            state["i"] += 1
-            return rows.assign(weight=new)[cols]
-
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            mark = list(zip(pdf["strategy_id"], pdf["window_id"], pdf[order]))
-            cuts = [0] + [i for i in range(1, len(mark)) if mark[i] != mark[i - 1]]
-            done = [close(pdf.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
-            rest = pdf.iloc[cuts[-1] :]
-            if done:
-                yield pd.concat(done)
-        if rest is not None and len(rest):
-            yield close(rest)
-
-    return sorted_batches(weights, RUN, [order, "asset"], run, schema_of(weights))
-
-
 def turnover(positions: DataFrame, key: Sequence[str] = (*RUN, "asset"), order: str = "ts") -> DataFrame:
     """Adds ``trade``, the change of weight; the first row counts in full."""
     s = series(positions, key, order, lookback=1)
@@ -390,8 +329,7 @@ def run_backtest(
     w = size_weights(d, strategies, confidence, returns, order, ret)
     if sizing is not None:
         w = with_settings(sizing(w.drop(*SETTINGS, "weight")), strategies)
-    dynamic = {s.strategy_id for s in strategies if s.sizing == "dynamic" and sizing is None}
-    w = apply_constraints(w, order) if not dynamic else _constrain_static(w, order)
+    w = apply_constraints(w, order)
     if windows is not None:
         test = walk_forward_windows(d, *windows, roles=("test",), order=order).select(order, "window_id")
         w = w.join(test, order)
@@ -400,13 +338,7 @@ def run_backtest(
     dates = w.groupBy(*RUN, order).agg(F.first("rebalance").alias("_freq"))
     cal = rebalance_calendar(dates, F.col("_freq"), RUN, order).drop("_freq")
     w = w.join(cal, [*RUN, order]).drop("signal", "rebalance", "sizing", "base_position", "confidence_threshold")
-    if dynamic:
-        names = list(dynamic)
-        p = no_trade_zone(w.filter(~F.col("strategy_id").isin(names)), band, order=order)
-        q = dynamic_positions(w.filter(F.col("strategy_id").isin(names)), band, order)
-        p = p.unionByName(q) if len(dynamic) < len(strategies) else q
-    else:
-        p = no_trade_zone(w, band, order=order) if band > 0 else hold_between_rebalances(w, order=order)
+    p = no_trade_zone(w, band, order=order) if band > 0 else hold_between_rebalances(w, order=order)
     if materialize:
         p = checkpoint(p)
     ledger = with_drawdown(equity_curve(daily_ledger(turnover(p, order=order), order), order=order), order=order)
@@ -420,12 +352,6 @@ def run_backtest(
     return BacktestTables(positions, ledger, stops, metrics, cal)
 
 
-def _constrain_static(w: DataFrame, order: str) -> DataFrame:
-    """Constraints for all but the dynamic strategies, which apply theirs after scaling."""
-    is_dynamic = F.col("sizing") == "dynamic"
-    return apply_constraints(w.filter(~is_dynamic), order).unionByName(w.filter(is_dynamic))
-
-
 def chained_equity(ledger: DataFrame, order: str = "ts") -> DataFrame:
     """One equity curve per strategy across windows: compounded returns after costs, instead of restarts."""
     net = (1 - F.col("cost_rate")) * (1 + F.col("ret"))

@@ -26,7 +26,7 @@ from tidemark.operators.prep import winsor_limits
 from tidemark.operators.regime import regime_labels, smooth_mode
 from tidemark.plans import timemajor as tm
 from tidemark.plans.folds import spread
-from tidemark.plans.groups import map_groups
+from tidemark.plans.groups import group_starts, map_groups
 from tidemark.plans.series import CHUNK, CHUNK_ROWS, SEQ, is_bounded, number_rows
 from tidemark.session import checkpoint
 
@@ -276,6 +276,36 @@ def expected_sums(xs: list[np.ndarray], m: tm.Models, ends: tm.Ends) -> np.ndarr
     return rows
 
 
+def packed(d: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Placed series of bounded length as stacks, ``n, x`` in binary: an iteration reads arrays and sorts no rows."""
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        found = [(s.n.astype("<i8").tobytes(), s.x.tobytes()) for _, s in tm.stacks(_vectors(t, starts))]
+        return pa.table({"n": pa.array([n for n, _ in found], pa.binary()), "x": pa.array([x for _, x in found], pa.binary())})
+
+    return checkpoint(map_groups(d, key, [order], run, "n binary, x binary", placed=True))
+
+
+def packed_sums(d: DataFrame, p: HmmParams, n_sums: int, few: bool = True) -> np.ndarray:
+    """Sums of the expectation over stacks. A task returns one row; unless tasks are ``few``, these are summed before they are sent."""
+    dim = p.means.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_sums)
+        for b in batches:
+            for n, x in zip(b.column("n"), b.column("x")):
+                s = tm.Stack.of_bytes(np.frombuffer(n.as_buffer(), "<i8"), np.frombuffer(x.as_buffer(), "f8"), dim)
+                e = tm.expected(s, tm.Models.same(p, len(s.n)), tm.Ends.none(len(s.n), p.k))
+                total += np.concatenate([e[c].reshape(len(s.n), -1).sum(0) for c in tm.SUMS])
+        yield pa.RecordBatch.from_arrays([_lists(total[None])], names=["sums"])
+
+    sums = d.mapInArrow(run, "sums array<double>")
+    if few:
+        return np.sum([r["sums"] for r in sums.collect()], axis=0)
+    each = sums.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in each.orderBy("i").collect()])
+
+
 def sums_from(rows: np.ndarray, k: int, d: int) -> dict[str, np.ndarray]:
     shapes = {"ll": (), "n": (), "g0": (k,), "g": (k,), "gx": (k, d), "gxx": (k, d, d), "xi": (k, k)}
     cut = np.cumsum([0, *[int(np.prod(s)) for s in shapes.values()]])
@@ -286,31 +316,64 @@ def _features(df: DataFrame, p: HmmParams) -> DataFrame:
     return df if "x" in df.columns or p.prep is None else prepare_regime_features(df, list(p.prep.limits), p.prep)[0]
 
 
+def _iterate(p: HmmParams, sums, max_iter: int, tol: float) -> HmmParams:
+    """Expectation (``sums`` of a model, a flat row) and maximisation, until the likelihood settles."""
+    last = -np.inf
+    for it in range(1, max_iter + 1):
+        e = sums_from(np.array([sums(p)], dtype=float), p.k, p.means.shape[1])
+        m, ll = tm.maximised(e, tm.Models.same(p, 1)), float(e["ll"][0])
+        p = replace(p, start=m.start[0], trans=m.trans[0], means=m.means[0], covs=m.covs[0], log_likelihood=ll, iterations=it, converged=ll - last < tol)
+        if p.converged:
+            break
+        last = ll
+    return p
+
+
+def _fit_in_task(d: DataFrame, key: Sequence[str], order: str, p: HmmParams, max_iter: int, tol: float) -> HmmParams:
+    """All iterations over few rows in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        stacks = [s for _, s in tm.stacks(_vectors(t, group_starts(t, key)))]
+
+        def sums(q: HmmParams) -> np.ndarray:
+            each = [tm.expected(s, tm.Models.same(q, len(s.n)), tm.Ends.none(len(s.n), q.k)) for s in stacks]
+            return np.sum([np.concatenate([e[c].reshape(len(e["n"]), -1).sum(0) for c in tm.SUMS]) for e in each], axis=0)
+
+        q = _iterate(p, sums, max_iter, tol)
+        yield pa.RecordBatch.from_arrays([_lists(tm.Models.same(q, 1).flat()), pa.array([q.log_likelihood]), pa.array([q.iterations], pa.int32()), pa.array([q.converged])], names=["model", "ll", "it", "done"])
+
+    r = d.repartition(1).sortWithinPartitions(*key, order).mapInArrow(run, "model array<double>, ll double, it int, done boolean").first()
+    m = tm.Models.from_flat(np.array([r["model"]]), p.k, p.means.shape[1])
+    return replace(p, start=m.start[0], trans=m.trans[0], means=m.means[0], covs=m.covs[0], log_likelihood=r["ll"], iterations=r["it"], converged=r["done"])
+
+
 def fit_hmm(
     df: DataFrame, cols: Sequence[str], key: Sequence[str] = KEY, k: int = 3, max_iter: int = 2000, tol: float = 1e-2, seed: int = 42, order: str = "ts",
-    label_order: str = "variance", approx: bool = False, chunk_rows: int | None = None,
+    label_order: str = "variance", approx: bool = False, chunk_rows: int | None = None, small_rows: int = 100_000,
 ) -> HmmParams:
     """One model pooled over all series. Each iteration is one job over the prepared features, which are
-    written to the checkpoint folder once; a few hundred numbers come back."""
+    written to the checkpoint folder once; a few hundred numbers come back. At most ``small_rows`` rows are iterated
+    over in one task instead, with the same sums. ``converged`` says whether the likelihood settled within ``max_iter``."""
     d, prep = prepare_regime_features(df, cols, approx=approx)
     d = place(d.select(*key, order, "x", *([SEQ] if SEQ in d.columns else [])), key, order, chunk_rows)
     p = replace(kmeans_init(d, k, seed), prep=prep, labels=regime_labels(k))
     dim = len(prep.cols)
     names = [f"s{i}" for i in range(2 + 2 * k + k * dim * (1 + dim) + k * k)]
-    last = -np.inf
-    for it in range(max_iter):
+    whole = CHUNK not in d.columns
+    if whole and d.count() <= small_rows:
+        p = _fit_in_task(d, key, order, p, max_iter, tol)
+    elif whole:
+        stacks = packed(d, key, order)
+        few = stacks.rdd.getNumPartitions() <= 1_000
+        p = _iterate(p, lambda q: packed_sums(stacks, q, len(names), few), max_iter, tol)
+    else:
 
         def step(t, starts, xs, m, ends):
             return pa.table({n: [v] for n, v in zip(names, expected_sums(xs, m, ends).sum(0))})
 
-        sums = over_series(d, key, p, step, ", ".join(f"{n} double" for n in names), order)
-        e = sums_from(np.array([sums.agg(*[F.sum(n).alias(n) for n in names]).first()], dtype=float), k, dim)
-        m = tm.maximised(e, tm.Models.same(p, 1))
-        p = replace(p, start=m.start[0], trans=m.trans[0], means=m.means[0], covs=m.covs[0], log_likelihood=float(e["ll"][0]), iterations=it + 1)
-        if e["ll"][0] - last < tol:
-            p = replace(p, converged=True)
-            break
-        last = e["ll"][0]
+        schema, total = ", ".join(f"{n} double" for n in names), [F.sum(n).alias(n) for n in names]
+        p = _iterate(p, lambda q: over_series(d, key, q, step, schema, order).agg(*total).first(), max_iter, tol)
     return order_states(p) if label_order == "variance" else p
 
 

@@ -88,7 +88,7 @@ def pct_change(
 def complete_dates(df: DataFrame, key: Sequence[str] = KEY, order: str = "ts") -> DataFrame:
     """Keep the dates on which every series of the input has a row."""
     n = df.agg(F.count_distinct(*key).alias("_all"))
-    full = df.groupBy(order).agg(F.count(F.lit(1)).alias("_here")).join(F.broadcast(n))  # n is one row
+    full = df.groupBy(order).agg(F.count_distinct(*key).alias("_here")).join(F.broadcast(n))  # n is one row
     return df.join(full.filter("_here = _all").select(order), order, "left_semi")
 
 

@@ -19,7 +19,7 @@ from tidemark.plans.folds import schema_of
 from tidemark.plans.ranks import exact_quantiles
 from tidemark.plans.series import number_rows, series
 
-SIZINGS = ("proportional", "fixed", "regime_confidence", "dynamic", "softmax", "quadratic", "risk_budget", "risk_parity", "raw")
+SIZINGS = ("proportional", "fixed", "regime_confidence", "softmax", "quadratic", "risk_budget", "risk_parity", "raw")
 BROADCAST_STRATEGIES = 10_000
 
 
@@ -114,10 +114,7 @@ def trailing_vol(returns: DataFrame, n: int = 21, ret: str = "ret", order: str =
 def size_weights(
     signals: DataFrame, strategies: Sequence[Strategy], confidence: DataFrame | None = None, returns: DataFrame | None = None, order: str = "ts", ret: str = "ret"
 ) -> DataFrame:
-    """Unconstrained weights per strategy by its sizing rule; keeps the settings next to each row.
-
-    ``dynamic`` gets its base weight here; the feedback from equity is applied in the back-test.
-    """
+    """Unconstrained weights per strategy by its sizing rule; keeps the settings next to each row."""
     used = {s.sizing for s in strategies}
     d = with_settings(for_strategies(signals, strategies), strategies).withColumn("_s", F.coalesce("signal", F.lit(0.0)))
     s, kind = F.col("_s"), F.col("sizing")
@@ -127,7 +124,7 @@ def size_weights(
         d = d.join(trailing_vol(returns, 21, ret, order), ["asset", order], "left")
     else:
         d = d.withColumns({"_vol": F.lit(1.0), "_past": F.lit(1.0), "_i": F.lit(0)})
-    d = with_confidence(d, confidence, 0.5) if used & {"regime_confidence", "dynamic"} else d.withColumn("_conf", F.lit(0.5))
+    d = with_confidence(d, confidence, 0.5) if "regime_confidence" in used else d.withColumn("_conf", F.lit(0.5))
     d = with_confidence(d, confidence, 1.0, "_full") if "risk_budget" in used else d.withColumn("_full", F.lit(1.0))
     grp = ["strategy_id", order]
     d = attach(d, grp, _top=F.max(F.abs("_s"))) if "softmax" in used else d.withColumn("_top", F.lit(0.0))
@@ -147,7 +144,7 @@ def size_weights(
     weight = (
         F.when(kind == "raw", s * lev)
         .when(kind == "risk_parity", F.when((F.col("_i") < 21) | F.col("_past").isNull(), s * 0.1).otherwise(share * F.signum(s)))
-        .when(kind.isin("regime_confidence", "dynamic") & F.lit(confidence is not None), share * conf * lev)
+        .when((kind == "regime_confidence") & F.lit(confidence is not None), share * conf * lev)
         .otherwise(share * lev)
     )
     return d.withColumn("weight", weight).drop("_s", "_vol", "_past", "_i", "_conf", "_full", "_top", "_raw", "_total")

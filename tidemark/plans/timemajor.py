@@ -61,7 +61,12 @@ class Stack:
         x = np.zeros((n[0], len(xs), xs[0].shape[1]))
         for i, v in enumerate(xs):
             x[: len(v), i] = v
-        return Stack(x, n, len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right"))
+        return Stack.of_bytes(n, x, x.shape[2])
+
+    @staticmethod
+    def of_bytes(n: np.ndarray, x: np.ndarray, d: int) -> Stack:
+        """From falling lengths and padded values in the order of ``x``."""
+        return Stack(x.reshape(n[0], len(n), d), n, len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right"))
 
     @property
     def mask(self) -> np.ndarray:
