@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,37 @@ def pick(n: Column, seed: int, *parts: Column) -> Column:
     return F.when(n <= FEW, F.floor(u * n)).otherwise(F.least(F.floor(fine * n), n - 1)).cast("long")
 
 
+def uniform_array(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """The same for arrays of whole numbers, which are broadcast against one another."""
+    whole = [np.asarray(p, "i8") for p in parts]
+    h = np.full(np.broadcast_shapes(*[p.shape for p in whole]), seed % PRIME, "i8")
+
+    def mix(h: np.ndarray, p) -> np.ndarray:
+        x = (h * 48271 + np.fmod(p, PRIME) + 1) % PRIME
+        return (x * x % PRIME + x * 40692 + 12345) % PRIME
+
+    for p in (*whole, np.int64(0), np.int64(0)):
+        h = mix(h, p)
+    large = np.zeros(h.shape, bool)
+    for p in whole:
+        large |= np.abs(p) >= PRIME
+    if large.any():
+        g = h
+        for p in whole:
+            g = mix(g, (p - np.fmod(p, PRIME)) // PRIME)
+        h = np.where(large, g, h)
+    return h / float(PRIME)
+
+
+def poisson1_array(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts at the given quantiles, for arrays."""
+    edges, total = [], 0.0
+    for k in range(18):
+        total += math.exp(-1) / math.factorial(k)
+        edges.append(total)
+    return np.searchsorted(edges, u, "right")
+
+
 def uniform_sql(seed: int, *parts: str) -> str:
     """The same in SQL, for whole numbers below ``PRIME``."""
     steps = ", ".join(f"CAST({p} AS BIGINT)" for p in (seed % PRIME, *parts, 0, 0))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import pick, poisson1, with_uniform
+from tidemark.functions.draws import pick, poisson1_array, uniform_array, with_uniform
 from tidemark.functions.rolling import sample_kurt, sample_skew
 from tidemark.operators.cross import correlation
 from tidemark.operators.prep import YEAR, complete_dates
 from tidemark.plans.attach import attach, attach_series
 from tidemark.plans.folds import spread
+from tidemark.plans.groups import group_starts
 from tidemark.plans.ranks import quantiles
 from tidemark.plans.series import number_rows
 
@@ -51,6 +54,13 @@ def resampled(df: DataFrame, col: str, n: int, key: Sequence[str] = (), order: s
     return draws.join(d.select(*k, F.col("_seq").alias("_pick"), col), [*k, "_pick"]).select(*key, BOOT, "slot", col)
 
 
+def _drawdowns(d: DataFrame, col: str, key: Sequence[str]) -> DataFrame:
+    """Adds ``_dd``: the fall of a resample's compounded values from their peak so far."""
+    w = Window.partitionBy(*key, BOOT).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_cum", F.product(1 + F.col(col)).over(w))
+    return d.withColumn("_dd", F.col("_cum") / F.max("_cum").over(w) - 1)
+
+
 def bootstrap(
     df: DataFrame, metric: str | Column, col: str, n: int = 1000, key: Sequence[str] = (), order: str = "ts", seed: int = 42, method: str = "index"
 ) -> DataFrame:
@@ -64,21 +74,60 @@ def bootstrap(
         return _poisson(df, metric, col, n, key, order, seed)
     d = resampled(df, col, n, key, order, seed)
     if metric == "max_drawdown":
-        w = Window.partitionBy(*key, BOOT).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumn("_cum", F.product(1 + F.col(col)).over(w))
-        d = d.withColumn("_dd", F.col("_cum") / F.max("_cum").over(w) - 1)
+        d = _drawdowns(d, col, key)
         return d.groupBy(*key, BOOT).agg(F.min("_dd").alias("value"))
     value = metric_column(metric, F.col(col)) if isinstance(metric, str) else metric
     return d.groupBy(*key, BOOT).agg(value.alias("value"))
 
 
+#: Weights (rows times resamples) drawn at once in a task.
+WEIGHTS = 1_000_000
+
+
+def weighted_sums(df: DataFrame, col: str, n: int, key: Sequence[str], seed: int) -> DataFrame:
+    """``key, boot_id, _n, _s, _q, _c`` of numbered rows: for each resample the sums of weights, of weighted values and their squares.
+
+    A task draws a matrix of weights, rows by resamples, and multiplies; it sends ``n`` sums per series it holds and
+    batch, never a row per resample. ``_c`` counts the rows with a value.
+    """
+    key = list(key)
+    head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    boots = np.arange(n)
+
+    def lists(a: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), n).cast(pa.list_(pa.float64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            starts = group_starts(t, key)
+            x, seq = t[col].cast(pa.float64()).to_numpy(), t["_seq"].to_numpy()
+            known = ~np.isnan(x)
+            v = np.where(known, x, 0.0)
+            sums = np.zeros((3, len(starts) - 1, n))
+            step = max(1, WEIGHTS // n)
+            for g, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
+                for at in range(lo, hi, step):
+                    to = min(at + step, hi)
+                    w = poisson1_array(uniform_array(seed, seq[at:to, None], boots[None])).astype(float)
+                    sums[:, g] += np.stack((np.ones(to - at), v[at:to], v[at:to] ** 2)) @ w
+            heads = [t[c].take(pa.array(starts[:-1])).combine_chunks() for c in key]
+            count = np.add.reduceat(known.astype("i8"), starts[:-1])
+            yield pa.RecordBatch.from_arrays([*heads, pa.array(count), *[lists(s) for s in sums]], names=[*key, "_c", "_n", "_s", "_q"])
+
+    d = spread(df.select(*key, "_seq", col), [*key, "_seq"]).sortWithinPartitions(*key)
+    parts = d.mapInArrow(run, f"{head}, _c long, _n array<double>, _s array<double>, _q array<double>")
+    each = parts.select(*key, "_c", F.posexplode(F.arrays_zip("_n", "_s", "_q")).alias(BOOT, "_v"))
+    return each.groupBy(*key, BOOT).agg(*[F.sum(f"_v.{c}").alias(c) for c in ("_n", "_s", "_q")], F.sum("_c").alias("_c"))
+
+
 def _poisson(df, metric, col, n, key, order, seed) -> DataFrame:
     k = list(key) or ["_one"]
     d = df if key else df.withColumn("_one", F.lit(0))
-    d = _times(number_rows(d.select(*k, order, col), k, order), n, [*k, "_seq"])
-    d = with_uniform(d, "_u", seed, F.col("_seq"), F.col(BOOT)).withColumn("_w", poisson1(F.col("_u"))).filter("_w > 0")
-    w, x = F.col("_w"), F.col(col)
-    g = d.groupBy(*key, BOOT).agg(F.sum(w).alias("_n"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"))
+    g = weighted_sums(number_rows(d.select(*k, order, col), k, order), col, n, k, seed)
+    g = g.filter("_n > 0").withColumns({c: F.when(F.col("_c") > 0, F.col(c)) for c in ("_s", "_q")})
     mean = F.col("_s") / F.col("_n")
     pop = F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))
     if metric == "mean":
@@ -110,11 +159,11 @@ def var_bootstrap(returns: DataFrame, c: float = 0.95, n: int = 10_000, key=("po
 
 def bootstrap_ci(returns: DataFrame, n: int = 1000, key=("portfolio",), col="ret", order="ts", seed=42) -> DataFrame:
     """Intervals of Sharpe ratio, VaR and maximum drawdown per key, from the same resamples."""
-    out = None
-    for m in ("sharpe", "var_95", "max_drawdown"):
-        ci = bootstrap_interval(returns, m, col, n, key, order, seed).select(*key, F.array("lower", "upper").alias(f"{m}_ci"))
-        out = ci if out is None else out.join(ci, list(key))
-    return out
+    d = _drawdowns(resampled(returns, col, n, key, order, seed), col, key)
+    value = {m: metric_column(m, F.col(col)).alias(m) for m in ("sharpe", "var_95")}
+    b = d.groupBy(*key, BOOT).agg(*value.values(), F.min("_dd").alias("max_drawdown"))
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    return b.groupBy(*key).agg(*[F.percentile(m, ends).alias(f"{m}_ci") for m in (*value, "max_drawdown")])
 
 
 # ---------------------------------------------------------------------------------------------------------
