@@ -50,9 +50,9 @@ def bootstrap_poisson(spark, sf):
     return rounded(rs.bootstrap(small(spark, sf), "mean", "ret", BOOTS, ["portfolio"], method="poisson"))
 
 
-@query(with_boot(f"SELECT portfolio, {rnd('quantile_cont(s / n, 0.05)')} AS var FROM pw GROUP BY 1", POI))
+@query(with_boot(f"SELECT portfolio, {rnd('quantile_cont(s / n, 0.05)')} AS var FROM pw GROUP BY 1", POI.replace(f"range({BOOTS})", "range(10000)")))
 def var_bootstrap(spark, sf):
-    return rounded(rs.var_bootstrap(small(spark, sf), n=BOOTS))
+    return rounded(rs.var_bootstrap(small(spark, sf)))
 
 
 @query(
@@ -261,16 +261,23 @@ def accuracy_test_p_values(spark, sf):
     return rounded(va.accuracy_test(d, "a", "b", ["asset"]), 4)
 
 
+EXCESS = "ex AS (SELECT asset, ret - b AS x, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i FROM rets JOIN (SELECT ts, avg(ret) AS b FROM rets GROUP BY 1) USING (ts))"
+RATIOS = f"""ir AS (SELECT asset, b, sum(w * x) / sum(w) AS m, greatest(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) * (sum(w * x) / sum(w)), 0) AS v
+  FROM (SELECT asset, x, b, {poisson1_sql('u')} AS w FROM (SELECT asset, x, b, {uniform_sql(42, 'i', 'b')} AS u FROM ex, range({BOOTS}) t(b))) GROUP BY 1, 2 HAVING sum(w) > 0),
+ci AS (SELECT asset, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM (SELECT asset, CASE WHEN v > 0 THEN m / sqrt(v) * sqrt(252) END AS r FROM ir) GROUP BY 1)"""
+
+
 @query(
     with_mrets(
-        f"""SELECT asset, {rnd('avg(ret - b) * 252')} AS excess_return_mean, {rnd('avg(ret - b) / stddev_samp(ret - b) * sqrt(252)')} AS information_ratio,
-        {rnd('avg(ret - b) / (stddev_samp(ret - b) / sqrt(count(*)))')} AS t_statistic, count(*) AS n FROM rets JOIN (SELECT ts, avg(ret) AS b FROM rets GROUP BY 1) USING (ts) GROUP BY 1"""
-    )
+        f"""SELECT asset, {rnd('avg(x) * 252', 4)} AS excess_return_mean, {rnd('avg(x) / stddev_samp(x) * sqrt(252)', 4)} AS information_ratio,
+        {rnd('avg(x) / (stddev_samp(x) / sqrt(count(*)))', 4)} AS t_statistic, count(*) AS n, {rnd('any_value(lo)', 4)} AS ir_lower, {rnd('any_value(hi)', 4)} AS ir_upper FROM ex JOIN ci USING (asset) GROUP BY 1""",
+        EXCESS, RATIOS,
+    )
 )
 def outperformance_test(spark, sf):
     r = mrets(spark, sf)
     d = r.join(r.groupBy("ts").agg(F.avg("ret").alias("b")), "ts")
-    return rounded(va.outperformance_test(d, "ret", "b", ["asset"], n=20).select("asset", "excess_return_mean", "information_ratio", "t_statistic", "n"))
+    return rounded(va.outperformance_test(d, "ret", "b", ["asset"], n=BOOTS, method="poisson").select("asset", "excess_return_mean", "information_ratio", "t_statistic", "n", "ir_lower", "ir_upper"), 4)
 
 
 @query(

@@ -108,8 +108,11 @@ def accuracy_test(df: DataFrame, truth: str, pred: str, key: Sequence[str] = (),
     return g.select(*key, "accuracy", "null_accuracy", "n", "_t.*").withColumn("is_significant", F.col("p_value") < alpha)
 
 
-def outperformance_test(df: DataFrame, strategy: str, benchmark: str, key: Sequence[str] = (), order="ts", n: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Mean excess return, information ratio, two-sided t test, and the bootstrap interval of the ratio."""
+def outperformance_test(df: DataFrame, strategy: str, benchmark: str, key: Sequence[str] = (), order="ts", n: int = 1000, seed: int = 42, alpha: float = 0.05, method: str = "index") -> DataFrame:
+    """Mean excess return, information ratio, two-sided t test, and the bootstrap interval of the ratio.
+
+    ``method`` is that of ``bootstrap``: ``poisson`` copies no rows, for many or long series.
+    """
     from tidemark.operators.resample import bootstrap_interval
 
     d = df.withColumn("_x", F.col(strategy) - F.col(benchmark)).filter(F.col("_x").isNotNull())
@@ -119,5 +122,5 @@ def outperformance_test(df: DataFrame, strategy: str, benchmark: str, key: Seque
         F.try_divide(F.avg("_x"), s / F.sqrt(F.count("_x"))).alias("t_statistic"), F.count("_x").alias("n"),
     )
     g = with_t_p_value(g, "two-sided").withColumn("is_significant", F.col("p_value") < alpha)
-    ci = bootstrap_interval(d, "ir", "_x", n, key, order, seed).withColumnsRenamed({"lower": "ir_lower", "upper": "ir_upper"})
+    ci = bootstrap_interval(d, "ir", "_x", n, key, order, seed, method).withColumnsRenamed({"lower": "ir_lower", "upper": "ir_upper"})
     return g.join(ci, list(key)) if key else attach(g, []).join(F.broadcast(ci))
