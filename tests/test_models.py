@@ -142,7 +142,7 @@ def test_a_model_per_series(spark):
     assert none.count() == 0 and hmm.regimes_per_series(stamped(d.limit(0)), ["u"], ["asset"], 2).count() == 0
 
 
-def test_fit_finds_calm_and_wild(spark):
+def test_fit_finds_calm_and_wild(spark, monkeypatch):
     s = np.repeat([0, 1, 0, 1], 60)
     x = RNG.normal(size=240) * np.where(s == 0, 0.3, 2.0)
     w = pd.Series(np.abs(x)).rolling(5, center=True, min_periods=1).mean().to_numpy()
@@ -156,6 +156,7 @@ def test_fit_finds_calm_and_wild(spark):
     assert p8.iterations <= 8 and not p2.converged and hmm.fit_hmm(d, cols, ["asset"], 2).converged
     own = by(hmm.regimes_per_series(d, cols, ["asset"], 2), "state")
     assert np.mean(np.array(own) == s) > 0.9
+    monkeypatch.setattr(hmm, "kmeans_init", lambda *_: PARAMS)  # clusters depend on how rows are dealt out
     plans = [hmm.fit_hmm(d, cols, ["asset"], 2, max_iter=5, small_rows=0), hmm.fit_hmm(stamped(d), cols, ["asset"], 2, max_iter=5, chunk_rows=50)]
     whole = hmm.fit_hmm(d, cols, ["asset"], 2, max_iter=5)
     for q in plans:  # stacks, chunks: the same sums as in one task
