@@ -1,11 +1,12 @@
-"""Fitted models: queries without SQL, checked by invariants and brute force in the tests."""
+"""Fitted models: queries without SQL, checked by invariants and brute force in the tests; models of given parameters, with SQL."""
 
 from __future__ import annotations
 
+import numpy as np
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import mrets, panel, rets, rounded
+from tidemark.catalog.base import mrets, panel, rets, rnd, rounded, with_mrets
 from tidemark.functions import rolling as R
 from tidemark.operators import backtest as bt
 from tidemark.operators import classify as cl
@@ -152,3 +153,79 @@ def vol_forecast_interval(spark, sf):
     s = series(r, A, lookback=9)
     d = s.add({"vol": R.std(s, "ret", 10)}).filter("vol is not null")
     return rounded(cl.vol_forecast_interval(rg.sequence_windows(d, ["vol"], 5), "vol", 5), 4)
+
+
+# --- a model of given parameters: two states of squashed returns, as a recursion over rows in SQL
+
+START, TRANS, MEANS, VARS = (0.6, 0.4), ((0.9, 0.1), (0.2, 0.8)), (0.0, 0.3), (0.04, 0.5)
+GIVEN = hmm.HmmParams(
+    np.array(START), np.array(TRANS), np.array(MEANS)[:, None], np.array(VARS)[:, None, None], hmm.Prep(["r"], {"r": (-1.0, 1.0)}, [0.0], [1.0]), ["Low Vol", "High Vol"]
+)
+
+
+def _density(s: int) -> str:
+    return f"exp(-0.5 * (tanh(ret) - CAST({MEANS[s]} AS DOUBLE)) * (tanh(ret) - CAST({MEANS[s]} AS DOUBLE)) / CAST({VARS[s]} AS DOUBLE)) / sqrt(2 * pi() * CAST({VARS[s]} AS DOUBLE))"
+
+
+def _double(v: float) -> str:
+    return f"CAST({v} AS DOUBLE)"
+
+
+ROWS = f"""x AS MATERIALIZED (SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i, count(*) OVER (PARTITION BY asset) AS n, {_density(0)} AS e0, {_density(1)} AS e1 FROM rets)"""
+AHEAD = f"""fw AS (
+  SELECT asset, i, f0 / (f0 + f1) AS f0, f1 / (f0 + f1) AS f1, ln(f0 + f1) AS ll FROM (SELECT asset, i, {_double(START[0])} * e0 AS f0, {_double(START[1])} * e1 AS f1 FROM x WHERE i = 1)
+  UNION ALL
+  SELECT asset, i, g0 / (g0 + g1), g1 / (g0 + g1), ll + ln(g0 + g1) FROM (
+    SELECT x.asset, x.i, ll, (f0 * {_double(TRANS[0][0])} + f1 * {_double(TRANS[1][0])}) * e0 AS g0, (f0 * {_double(TRANS[0][1])} + f1 * {_double(TRANS[1][1])}) * e1 AS g1
+    FROM fw JOIN x ON x.asset = fw.asset AND x.i = fw.i + 1))"""
+BEHIND = f"""bw AS (
+  SELECT asset, i, CAST(0.5 AS DOUBLE) AS b0, CAST(0.5 AS DOUBLE) AS b1 FROM x WHERE i = n
+  UNION ALL
+  SELECT asset, i, h0 / (h0 + h1), h1 / (h0 + h1) FROM (
+    SELECT bw.asset, bw.i - 1 AS i, {_double(TRANS[0][0])} * e0 * b0 + {_double(TRANS[0][1])} * e1 * b1 AS h0, {_double(TRANS[1][0])} * e0 * b0 + {_double(TRANS[1][1])} * e1 * b1 AS h1
+    FROM bw JOIN x ON x.asset = bw.asset AND x.i = bw.i WHERE bw.i > 1))"""
+PATHS = f"""vt AS (
+  SELECT asset, i, ln({_double(START[0])}) + ln(e0) AS v0, ln({_double(START[1])}) + ln(e1) AS v1, 0 AS p0, 0 AS p1 FROM x WHERE i = 1
+  UNION ALL
+  SELECT x.asset, x.i, greatest(v0 + ln({_double(TRANS[0][0])}), v1 + ln({_double(TRANS[1][0])})) + ln(e0), greatest(v0 + ln({_double(TRANS[0][1])}), v1 + ln({_double(TRANS[1][1])})) + ln(e1),
+    CASE WHEN v0 + ln({_double(TRANS[0][0])}) >= v1 + ln({_double(TRANS[1][0])}) THEN 0 ELSE 1 END, CASE WHEN v0 + ln({_double(TRANS[0][1])}) >= v1 + ln({_double(TRANS[1][1])}) THEN 0 ELSE 1 END
+  FROM vt JOIN x ON x.asset = vt.asset AND x.i = vt.i + 1),
+tb AS (
+  SELECT vt.asset, vt.i, CASE WHEN v0 >= v1 THEN 0 ELSE 1 END AS state FROM vt JOIN x ON x.asset = vt.asset AND x.i = vt.i WHERE vt.i = n
+  UNION ALL
+  SELECT vt.asset, vt.i - 1, CASE WHEN state = 0 THEN p0 ELSE p1 END FROM tb JOIN vt ON vt.asset = tb.asset AND vt.i = tb.i WHERE vt.i > 1)"""
+
+
+def given(oracle: str):
+    def add(f):
+        ORACLES[f.__name__] = oracle.replace("WITH ", "WITH RECURSIVE ", 1)
+        return query(f)
+
+    return add
+
+
+def _squashed(spark, sf):
+    return mrets(spark, sf).select("asset", "ts", F.tanh("ret").alias("r"))
+
+
+@given(
+    with_mrets(
+        f"SELECT asset, {rnd('ll', 4)} AS log_likelihood, CAST(i AS DOUBLE) AS n, {rnd('-2 * ll + 14', 4)} AS aic, {rnd('-2 * ll + ln(i) * 7', 4)} AS bic FROM fw JOIN x USING (asset, i) WHERE i = n",
+        ROWS, AHEAD,
+    )
+)
+def information_criteria_given(spark, sf):
+    """Likelihood of every supplier series under given parameters."""
+    return rounded(hmm.information_criteria(_squashed(spark, sf), GIVEN, A), 4)
+
+
+@given(with_mrets(f"SELECT asset, ts, {rnd('f0 * b0 / (f0 * b0 + f1 * b1)')} AS p0, {rnd('f1 * b1 / (f0 * b0 + f1 * b1)')} AS p1 FROM x JOIN fw USING (asset, i) JOIN bw USING (asset, i)", ROWS, AHEAD, BEHIND))
+def predict_proba_given(spark, sf):
+    """State probabilities of every row under given parameters."""
+    return rounded(hmm.predict_proba(_squashed(spark, sf), GIVEN, A).select("asset", "ts", *[F.col("p")[i].alias(f"p{i}") for i in range(2)]))
+
+
+@given(with_mrets("SELECT asset, ts, CAST(state AS INTEGER) AS state, CASE WHEN state = 0 THEN 'Low Vol' ELSE 'High Vol' END AS label FROM x JOIN tb USING (asset, i)", ROWS, PATHS))
+def predict_regimes_given(spark, sf):
+    """Most likely states of every row under given parameters, not smoothed."""
+    return hmm.predict_regimes(_squashed(spark, sf), GIVEN, 0, A)
