@@ -38,6 +38,16 @@ def fitted(spark, sf):
     return f, hmm.fit_hmm(f, COLS, A, 3)
 
 
+W10 = "OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+CLEAN = ", ".join(f"greatest(least({c}, h_{c}), l_{c}) AS {c}" for c in COLS)
+ORACLES["prepare_regime_features"] = with_mrets(
+    "SELECT asset, ts, " + ", ".join(rnd(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()") + f" AS {c}" for c in COLS) + f" FROM (SELECT asset, ts, {CLEAN} FROM ft, lim)",
+    "sq AS (SELECT asset, ts, tanh(ret) AS r FROM rets)",
+    f"ft AS (SELECT * FROM (SELECT asset, ts, r, CASE WHEN count(r) {W10} = 10 THEN stddev_samp(r) {W10} END AS vol, CASE WHEN count(r) {W10} = 10 THEN avg(r) {W10} END AS mom FROM sq) WHERE vol IS NOT NULL)",
+    "lim AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS l_{c}, quantile_cont({c}, 0.99) AS h_{c}" for c in COLS) + " FROM ft)",
+)
+
+
 @query
 def prepare_regime_features(spark, sf):
     d, prep = hmm.prepare_regime_features(feats(mrets(spark, sf)), COLS)
