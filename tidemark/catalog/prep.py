@@ -98,7 +98,7 @@ def read_macro(spark, sf):
     return rounded(market.read_macro(spark, f"{path}/macro", ["1-URGENT", "2-HIGH"]))
 
 
-@query()
+@query(sql("SELECT asset, count(*) AS rows, count(ret) AS written FROM rets GROUP BY 1", BARS, RETS))
 def write_results(spark, sf):
     """JSON and CSV outputs, counted after reading back."""
     path = work_path(spark, "results")
