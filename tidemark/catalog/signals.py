@@ -164,14 +164,19 @@ def _diag(by):
       CASE WHEN isnan(corr(signal, nxt)) THEN NULL ELSE corr(signal, nxt) END AS c FROM d GROUP BY ALL) {'GROUP BY ' + by if by else ''}"""
 
 
-@query(with_feat(_diag(""), COMP, REG, BLEND, OVER, SIG, _DIAG))
+def _flagged(by):
+    return f"""SELECT *, concat_ws('; ', CASE WHEN abs(corr_mean) < 0.01 THEN 'weak forward correlation' END, CASE WHEN non_zero_count < 0.5 * total_count THEN 'mostly zero signals' END,
+      CASE WHEN std < 0.1 THEN 'low signal variation' END) AS red_flags FROM ({_diag(by)})"""
+
+
+@query(with_feat(_flagged(""), COMP, REG, BLEND, OVER, SIG, _DIAG))
 def diagnose_signals(spark, sf):
     r = mrets(spark, sf)
     s = sg.generate_signals(feat(spark, sf), r, regimes(spark, sf), meta=False)
-    return rounded(sg.diagnose_signals(s, r).drop("red_flags"))
+    return rounded(sg.diagnose_signals(s, r).withColumn("red_flags", F.concat_ws("; ", "red_flags")))
 
 
-@query()
+@query(with_feat(_flagged("label"), COMP, REG, BLEND, OVER, SIG, _DIAG))
 def diagnose_signals_by_regime(spark, sf):
     r = mrets(spark, sf)
     s = sg.generate_signals(feat(spark, sf), r, regimes(spark, sf), meta=False)
