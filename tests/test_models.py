@@ -185,6 +185,17 @@ def test_fusion_limits_and_fallback(spark):
     assert w["w"] == 0.95 and abs(sum(w["p"]) - 1) < 1e-12
 
 
+def test_classifier_save_and_load(spark, tmp_path):
+    x = np.sin(np.arange(120) / 9)
+    seq = rg.sequence_windows(daily(spark, {"a": {"v": x}}), ["v"], 5).withColumn("state", (F.col("v") > 0).cast("int"))
+    for hidden in (None, [4]):
+        model, _ = classify.fit_regime_classifier(seq, 2, hidden, max_iter=5)
+        classify.save_classifier(spark, model, str(tmp_path / "c"), 5, ["lo", "hi"])
+        again, length, labels = classify.load_classifier(spark, str(tmp_path / "c"))
+        assert (length, labels) == (5, ["lo", "hi"])
+        assert by(classify.classifier_proba(seq, again), "p") == by(classify.classifier_proba(seq, model), "p")
+
+
 def test_classifier_and_forecast(spark):
     x = np.sin(np.arange(200) / 9)
     d = daily(spark, {"a": {"v": x}, "b": {"v": -x}})

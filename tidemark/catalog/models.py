@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import mrets, panel, rets, rnd, rounded, with_mrets
+from tidemark.catalog.base import mrets, panel, rets, rnd, rounded, with_mrets, with_rets
 from tidemark.functions import rolling as R
 from tidemark.operators import backtest as bt
 from tidemark.operators import classify as cl
@@ -147,6 +147,20 @@ def regime_classifier_perceptron(spark, sf):
     return rounded(cl.predict_latest(seq, model).select("asset", "ts", *[F.col("p")[i].alias(f"p{i}") for i in range(3)]), 2)
 
 
+ORACLES["save_load_classifier"] = with_rets("SELECT asset, count(*) - 40 AS rows, CAST(0 AS BIGINT) AS changed, 20 AS length FROM rets GROUP BY 1 HAVING count(*) > 40")
+
+
+@query
+def save_load_classifier(spark, sf):
+    """Probabilities of every window from a classifier that was written and read back, held against those before."""
+    seq, path = _windows(spark, sf), work_path(spark, "classifier")
+    model, _ = cl.fit_regime_classifier(seq, 3)
+    cl.save_classifier(spark, model, path, 20, rg.LABELS)
+    again, length, _ = cl.load_classifier(spark, path)
+    both = cl.classifier_proba(seq, model).join(cl.classifier_proba(seq, again).withColumnRenamed("p", "q"), ["asset", "ts"])
+    return both.groupBy("asset").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p") != F.col("q")).alias("changed")).withColumn("length", F.lit(length))
+
+
 @query
 def fused_model_labels(spark, sf):
     """Markov probabilities fused with those of the classifier."""

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import poisson1, with_uniform
@@ -46,6 +46,19 @@ def classifier_proba(seq: DataFrame, model: Model, key: Sequence[str] = ("asset"
     return d.select(*key, order, vector_to_array("probability").alias("p"))
 
 
+def save_classifier(spark: SparkSession, model: Model, path: str, length: int, labels: Sequence[str] = ()) -> None:
+    """The model with its own writer, and beside it what a caller needs: its kind, the window length and the label names."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(type(model).__name__, length, list(labels))], "kind string, length int, labels array<string>").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_classifier(spark: SparkSession, path: str) -> tuple[Model, int, list[str]]:
+    """``(model, window length, label names)`` as saved."""
+    about = spark.read.parquet(f"{path}/about").first()
+    kinds = {k.__name__: k for k in (LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
+    return kinds[about["kind"]].load(f"{path}/model"), about["length"], about["labels"]
+
+
 def predict_latest(seq: DataFrame, model: Model, key: Sequence[str] = ("asset",), order: str = "ts") -> DataFrame:
     """Probabilities of the latest row of each series; series without a full window have no row."""
     return classifier_proba(last_n(seq, 1, key, order), model, key, order)
