@@ -14,7 +14,7 @@ from tidemark.operators.features import ROOT_YEAR, cumulative_return, rolling_st
 from tidemark.operators.prep import YEAR
 from tidemark.plans.attach import attach, attach_series
 from tidemark.plans.ranks import attach_quantiles
-from tidemark.plans.series import number_rows, running, series
+from tidemark.plans.series import running, series
 
 KEY = ("series",)
 LABELS = ("Low Vol", "Medium Vol", "High Vol")
@@ -264,7 +264,3 @@ def compare_to_benchmark(
     t = paired_t_test(d, col, "baseline", key, alternative=alternative)
     means = d.groupBy(*key).agg(F.avg(col).alias("mean_return"), F.avg("baseline").alias("baseline_mean_return"))
     return means.join(t, list(key))
-
-
-def position_index(df: DataFrame, key=KEY, order="ts", out="i") -> DataFrame:
-    return number_rows(df, key, order, out)
