@@ -10,7 +10,7 @@ from tidemark.functions import rolling as R
 from tidemark.functions.draws import uniform
 from tidemark.operators import cross, features, prep, regime
 from tidemark.plans import pairs, ranks
-from tidemark.plans.series import long_series, number_rows, recurrence, running, series
+from tidemark.plans.series import long_series, number_rows, ranged, recurrence, running, series
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,44 @@ def test_long_series_numbers_once(df):
     assert by(number_rows(stamped(df), ["asset"], chunked=True), "_seq") == list(range(300))
 
 
+def hot(spark, n=4000):
+    """Nine tenths of the rows in one key and one day, microseconds apart; a NULL key; shuffled."""
+    rng = np.random.default_rng(3)
+    keys = np.where(np.arange(n) % 10 > 0, "hot", np.array(["a", "b", None], dtype=object)[np.arange(n) % 3])
+    us = np.where(keys == "hot", 10**15 + np.arange(n), 10**15 + 86_400_000_000 * np.arange(n))
+    pdf = pd.DataFrame({"asset": keys, "us": us, "ret": rng.normal(size=n)}).sample(frac=1, random_state=1)
+    return pdf, spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "asset string, us long, ret double")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "long", "double"])
+def test_positions_of_a_hot_key_and_day(spark, kind):
+    pdf, raw = hot(spark)
+    ts = {"timestamp": "timestamp_micros(us)", "timestamp_ntz": "cast(timestamp_micros(us) AS timestamp_ntz)", "long": "us * 1000", "double": "us / 7.0D"}[kind]
+    d = raw.repartition(7).selectExpr("asset", f"{ts} AS ts", "us", "ret")
+    got = number_rows(d, ["asset"]).toPandas()
+    want = pdf.assign(pos=pdf.groupby("asset", dropna=False)["us"].rank().astype(int) - 1).set_index("us")
+    assert len(got) == len(pdf) and (got.set_index("us")["_seq"].sort_index() == want["pos"].sort_index()).all()
+    s = series(d, ["asset"], lookback=3, chunk_rows=500)
+    got = s.add({"m": F.sum("ret").over(s.rows(3))}).toPandas().set_index("us")["m"].sort_index()
+    flat = pdf.sort_values("us").groupby("asset", dropna=False)["ret"].rolling(3, min_periods=1).sum()
+    same(got, flat.droplevel(0).reindex(pdf.sort_values("us").index))
+
+
+def test_hot_key_is_cut_into_even_partitions(spark):
+    _, raw = hot(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = ranged(raw, ["asset"], "us").groupBy(F.shiftright("_id", 33)).count().toPandas()["count"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(n) == 4 and n.max() < 0.35 * n.sum()
+
+
+def test_numbering_an_empty_frame(spark):
+    d = spark.createDataFrame([], "asset string, ts timestamp, ret double")
+    assert number_rows(d, ["asset"]).count() == 0
+
+
 @pytest.mark.parametrize("block", [None, 13])
 def test_recurrence(df, block):
     d = df.fillna(0.0)

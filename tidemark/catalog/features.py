@@ -322,3 +322,26 @@ def long_series_features(spark, sf):
 
 ORACLES["long_series_features"] = f"""WITH rets AS (SELECT event_type AS asset, ts AS t, event_id, ts, value / 100 AS ret FROM events)
 SELECT asset, CAST(ts AS VARCHAR) AS at, {rnd(m('ret', 20))} AS mean, {rnd(s('ret', 21))} AS std, {rnd(f'sum(ret) OVER ({W} ROWS UNBOUNDED PRECEDING)')} AS cum_sum FROM rets"""
+
+
+HOT = """hot AS (SELECT CASE WHEN event_id % 10 > 0 THEN 'hot' ELSE event_type END AS asset, value / 100 AS ret,
+  CASE WHEN event_id % 10 > 0 THEN 1700000000000000 + event_id * 1000 ELSE epoch_us(ts) END AS us FROM events)"""
+_HW = W.replace("ts", "us")
+
+
+@query(
+    sql(
+        f"""SELECT asset, us, {rnd(m('ret', 20).replace(W, _HW))} AS mean, {rnd(f'sum(ret) OVER ({_HW} ROWS UNBOUNDED PRECEDING)')} AS cum_sum,
+        {rnd(f'max(ret) OVER ({_HW} ROWS UNBOUNDED PRECEDING)')} AS top, row_number() OVER ({_HW}) - 1 AS pos FROM hot""",
+        HOT,
+    )
+)
+def long_series_hot(spark, sf):
+    """The same where nine tenths of all events are one series, milliseconds apart: positions by range partitions."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    rest = F.col("event_id") % 10 == 0
+    ts = F.when(rest, F.col("ts").cast("timestamp")).otherwise(F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("event_id") * 1000))
+    e = long_series(e.select(F.when(rest, F.col("event_type")).otherwise("hot").alias("asset"), ts.alias("ts"), (F.col("value") / 100).alias("ret")), ["asset"])
+    w = series(e, ["asset"], lookback=20, chunk_rows=1000)
+    d = running(w.add({"mean": R.mean(w, "ret", 20)}), ["asset"], {"cum_sum": ("sum", "ret"), "top": ("max", "ret")}, chunk_rows=1000)
+    return rounded(d.select("asset", F.unix_micros("ts").alias("us"), "mean", "cum_sum", "top", F.col("_seq").alias("pos")))

@@ -4,10 +4,11 @@ A series is the rows of one ``key`` ordered by ``order``, which is unique within
 
 * *keyed*: ``Window.partitionBy(key)``. Used when the order column is a DATE: a series then holds at most
   one row per calendar day, so its length is bounded whatever the total volume.
-* *chunked*: for timestamps or numbers, where one key may hold a third of all rows. Rows get their position
-  in the series from per-slot counts, chunks of equal length are cut from the positions, and windows run
-  per (key, chunk). Frames that look back get copies of the last rows of the chunk before ("halo");
-  running totals get the total of all chunks before ("carry").
+* *chunked*: for timestamps or numbers, where one key may hold a third of all rows, and one day of it most of
+  them. Rows are range-partitioned by (key, order), which cuts a hot key and a hot day alike, and get their
+  position from the counts of the partitions before; chunks of equal length are cut from the positions, and
+  windows run per (key, chunk). Frames that look back get copies of the last rows of the chunk before
+  ("halo"); running totals get the total of all chunks before ("carry").
 
 Both plans give the same rows, which the tests check for random chunk lengths.
 """
@@ -57,14 +58,16 @@ def number_rows(
 ) -> DataFrame:
     """Add the 0-based position of each row in its series.
 
-    The chunked plan numbers rows within (key, slot of the order axis) and adds the count of all slots
-    before; the slot counts are aggregated before they are shuffled, so no task sees a whole series.
-    A frame that already holds ``_seq`` (from ``long_series``) is left as it is.
+    A calendar series takes a window, or (``chunked``) numbers its rows within years, of 366 rows at most, and
+    adds the counts of the years before. Other orders are numbered by ``_ranged_positions``. A frame that
+    already holds ``_seq`` (from ``long_series``) is left as it is. NULL keys make a series like any other.
     """
     key = list(key)
     if out == SEQ and SEQ in df.columns:
         return df
-    if is_bounded(df, order) and not chunked:
+    if not is_bounded(df, order):
+        return _ranged_positions(df, key, order, out)
+    if not chunked:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(order)).cast("long") - 1)
     d = df.withColumn("_slot", F.floor(ordinal(df, order) / slot_width(df, order)).cast("long"))
     before = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,19 +77,48 @@ def number_rows(
         .select(*key, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     w = Window.partitionBy(*key, "_slot").orderBy(order)
-    return (
-        d.withColumn("_in", F.row_number().over(w).cast("long") - 1)
-        .join(counts, [*key, "_slot"])
-        .withColumn(out, F.col("_in") + F.col("_before"))
-        .drop("_in", "_before", "_slot")
+    d = d.withColumn("_in", F.row_number().over(w).cast("long") - 1)
+    return _null_safe_join(d, counts, [*key, "_slot"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_slot")
+
+
+def _null_safe_join(d: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join that also matches NULL keys; the columns of ``d`` stay, those of ``small`` beside ``on`` are added."""
+    s = small.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
+    cond = [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(on)]
+    return d.join(s, cond).drop(*[f"_on_{i}" for i in range(len(on))])
+
+
+def ranged(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
+    """Rows sorted over (key, order) across range partitions, with ``_id`` = partition * 2**33 + place in it.
+
+    The cuts are drawn from a sample of the rows, so that partitions are even whatever key or time span is hot. Two
+    evaluations would sample differently: the numbered rows are written to the checkpoint folder, and a lost task is
+    recomputed from what was written.
+    """
+    d = df.repartitionByRange(*key, order).sortWithinPartitions(*key, order)
+    return checkpoint(d.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _ranged_positions(df: DataFrame, key: Sequence[str], order: str, out: str) -> DataFrame:
+    """Positions from one range shuffle: place in the partition, less where the series starts in it, plus its rows before.
+
+    A key has one record per partition it reaches into, so the records are as many as keys and partitions together.
+    """
+    d = ranged(df, key, order).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        d.groupBy(*key, "_part")
+        .agg(F.min("_id").alias("_from"), F.count(F.lit(1)).alias("_rows"))
+        .select(*key, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
     )
+    return _null_safe_join(d, runs, [*key, "_part"]).withColumn(out, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
 
 
 def long_series(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
     """Positions for a long series, assigned once and written to the checkpoint folder.
 
-    The chunked plan of every operator reads its input twice (totals per chunk, and rows); from here on it
-    reads the written rows and does not number them again. The result keeps the helper column ``_seq``.
+    The chunked plan of every operator numbers rows (which writes them) and reads them twice, for totals per chunk
+    and for rows; from here on it reads the written positions and does not number again. The result keeps the helper column ``_seq``.
     """
     return checkpoint(number_rows(df, key, order, chunked=True))
 
