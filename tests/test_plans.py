@@ -91,6 +91,48 @@ def test_numbering_an_empty_frame(spark):
     assert number_rows(d, ["asset"]).count() == 0
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ranks_of_hot_groups_and_values(spark, grouped, coalesce):
+    """A third of the rows share one value, and most one group; nulls, NaN, both zeros, a NULL group."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.round(rng.normal(size=n), 2)
+    x[rng.random(n) < 0.35] = 0.5
+    x[:4] = [np.nan, np.nan, 0.0, -0.0]
+    g = np.where(np.arange(n) % 10 > 1, "hot", np.array(["a", None], dtype=object)[np.arange(n) % 2])
+    rows = [(a, i, None if i % 97 == 5 else float(v)) for i, (a, v) in enumerate(zip(g, x))]
+    d = spark.createDataFrame(rows, "g string, i int, x double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = ranks.rank_within(d, "x", ["g"] if grouped else []).toPandas().set_index("i").sort_index()
+        pos = ranks.value_positions(d, "x", ["g"] if grouped else []).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    key = {i: (np.inf if v != v else v + 0.0) for _, i, v in rows if v is not None}
+    groups = {}
+    for a, i, v in rows:
+        if v is not None:
+            groups.setdefault(a if grouped else 0, []).append(key[i])
+    assert len(got) == n
+    for a, i, v in rows:
+        r = got.loc[i]
+        if v is None:
+            assert r[["_ties", "_before", "_n"]].isna().all()
+            continue
+        vs = np.array(groups[a if grouped else 0])
+        assert (r["_ties"], r["_before"], r["_n"]) == ((vs == key[i]).sum(), (vs < key[i]).sum(), len(vs))
+    assert len(pos) == sum(len(set(v)) for v in groups.values())
+    for r in pos:
+        vs, v = np.array(groups[r["g"] if grouped else 0]), (np.inf if r["x"] != r["x"] else r["x"] + 0.0)
+        assert (r["_ties"], r["_before"], r["_n"]) == ((vs == v).sum(), (vs < v).sum(), len(vs))
+
+
+def test_ranks_of_an_empty_frame(spark):
+    d = spark.createDataFrame([], "g string, x double")
+    assert ranks.rank_within(d, "x", ["g"]).count() == 0 and ranks.value_positions(d, "x").count() == 0
+
+
 @pytest.mark.parametrize("block", [None, 13])
 def test_recurrence(df, block):
     d = df.fillna(0.0)

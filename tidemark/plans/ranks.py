@@ -1,9 +1,9 @@
 """Ranks and exact quantiles for groups of any size, ties included.
 
-Equal values are counted first (combined before the shuffle, so a value shared by a third of the rows is
-one record), the distinct values are cut into buckets at approximate quantiles of their group, and counts
-are accumulated within each (group, bucket) on top of the total of the buckets before. The result is exact:
-the approximate cuts decide only where work is done.
+Rows, or distinct values with their counts, are range-partitioned by (group, value) and written; ranks are counted
+inside a partition and raised by the counts of the partitions before it. Partitions are even whatever group or value
+is hot, and there are as many as the session's shuffle partitions, so none grows with a group. The result is exact:
+the sampled cuts decide only where work is done.
 """
 
 from __future__ import annotations
@@ -12,41 +12,69 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.plans.series import is_bounded
+from tidemark.plans.series import is_bounded, null_safe_join, ranged
 
-BUCKETS = 64
 
+def _before(*by: str):
+    """The partitions before one, of the same group: as many records as partitions at most."""
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
-def value_positions(df: DataFrame, col: str, group: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+
+def _whole(*by: str):
+    return Window.partitionBy(*(by or [F.lit(0)]))
+
+
+def value_positions(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     """One row per distinct non-null value of a group: ``group, col, _ties, _before, _n``.
 
-    ``_before`` counts the rows with a smaller value, ``_n`` all non-null rows of the group.
+    ``_before`` counts the rows with a smaller value, ``_n`` all non-null rows of the group. Equal values are counted
+    before the first shuffle, so one that a third of the rows share is one record.
     """
     g = list(group)
     v = df.filter(F.col(col).isNotNull()).groupBy(*g, col).agg(F.count(F.lit(1)).alias("_ties"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = v.groupBy(*g).agg(
-        F.percentile_approx(F.col(col).cast("double"), cuts, 1000).alias("_cuts"), F.sum("_ties").alias("_n")
-    )
-    v = v.join(bounds, g) if g else v.join(F.broadcast(bounds))  # one row when there is no group
-    v = v.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(col).cast("double")))).drop("_cuts")
-    totals = v.groupBy(*g, "_b").agg(F.sum("_ties").alias("_t"))
-    # at most ``buckets`` rows per group
-    prior = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*g, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        v.join(offsets, [*g, "_b"])
-        .withColumn("_before", F.col("_o") + F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
-        .select(*g, col, "_ties", "_before", "_n")
-    )
+    v = ranged(v, g, col).withColumn("_part", F.shiftright("_id", 33))
+    parts = v.groupBy(*g, "_part").agg(F.sum("_ties").alias("_c"))
+    parts = parts.select(*g, "_part", F.coalesce(F.sum("_c").over(_before(*g)), F.lit(0)).alias("_up"), F.sum("_c").over(_whole(*g)).alias("_n"))
+    inside = Window.partitionBy(*g, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("_in", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+    return null_safe_join(v, parts, [*g, "_part"]).select(*g, col, "_ties", (F.col("_up") + F.col("_in")).alias("_before"), "_n")
 
 
 def rank_within(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
-    """Add ``_ties, _before, _n`` to each row; NULL values get NULL positions."""
-    pos = value_positions(df, col, group)
-    return df.join(pos, [*group, col], "left")
+    """Add ``_ties, _before, _n`` to each row; NULL values get NULL positions.
+
+    Rows go through one range shuffle by (group, value, hash of the row) and one by partition, and are never joined by
+    value. A value may reach over many partitions: then it is the smallest or largest of each, and one record per
+    partition tells how many of its rows lie in the others. Only rows alike in all columns cannot be parted.
+    """
+    g, names = list(group), df.columns
+    d = df.withColumn("_salt", F.xxhash64(*[c for c in names if not _has_map(df.schema[c].dataType)]))
+    d = ranged(d, [*g, col], "_salt").withColumn("_part", F.shiftright("_id", 33))
+    w = Window.partitionBy(*g, "_part").orderBy(F.col(col).asc_nulls_last())
+    d = d.withColumns({"_r": F.rank().over(w).cast("long") - 1, "_t": F.count(F.lit(1)).over(w.rangeBetween(0, 0))})
+    x = F.col(col)
+    parts = d.filter(x.isNotNull()).groupBy(*g, "_part").agg(
+        F.count(F.lit(1)).alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.min_by("_t", x).alias("_n_lo"), F.max_by("_t", x).alias("_n_hi")
+    )
+    lo, hi = (F.struct(F.col(v).alias("v"), F.col(n).alias("m")) for v, n in (("_lo", "_n_lo"), ("_hi", "_n_hi")))
+    ends = parts.select(*g, "_part", F.explode(F.when(F.col("_lo") == F.col("_hi"), F.array(lo)).otherwise(F.array(lo, hi))).alias("_e"))
+    ends = ends.select(*g, "_part", F.col("_e.v").alias("_v"), F.col("_e.m").alias("_m"))
+    ends = ends.withColumns({"_same": F.coalesce(F.sum("_m").over(_before(*g, "_v")), F.lit(0)), "_all": F.sum("_m").over(_whole(*g, "_v"))})
+    ends = ends.groupBy(*g, "_part").agg(F.min_by("_same", "_v").alias("_same"), F.min_by("_all", "_v").alias("_all_lo"), F.max_by("_all", "_v").alias("_all_hi"))
+    parts = parts.select(*g, "_part", "_lo", "_hi", F.coalesce(F.sum("_c").over(_before(*g)), F.lit(0)).alias("_up"), F.sum("_c").over(_whole(*g)).alias("_n"))
+    d = null_safe_join(d, null_safe_join(parts, ends, [*g, "_part"]), [*g, "_part"], "left")
+    ties = F.when(x == F.col("_lo"), F.col("_all_lo")).when(x == F.col("_hi"), F.col("_all_hi")).otherwise(F.col("_t"))
+    before = F.col("_up") + F.when(x == F.col("_lo"), -F.col("_same")).otherwise(F.col("_r"))
+    known = {"_ties": ties, "_before": before, "_n": F.col("_n")}
+    return d.select(*names, *[F.when(x.isNotNull(), c).alias(o) for o, c in known.items()])
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t)
+    return isinstance(t, T.MapType) or (isinstance(t, T.ArrayType) and _has_map(t.elementType))
 
 
 def average_rank_share() -> Column:

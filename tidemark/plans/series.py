@@ -78,14 +78,14 @@ def number_rows(
     )
     w = Window.partitionBy(*key, "_slot").orderBy(order)
     d = d.withColumn("_in", F.row_number().over(w).cast("long") - 1)
-    return _null_safe_join(d, counts, [*key, "_slot"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_slot")
+    return null_safe_join(d, counts, [*key, "_slot"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_slot")
 
 
-def _null_safe_join(d: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join that also matches NULL keys; the columns of ``d`` stay, those of ``small`` beside ``on`` are added."""
+def null_safe_join(d: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join that also matches NULL keys; the columns of ``d`` stay, those of ``small`` beside ``on`` are added."""
     s = small.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
     cond = [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(on)]
-    return d.join(s, cond).drop(*[f"_on_{i}" for i in range(len(on))])
+    return d.join(s, cond, how).drop(*[f"_on_{i}" for i in range(len(on))])
 
 
 def ranged(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
@@ -111,7 +111,7 @@ def _ranged_positions(df: DataFrame, key: Sequence[str], order: str, out: str) -
         .agg(F.min("_id").alias("_from"), F.count(F.lit(1)).alias("_rows"))
         .select(*key, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
     )
-    return _null_safe_join(d, runs, [*key, "_part"]).withColumn(out, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
+    return null_safe_join(d, runs, [*key, "_part"]).withColumn(out, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
 
 
 def long_series(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
