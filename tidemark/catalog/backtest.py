@@ -256,6 +256,53 @@ def backtest_stops(spark, sf):
     return d.select("strategy_id", "window_id", "stop_ts", F.regexp_extract("stop_reason", "^(.*)_triggered", 1).alias("stop_reason"))
 
 
+LOG = f"""SELECT strategy_id, CAST(window_id AS INT) AS window_id, asset, ts, {rnd('w - lw')} AS change, {rnd('w')} AS weight,
+  {rnd('CASE WHEN i > 1 AND NOT stopped THEN lv * abs(w - lw) * rate + CASE WHEN abs(w - lw) > 1e-6 THEN fix ELSE 0 END ELSE 0 END')} AS cost
+  FROM (SELECT *, coalesce(lag(w) OVER (PARTITION BY strategy_id, window_id, asset ORDER BY ts), 0) AS lw FROM (
+    SELECT p.strategy_id, p.window_id, asset, p.ts, p.i, stopped, lv, CASE WHEN stopped THEN 0 ELSE weight END AS w FROM pos p JOIN (
+      SELECT strategy_id, window_id, ts, lag(v) OVER g AS lv, lag(why) OVER g IS NOT NULL AS stopped FROM eq WINDOW g AS (PARTITION BY strategy_id, window_id ORDER BY ts)) e
+    ON e.strategy_id = p.strategy_id AND e.window_id = p.window_id AND e.ts = p.ts)) JOIN st USING (strategy_id) WHERE w <> lw"""
+
+
+@query(_bt_sql(LOG))
+def backtest_trades(spark, sf):
+    """Every change of weight with its cost."""
+    return rounded(_backtest(spark, sf).trades)
+
+
+@query(_bt_sql(LOG, True))
+def walk_forward_trades(spark, sf):
+    return rounded(_backtest(spark, sf, (252, 63)).trades)
+
+
+LOSING = 4
+
+
+def losing_streak(rows, state):
+    """Stop on the fourth losing date in a row; the state is the streak so far."""
+    flags, streak = [], state or 0
+    for r in rows["ret"]:
+        streak = streak + 1 if r < 0 else 0
+        flags.append(streak >= LOSING)
+    return flags, f"{LOSING}_losses", streak
+
+
+@query(
+    _bt_sql(
+        f"""SELECT strategy_id, CAST(window_id AS INT) AS window_id, min(ts) AS stop_ts, min_by(reason, epoch(ts) * 2 + own) AS stop_reason FROM (
+        SELECT strategy_id, window_id, ts, why AS reason, 0 AS own FROM eq WHERE why IS NOT NULL UNION ALL
+        SELECT strategy_id, window_id, ts, 'custom_risk_management_{LOSING}_losses', 1 FROM (
+          SELECT *, count(*) FILTER (r < 0) OVER (PARTITION BY strategy_id, window_id ORDER BY ts ROWS {LOSING - 1} PRECEDING) AS bad FROM led) WHERE bad = {LOSING}) GROUP BY 1, 2""",
+        True,
+    )
+)
+def backtest_stop_function(spark, sf):
+    """A user's stop function with its own state beside the built-in rules."""
+    r = returns_of(panel(spark, sf))
+    d = bt.run_backtest(r, signals_of(r), STRATS, windows=(252, 63), stop=losing_streak).stops
+    return d.select("strategy_id", "window_id", "stop_ts", F.regexp_replace("stop_reason", "_triggered.*", "").alias("stop_reason"))
+
+
 def _metrics_sql(key):
     return f"""SELECT {key}, {rnd('tot')} AS total_return, {rnd('ar')} AS annualized_return, {rnd('av')} AS annualized_volatility, {rnd('(ar - 0.02) / av')} AS sharpe_ratio, {rnd('mdd')} AS max_drawdown,
     {rnd('ar / abs(mdd)')} AS calmar_ratio, n AS total_periods, pos AS positive_periods, {rnd('pos / n')} AS win_rate FROM (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import BARS, PANEL, RETS, mrets, panel, portfolio, rnd, rounded, sql, with_mrets
@@ -50,6 +51,20 @@ def bootstrap_poisson(spark, sf):
     return rounded(rs.bootstrap(small(spark, sf), "mean", "ret", BOOTS, ["portfolio"], method="poisson"))
 
 
+DOWNSIDE = rs.Metric(lambda x: np.column_stack((x, np.minimum(x, 0) ** 2)), lambda w, s: s[:, 0] / w / np.sqrt(s[:, 1] / w))
+
+
+@query(
+    with_boot(
+        f"SELECT portfolio, CAST(boot_id AS INT) AS boot_id, {rnd('s / n / sqrt(d / n)')} AS value FROM pw",
+        POI.replace("sum(w * ret) AS s", "sum(w * ret) AS s, sum(w * pow(least(ret, 0), 2)) AS d"),
+    )
+)
+def bootstrap_user_metric(spark, sf):
+    """Resamples of a metric written by the user: the mean over the root mean square of the losses."""
+    return rounded(rs.bootstrap(small(spark, sf), DOWNSIDE, "ret", BOOTS, ["portfolio"]))
+
+
 @query(with_boot(f"SELECT portfolio, {rnd('quantile_cont(s / n, 0.05)')} AS var FROM pw GROUP BY 1", POI.replace(f"range({BOOTS})", "range(10000)")))
 def var_bootstrap(spark, sf):
     return rounded(rs.var_bootstrap(small(spark, sf)))

@@ -33,10 +33,15 @@ def source(spark, sf):
 
 def drain(spark, df, mode="append"):
     """Run a stream to the end of its input and read back what it wrote."""
+    return drained(spark, df, mode)[0]
+
+
+def drained(spark, df, mode="append"):
+    """What a stream wrote, and the folder of its state."""
     out, ckpt = work_path(spark, "stream"), work_path(spark, "stream-state")
     q = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.schema).parquet(out), ckpt
 
 
 def texts(d):
@@ -103,9 +108,66 @@ def stream_params() -> HmmParams:
     return HmmParams(np.array([0.5, 0.5]), trans, np.array([[-1.0], [1.0]]), np.array([[[0.5]], [[1.5]]]), prep, ["Low Vol", "High Vol"])
 
 
-@query()
+def _regime_sql(select, copies="event_id < 0"):
+    """The filter of ``stream_params`` as a recursion; ``copies`` of rows come a second time and are rejected."""
+    e = [f"exp(-0.5 * pow(x - ({m}), 2) / {v}) / sqrt({v})" for m, v in ((-1.0, 0.5), (1.0, 1.5))]
+    return f"""WITH RECURSIVE ev AS (SELECT event_type, ts, (least(greatest(value, 0), 100) - 20) / 10 AS x, row_number() OVER w AS i,
+    coalesce(count(*) FILTER ({copies}) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rejected FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+  em AS (SELECT *, {e[0]} AS e0, {e[1]} AS e1 FROM ev),
+  al AS (SELECT event_type, ts, i, rejected, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1 FROM em WHERE i = 1 UNION ALL
+    SELECT n.event_type, n.ts, n.i, n.rejected, (a0 * 0.2 + a1 * 0.3) * e0 / ((a0 * 0.2 + a1 * 0.3) * e0 + (a0 * 0.8 + a1 * 0.7) * e1),
+      (a0 * 0.8 + a1 * 0.7) * e1 / ((a0 * 0.2 + a1 * 0.3) * e0 + (a0 * 0.8 + a1 * 0.7) * e1)
+    FROM al JOIN em n ON n.event_type = al.event_type AND n.i = al.i + 1),
+  up AS (SELECT event_type, ts, i AS seen, rejected, greatest(a0, a1) AS confidence,
+    CASE WHEN greatest(a0, a1) < 0.6 THEN 'Uncertain' WHEN a0 >= a1 THEN 'Low Vol' ELSE 'High Vol' END AS regime FROM al WHERE i >= 63)
+{select}"""
+
+
+_AT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+_AT_SPARK = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_UPDATES = f"""SELECT event_type, {{at}} AS at, regime, {rnd('confidence')} AS confidence,
+  CASE WHEN lag(regime) OVER w = 'Low Vol' THEN CAST(0.8 AS DOUBLE) END AS transition_probability, CASE WHEN lag(regime) OVER w = 'Low Vol' THEN 'High Vol' END AS to_regime, seen{{more}}
+FROM up WINDOW w AS (PARTITION BY event_type ORDER BY ts)"""
+
+
+@query(_regime_sql(_UPDATES.format(at="CAST(ts AS VARCHAR)", more="")))
 def regime_stream(spark, sf):
     """Regime updates and alerts of a running stream."""
     sr.use_rocksdb(spark)
     d = drain(spark, sr.regime_stream(source(spark, sf), stream_params(), min_rows=63))
     return d.select("event_type", F.col("ts").cast("string").alias("at"), "regime", r6("confidence").alias("confidence"), r6("transition_probability").alias("transition_probability"), "to_regime", "seen")
+
+
+@query(_regime_sql(_UPDATES.format(at=_AT, more=", rejected"), "event_id % 50 = 0"))
+def regime_stream_rejects(spark, sf):
+    """Updates of a stream in which every fiftieth event comes twice: the second is rejected and counted."""
+    sr.use_rocksdb(spark)
+    twice = F.when(F.col("event_id") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    d = drain(spark, sr.regime_stream(source(spark, sf).withColumn("copy", F.explode(twice)), stream_params(), min_rows=63))
+    at = F.date_format("ts", _AT_SPARK).alias("at")
+    return d.select("event_type", at, "regime", r6("confidence").alias("confidence"), r6("transition_probability").alias("transition_probability"), "to_regime", "seen", "rejected")
+
+
+@query(_regime_sql(f"""SELECT event_type, {_AT} AS at, regime, {rnd('confidence')} AS confidence FROM up
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) <= 20"""))
+def regime_stream_history(spark, sf):
+    """The last 20 updates of each series, read from the state of a stream that has ended."""
+    sr.use_rocksdb(spark)
+    _, state = drained(spark, sr.regime_stream(source(spark, sf), stream_params(), min_rows=63))
+    return sr.update_history(spark, state, last=20).select("event_type", F.date_format("ts", _AT_SPARK).alias("at"), "regime", r6("confidence").alias("confidence"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (event_id % 10 = 0) AS failures, count(*) FILTER (event_id % 10 <> 0) AS written FROM events")
+def update_counters(spark, sf):
+    """Rows and failures of a stream, counted as they pass, and the rows it wrote."""
+    s = source(spark, sf).withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value")))
+    d = sr.counted(sb.with_reason(s), F.col("reason").isNotNull()).filter(F.col("reason").isNull())
+    counters = sr.UpdateCounters()
+    spark.streams.addListener(counters)
+    try:
+        out = drain(spark, d.select("event_id"))
+        counters.wait()
+    finally:
+        spark.streams.removeListener(counters)
+    n, failures = (F.lit(counters.observed[f"updates_{c}"]).cast("long") for c in ("rows", "failures"))
+    return out.agg(F.count(F.lit(1)).alias("written")).select(n.alias("n"), failures.alias("failures"), "written")

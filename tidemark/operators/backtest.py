@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,9 +187,48 @@ def loss_rules(ledger: DataFrame, key: Sequence[str] = RUN, order: str = "ts") -
     return d.drop("_chg")
 
 
-def stop_rules(ledger: DataFrame, custom: Column | None = None, custom_reason: str = "custom", key: Sequence[str] = RUN, order: str = "ts") -> DataFrame:
+#: A user's stop rule: consecutive rows of one run and the state left by the rows before (None at first) give one flag per
+#: row, a reason (one for all, or one per row) and the state for the rows that follow.
+StopFunction = Callable[[pd.DataFrame, Any], tuple[Sequence[bool], "str | Sequence[str]", Any]]
+
+
+def stop_function(ledger: DataFrame, fn: StopFunction, key: Sequence[str] = RUN, order: str = "ts") -> DataFrame:
+    """First date at which a user's function stops a run: ``key, stop_ts, stop_reason, stop_equity``.
+
+    The rows of a run stream through one task in order, a batch at a time, so that the function may use what no window
+    expresses; runs are worked on in parallel. It is not called again for a run that has stopped. Where a batch ends
+    is up to Spark: what the function remembers belongs in its state. An error in it fails the job, rather than leaving a
+    run without its stop. A run without a stop, and an empty ledger, give no row.
+    """
+    key = list(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, stopped = None, None, False
+        for pdf in batches:
+            hits = []
+            for k, rows in pdf.groupby(key, sort=False, dropna=False):
+                if k != last:
+                    last, state, stopped = k, None, False
+                if stopped:
+                    continue
+                flags, reason, state = fn(rows.reset_index(drop=True), state)
+                flags = np.asarray(flags, dtype=bool)
+                if flags.any():
+                    i, stopped = int(flags.argmax()), True
+                    hits.append((*k, rows[order].iloc[i], reason if isinstance(reason, str) else reason[i], rows["equity"].iloc[i]))
+            yield pd.DataFrame(hits, columns=[*key, "stop_ts", "stop_reason", "stop_equity"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in ledger.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", stop_ts {kinds[order]}, stop_reason string, stop_equity double"
+    return sorted_batches(ledger, key, [order], run, schema)
+
+
+def stop_rules(
+    ledger: DataFrame, custom: Column | StopFunction | None = None, custom_reason: str = "custom", key: Sequence[str] = RUN, order: str = "ts"
+) -> DataFrame:
     """First date and reason per run at which a stop fires, in the order stop-loss, take-profit, maximum
-    drawdown, custom. ``custom`` is a predicate over the ledger's columns. Runs without a stop have no row.
+    drawdown, custom. ``custom`` is a predicate over the ledger's columns, or a function (see ``stop_function``) that
+    gives its own reasons. Runs without a stop have no row.
     """
     dd, total = F.col("drawdown"), F.col("equity") / F.col("cash") - 1
     reason = (
@@ -195,10 +236,16 @@ def stop_rules(ledger: DataFrame, custom: Column | None = None, custom_reason: s
         .when(total >= F.col("take_profit"), F.format_string("take_profit_triggered_%.1f%%", F.col("take_profit") * 100))
         .when(dd <= -F.col("max_drawdown"), F.format_string("max_drawdown_triggered_%.1f%%", F.col("max_drawdown") * 100))
     )
-    if custom is not None:
+    if isinstance(custom, Column):
         reason = reason.when(custom, F.lit(f"custom_risk_management_{custom_reason}"))
     d = ledger.withColumn("stop_reason", reason).filter(F.col("stop_reason").isNotNull())
-    return d.groupBy(*key).agg(F.min(order).alias("stop_ts"), F.min_by("stop_reason", order).alias("stop_reason"), F.min_by("equity", order).alias("stop_equity"))
+    stops = d.groupBy(*key).agg(F.min(order).alias("stop_ts"), F.min_by("stop_reason", order).alias("stop_reason"), F.min_by("equity", order).alias("stop_equity"))
+    if custom is None or isinstance(custom, Column):
+        return stops
+    own = stop_function(ledger, custom, key, order).withColumn("stop_reason", F.concat(F.lit("custom_risk_management_"), "stop_reason"))
+    both = stops.withColumn("_own", F.lit(0)).unionByName(own.withColumn("_own", F.lit(1)))
+    first = F.min_by(F.struct("stop_ts", "stop_reason", "stop_equity"), F.struct("stop_ts", "_own"))
+    return both.groupBy(*key).agg(first.alias("_s")).select(*key, "_s.*")
 
 
 def truncate_after_stop(table: DataFrame, stops: DataFrame, key: Sequence[str] = RUN, order: str = "ts") -> DataFrame:
@@ -213,6 +260,23 @@ def truncate_after_stop(table: DataFrame, stops: DataFrame, key: Sequence[str] =
     return d.withColumns(zero).drop("stop_ts", "stop_equity")
 
 
+def trade_log(positions: DataFrame, ledger: DataFrame, stops: DataFrame, order: str = "ts") -> DataFrame:
+    """One row per change of weight: ``strategy_id, window_id, asset, ts, change, weight, cost``.
+
+    ``positions`` are those before stops, with the settings; a stop closes what is held on the date after it. ``cost`` is
+    in money, as the ledger charged it: nothing on the first date of a run, nor for closing after a stop. The costs of a
+    date add up to ``transaction_cost``.
+    """
+    d = turnover(truncate_after_stop(positions, stops, order=order), order=order).filter("trade <> 0")
+    s = series(ledger.select(*RUN, order, "equity"), RUN, order, lookback=1)
+    before = s.add({"_before": s.shared("prev", F.lag("equity").over(s.ordered()))}).drop("equity")
+    d = d.join(before, [*RUN, order]).join(stops.select(*RUN, "stop_ts"), RUN, "left")
+    charged = F.col("_before").isNotNull() & ~F.coalesce(F.col(order) > F.col("stop_ts"), F.lit(False))
+    moved = F.abs("trade")
+    cost = F.col("_before") * moved * (F.col("cost") + F.col("slippage")) + F.when(moved > F.col("min_trade"), F.col("fixed_cost")).otherwise(0.0)
+    return d.select(*RUN, "asset", order, F.col("trade").alias("change"), "weight", F.when(charged, cost).otherwise(0.0).alias("cost"))
+
+
 # ---------------------------------------------------------------------------------------------------------
 # Metrics
 
@@ -294,6 +358,7 @@ class BacktestTables:
     stops: DataFrame
     metrics: DataFrame
     calendar: DataFrame
+    trades: DataFrame
 
 
 def run_backtest(
@@ -305,7 +370,7 @@ def run_backtest(
     lag: int = 0,
     band: float = BAND,
     sizing: Callable[[DataFrame], DataFrame] | None = None,
-    stop: Column | None = None,
+    stop: Column | StopFunction | None = None,
     stop_reason: str = "custom",
     materialize: bool = True,
     order: str = "ts",
@@ -316,7 +381,7 @@ def run_backtest(
     ``returns(asset, ts, ret)`` and ``signals([strategy_id,] asset, ts, signal)`` are aligned on common rows.
     A signal earns the return of its own row; ``lag=1`` makes it earn the next. ``windows=(window, step)`` restarts
     every ``step`` dates after the first ``window``. ``sizing`` replaces the built-in rules; ``stop`` is a predicate over
-    the ledger. The aligned signals feed several cross-section totals, and the positions feed the ledger and the
+    the ledger, or a function along its rows (``stop_function``). The aligned signals feed several cross-section totals, and the positions feed the ledger and the
     result, so both are written to the checkpoint folder once (``materialize``).
     """
     if lag:
@@ -349,7 +414,7 @@ def run_backtest(
     ledger = with_drawdown(truncate_after_stop(ledger.drop("peak", "drawdown"), stops, order=order), order=order)
     ledger = ledger.drop("stop_loss", "take_profit", "max_drawdown")
     metrics = backtest_metrics(ledger, order=order).join(cost_metrics(ledger, order=order), RUN)
-    return BacktestTables(positions, ledger, stops, metrics, cal)
+    return BacktestTables(positions, ledger, stops, metrics, cal, trade_log(p, ledger, stops, order))
 
 
 def chained_equity(ledger: DataFrame, order: str = "ts") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,14 +64,16 @@ def _drawdowns(d: DataFrame, col: str, key: Sequence[str]) -> DataFrame:
 
 
 def bootstrap(
-    df: DataFrame, metric: str | Column, col: str, n: int = 1000, key: Sequence[str] = (), order: str = "ts", seed: int = 42, method: str = "index"
+    df: DataFrame, metric: str | Column | Metric, col: str, n: int = 1000, key: Sequence[str] = (), order: str = "ts", seed: int = 42, method: str = "index"
 ) -> DataFrame:
     """Value of a metric on n resamples: ``key, boot_id, value``.
 
     ``index`` draws with replacement and takes any aggregate (or ``max_drawdown``). ``poisson`` gives every
     row a Poisson(1) count per resample: one pass without a join, combined before the shuffle, for ``mean``,
-    ``sharpe`` and ``ir``; use it where a series is long.
+    ``sharpe`` and ``ir``; use it where a series is long. A ``Metric`` of the user's own is resampled that way too.
     """
+    if isinstance(metric, Metric):
+        return _user_metric(df, metric, col, n, key, order, seed)
     if method == "poisson":
         return _poisson(df, metric, col, n, key, order, seed)
     d = resampled(df, col, n, key, order, seed)
@@ -80,6 +84,71 @@ def bootstrap(
     return d.groupBy(*key, BOOT).agg(value.alias("value"))
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A user's metric of weighted rows, as a function of sums, so that no task needs all rows of a resample.
+
+    ``terms`` turns values (n,) into the terms to be summed (n, m), for example the values and their squares;
+    ``value`` turns total weights (r,) and weighted sums (r, m) of r resamples into r numbers. Rows without a value
+    (NULL or NaN) have no weight. NaN as a result is NULL; a resample without any weight gives none.
+    """
+
+    terms: Callable[[np.ndarray], np.ndarray]
+    value: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def metric_sums(df: DataFrame, metric: Metric, col: str, n: int, key: Sequence[str], seed: int) -> DataFrame:
+    """``key, boot_id, _sums``: for each resample the total Poisson weight and the weighted sums of the metric's terms.
+
+    As in ``weighted_sums`` a task multiplies a matrix of weights with the terms of its rows and sends n records per
+    series it holds and batch; rows are spread by series and position, so a series of any length is shared by all tasks.
+    """
+    key = list(key)
+    head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    boots = np.arange(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            starts = group_starts(t, key)
+            x, seq = t[col].cast(pa.float64()).to_numpy(), t["_seq"].to_numpy()
+            known = ~np.isnan(x)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                at = lo + np.flatnonzero(known[lo:hi])
+                sums = 0.0
+                for i in range(0, len(at), max(1, WEIGHTS // n)):
+                    rows = at[i : i + max(1, WEIGHTS // n)]
+                    terms = np.column_stack((np.ones(len(rows)), metric.terms(x[rows])))
+                    sums = sums + poisson1_array(uniform_array(seed, seq[rows][None], boots[:, None])).astype(float) @ terms
+                if len(at):
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+                    same = pa.array(np.full(n, lo))
+                    heads = [t[c].take(same).combine_chunks() for c in key]
+                    yield pa.RecordBatch.from_arrays([*heads, pa.array(boots.astype("i4")), flat], names=[*key, BOOT, "_sums"])
+
+    d = spread(df.select(*key, "_seq", col), [*key, "_seq"]).sortWithinPartitions(*key)
+    parts = d.mapInArrow(run, f"{head}, {BOOT} int, _sums array<double>")
+    width = 1 + metric.terms(np.ones(1)).reshape(1, -1).shape[1]
+    return parts.groupBy(*key, BOOT).agg(F.array(*[F.sum(F.col("_sums")[i]) for i in range(width)]).alias("_sums"))
+
+
+def _user_metric(df: DataFrame, metric: Metric, col: str, n: int, key: Sequence[str], order: str, seed: int) -> DataFrame:
+    k = list(key) or ["_one"]
+    d = df if key else df.withColumn("_one", F.lit(0))
+    g = metric_sums(number_rows(d.select(*k, order, col), k, order), metric, col, n, k, seed).filter(F.col("_sums")[0] > 0)
+
+    @F.pandas_udf("double")
+    def value(sums: pd.Series) -> pd.Series:
+        if not len(sums):
+            return pd.Series([], dtype=float)
+        a = np.stack(sums.to_numpy())
+        return pd.Series(np.asarray(metric.value(a[:, 0], a[:, 1:]), dtype=float))
+
+    return g.select(*key, BOOT, F.nanvl(value("_sums"), F.lit(None)).alias("value"))
+
+
 #: Weights (rows times resamples) drawn at once in a task.
 WEIGHTS = 1_000_000
 
@@ -142,7 +211,7 @@ def _poisson(df, metric, col, n, key, order, seed) -> DataFrame:
 
 
 def bootstrap_interval(
-    df: DataFrame, metric: str | Column, col: str = "ret", n: int = 1000, key: Sequence[str] = (), order: str = "ts", seed: int = 42,
+    df: DataFrame, metric: str | Column | Metric, col: str = "ret", n: int = 1000, key: Sequence[str] = (), order: str = "ts", seed: int = 42,
     method: str = "index", lower: float = 0.025, upper: float = 0.975,
 ) -> DataFrame:
     """Percentile interval over the n resamples, ``key, lower, upper``."""

@@ -61,14 +61,15 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.St
     return r.load(path)
 
 
-def write_bars(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = "asset", files_per_asset: int = 1) -> None:
+def write_bars(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = "asset", order: str = "ts") -> None:
     """Write bars partitioned by asset.
 
-    Rows are spread by (asset, slice of the file) so that one large asset is written by several tasks.
+    Rows are range-partitioned by (asset, time), so that a large asset is written by as many tasks as its rows need, each
+    with a stretch of its time, and small ones share a task. There are no more files than assets and tasks together.
     """
     w = df
     if by:
-        w = df.repartition(by, F.pmod(F.xxhash64("ts"), F.lit(files_per_asset)))
+        w = df.repartitionByRange(by, order)
     out = w.write.mode("overwrite").format(fmt)
     if by:
         out = out.partitionBy(by)
@@ -138,11 +139,15 @@ def json_summary(df: DataFrame) -> DataFrame:
 def summary_record(**stages: DataFrame) -> DataFrame:
     """One record from the one-row summaries of all stages; columns get the stage name as prefix.
 
-    Every input is an ungrouped aggregate, hence one row, which is what makes the keyless joins safe.
+    Each stage is counted as it is read: one of no row or of several raises when the record is evaluated. What is joined
+    is an ungrouped aggregate, so that the keyless joins see one row each.
     """
     out: DataFrame | None = None
     for stage, df in stages.items():
-        one = df.select([F.col(c).alias(f"{stage}_{c}") for c in df.columns])
+        one = df.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_s"))
+        wrong = F.raise_error(F.concat(F.lit(f"stage {stage} has "), F.col("_n").cast("string"), F.lit(" rows, not one")))
+        one = one.select(F.when(F.col("_n") == 1, F.col("_s")).otherwise(wrong.cast(one.schema["_s"].dataType)).alias("_s"))
+        one = one.select([F.col("_s")[c].alias(f"{stage}_{c}") for c in df.columns])
         out = one if out is None else out.join(F.broadcast(one))
     if out is None:
         raise ValueError("no stages given")

@@ -39,12 +39,17 @@ def dedupe(stream: DataFrame, key: Sequence[str] = ("event_type",), order: str =
     return d.dropDuplicatesWithinWatermark([*key, order]) if stream.isStreaming else d.dropDuplicates([*key, order])
 
 
-def quarantine(stream: DataFrame, cols: Sequence[str] = ("value",), key: Sequence[str] = ("event_type",), order: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """Rows fit for use, and rejected rows with the reason. The minimum history is held back by the update itself."""
+def with_reason(stream: DataFrame, cols: Sequence[str] = ("value",), key: Sequence[str] = ("event_type",), order: str = "ts") -> DataFrame:
+    """Adds ``reason``: what makes a row unfit for use, NULL where it is fit."""
     bad = F.when(F.col(order).isNull(), "missing time")
     for k in key:
         bad = bad.when(F.col(k).isNull(), f"missing {k}")
     for c in cols:
         bad = bad.when(F.col(c).isNull() | F.isnan(c), f"missing {c}")
-    d = stream.withColumn("reason", bad)
+    return stream.withColumn("reason", bad)
+
+
+def quarantine(stream: DataFrame, cols: Sequence[str] = ("value",), key: Sequence[str] = ("event_type",), order: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """Rows fit for use, and rejected rows with the reason. The minimum history is held back by the update itself."""
+    d = with_reason(stream, cols, key, order)
     return d.filter(F.col("reason").isNull()).drop("reason"), d.filter(F.col("reason").isNotNull())

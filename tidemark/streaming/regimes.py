@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
+import time
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from tidemark.operators.hmm import HmmParams, log_density, prepare_regime_features
@@ -92,6 +94,27 @@ def regime_stream(
     )
 
 
+def update_history(spark: SparkSession, state: str, key: Sequence[str] = ("event_type",), last: int | None = None) -> DataFrame:
+    """The past updates that a regime stream keeps, read from its state: ``key, ts, regime, confidence``.
+
+    ``state`` is the query's checkpoint folder; the stream need not run. Reads all state partitions in parallel; ``last``
+    keeps the newest of each series, of which the state holds at most ``history``.
+    """
+    h = spark.read.format("statestore").option("path", state).option("stateVarName", "history").load()
+    e = F.col("list_element")
+    d = h.select(*[F.col(f"key.{k}").alias(k) for k in key], F.timestamp_micros(e["us"]).alias("ts"), e["regime"].alias("regime"), e["confidence"].alias("confidence"))
+    if last is None:
+        return d
+    newest = Window.partitionBy(*key).orderBy(F.col("ts").desc())  # at most ``history`` rows
+    return d.withColumn("_i", F.row_number().over(newest)).filter(F.col("_i") <= last).drop("_i")
+
+
+def counted(df: DataFrame, failed: Column, name: str = "updates") -> DataFrame:
+    """Count rows and failures as they pass, without a pass of their own: a stream reports them with each batch
+    (``UpdateCounters.observed``), a batch job through the query's listener or an ``Observation``."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("failures"))
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -102,6 +125,7 @@ class UpdateCounters(StreamingQueryListener):
     def __init__(self):
         self.batches = self.rows = self.failures = self.finished = 0
         self.times = deque(maxlen=100)
+        self.observed = Counter()
 
     def onQueryStarted(self, event):
         pass
@@ -110,6 +134,8 @@ class UpdateCounters(StreamingQueryListener):
         self.batches += 1
         self.rows += event.progress.numInputRows
         self.times.append(event.progress.batchDuration)
+        for name, row in event.progress.observedMetrics.items():
+            self.observed.update({f"{name}_{c}": v for c, v in row.asDict().items() if v is not None})
 
     def onQueryIdle(self, event):
         pass
@@ -118,6 +144,14 @@ class UpdateCounters(StreamingQueryListener):
         self.finished += 1
         self.failures += event.exception is not None
 
+    def wait(self, finished: int = 1, seconds: float = 60.0) -> None:
+        """Until that many queries are seen to end: events arrive after the query's own thread goes on, in their order."""
+        end = time.monotonic() + seconds
+        while self.finished < finished:
+            if time.monotonic() > end:
+                raise TimeoutError(f"{self.finished} of {finished} queries seen to end within {seconds} s")
+            time.sleep(0.05)
+
     def summary(self) -> dict[str, float]:
         total = self.batches + self.failures
         return {
