@@ -210,7 +210,7 @@ def test_top_products(spark):
     v = g.normal(size=(400, 6)) * g.choice([0.2, 1, 5], 400)[:, None]
     v[100:140] = v[100] + g.normal(size=(40, 6)) * 0.001
     q = np.floor(256 * v.astype("f4").astype("f8")).astype("i8")
-    got = topk.top_products(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), "vec_id % 10 = 0", bucket=64, block=100).toPandas()
+    got = topk.top_products(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), "vec_id % 10 = 0", bucket=64, block=10).toPandas()
     for i, rows in got.sort_values("rank").groupby("query_id"):
         s = q @ q[i]
         best = [j for j in np.lexsort((np.arange(400), -s)) if j != i][:5]
@@ -225,7 +225,7 @@ def test_top_products_near_axes(spark, dim):
     v[np.arange(600), g.integers(0, dim, 600)] += g.choice([-1, 1], 600)
     v *= (g.choice([1, 1.1, 1.3, 4], 600) * g.uniform(0.95, 1, 600))[:, None]
     q = np.floor(256 * v.astype("f4").astype("f8")).astype("i8")
-    got = topk.top_products(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), "vec_id % 5 = 0", bucket=32, block=100).toPandas()
+    got = topk.top_products(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), "vec_id % 5 = 0", bucket=32, block=20).toPandas()
     for i, rows in got.sort_values("rank").groupby("query_id"):
         s = q @ q[i]
         best = [j for j in np.lexsort((np.arange(600), -s)) if j != i][:5]
@@ -233,6 +233,21 @@ def test_top_products_near_axes(spark, dim):
     assert got.query_id.nunique() == 120
 
 
+def test_blocks_go_only_to_buckets_within_reach(spark):
+    lengths = spark.createDataFrame([(2, b, 0, 100.0 / (b + 1)) for b in range(10)] + [(3, 0, 0, 1.0)], "dim long, bucket long, first long, longest double")
+    asked = spark.createDataFrame([(2, 0, 60.0), (2, 0, 49.0), (2, 1, 25.0), (2, 2, 0.0), (3, 2, 2.0)], "dim long, block long, reach double")
+    got = {(r["dim"], r["block"]): r["upto"] for r in topk.reached(asked, lengths).collect()}
+    assert got == {(2, 0): 1, (2, 1): 3, (2, 2): 9}
+
+
+def test_products_stop_at_the_shortest_useful_vector(monkeypatch):
+    rows, plain = [], topk.products
+    monkeypatch.setattr(topk, "products", lambda q, p: rows.append(len(p)) or plain(q, p))
+    p = np.array([[0, n] for n in range(200, 0, -1)])
+    (got,) = topk.search_bucket(np.array([-1]), np.array([[30, 10]]), np.array([1500]), np.arange(200), p, 5)
+    assert got[1].tolist() == [0, 1, 2, 3, 4] and rows[0] < 200
+
+
 def test_coordinate_ranges_reach_the_axis():
     """Thresholds below the query's own coordinate: vectors on the axis, and beyond it, count."""
     for sign in (1, -1):

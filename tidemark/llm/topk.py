@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, column
@@ -65,15 +65,27 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, p_ids: np
             keep(row, at, products(q[row : row + 1], p[at])[0])
     by_length = np.flatnonzero(local < COORDINATES_FROM)
     if len(by_length):
-        scores = products(q[by_length], p)
         with np.errstate(divide="ignore", invalid="ignore"):
             shortest = np.where(least[by_length] > 0, least[by_length] / q_len[by_length], 0.0) * (1 - 1e-9)
-        for row, own, low in zip(by_length, scores, shortest, strict=True):
-            keep(row, np.arange(np.searchsorted(-p_len, -low, "right")), own[: np.searchsorted(-p_len, -low, "right")])
+        ends = np.searchsorted(-p_len, -shortest, "right")  # vectors long enough come first
+        scores = products(q[by_length], p[: ends.max()])
+        for row, own, end in zip(by_length, scores, ends, strict=True):
+            keep(row, np.arange(end), own[:end])
     return out
 
 
-def top_products(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, scale: float = 256.0, bucket: int = 2048, block: int = 25_600, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def reached(asked: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``dim, block, first, upto``: the last bucket that may hold a product for a block's queries.
+
+    ``asked`` has a ``reach`` per query, the shortest vector that can still meet its threshold; ``lengths`` has the
+    longest vector per bucket, which falls from bucket to bucket. Neither carries vectors.
+    """
+    least = asked.groupBy("dim", "block").agg(F.min("reach").alias("reach"))
+    d = least.join(lengths, "dim").filter(F.col("longest") >= F.col("reach") * (1 - 1e-9))  # a hair low, for rounding
+    return d.groupBy("dim", "block").agg(F.max("bucket").alias("upto"), F.min("first").alias("first"))
+
+
+def top_products(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, scale: float = 256.0, bucket: int = 2048, block: int = 512, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best other vectors, ties to the smaller id.
 
     Components are ``floor(scale * x)``. Queries are the rows where the SQL condition ``queries`` over ``vec_id`` holds.
@@ -81,8 +93,9 @@ def top_products(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int =
     id the smallest vector counts; vectors of different dimension do not meet; other columns are ignored. With no
     vectors, or no others, there are no rows.
 
-    Queries go to the buckets in blocks: a task holds a bucket of ``bucket`` vectors and the queries among ``block``
-    vectors of like length.
+    Queries go to the buckets in blocks of ``block``: a task holds a bucket of ``bucket`` vectors and a block of queries.
+    Once thresholds are known, blocks are of queries that reach about as far, and a block goes only to the buckets
+    whose longest vector some query of it can still use.
     """
     v = column(vector)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -93,11 +106,16 @@ def top_products(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int =
     d = d.select("vec_id", "v", F.size("v").cast("long").alias("dim"), norm.alias("norm"), F.lit(1).cast("long").alias("one"))
     d = running_totals(d, [F.col("dim"), F.col("norm").desc(), F.col("vec_id")], ["one"])
     at = F.col("run_one") - 1
-    d = checkpoint(d.select("vec_id", "v", "dim", "norm", F.floor(at / bucket).alias("bucket"), F.floor(at / block).alias("block")))
+    d = checkpoint(d.select("vec_id", "v", "dim", "norm", F.floor(at / bucket).alias("bucket")))
     packed = lambda x: F.struct(F.transform(x, lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform(x, lambda r: r["v"])).alias("v"))
     buckets = d.groupBy("dim", "bucket").agg(packed(F.array_sort(F.collect_list(F.struct("vec_id", "v")))).alias("p"))  # at most `bucket` rows each
-    longest = d.groupBy("dim").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    asked = d.filter(queries).select("vec_id", "v", "dim", "block")
+    lengths = d.groupBy("dim", "bucket").agg(F.sqrt(F.max("norm")).alias("longest"))
+    firsts = lengths.groupBy("dim").agg(F.min("bucket").alias("first"))
+    one = F.lit(1).cast("long").alias("one")
+    asked = d.filter(queries).select("vec_id", "v", "dim", F.sqrt("norm").alias("length"), one)
+
+    def in_blocks(q: DataFrame, *order: Column) -> DataFrame:
+        return running_totals(q, [F.col("dim"), *order, F.col("vec_id")], ["one"]).withColumn("block", F.floor((F.col("run_one") - 1) / block))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,16 +132,18 @@ def top_products(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int =
         rows = F.array_sort(F.collect_list(F.struct("vec_id", "v", "least")))
         return q.groupBy("dim", "block").agg(rows.alias("r")).select("dim", "block", packed(F.col("r")).alias("q"), F.transform("r", lambda x: x["least"]).alias("least"))
 
-    def meet(q: DataFrame, where: DataFrame) -> DataFrame:
-        """Products of query blocks with buckets ``where`` (``dim, bucket`` and the rows of ``q``)."""
+    def meet(where: DataFrame) -> DataFrame:
+        """Products of blocks of queries with the bucket beside each."""
         return where.join(buckets, ["dim", "bucket"]).select("dim", "p", "q", "least").mapInArrow(find, FOUND)
 
     none = F.lit(None).cast("long").alias("least")
-    seeds = blocks(asked.select("*", none)).join(longest, "dim").withColumn("bucket", F.col("first"))
-    first = checkpoint(meet(asked, seeds))
+    seeds = blocks(in_blocks(asked, F.col("length").desc()).select("*", none)).join(firsts.withColumnRenamed("first", "bucket"), "dim")
+    first = checkpoint(meet(seeds))
     bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
     known = asked.join(bound.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
-    rest = blocks(known).join(longest, "dim").filter("last > first").withColumn("bucket", F.explode(F.sequence(F.col("first") + 1, F.col("last"))))
-    both = first.union(meet(known, rest))
-    best = both.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    reach = F.when(F.col("least") > 0, F.col("least") / F.col("length")).otherwise(0.0)
+    known = checkpoint(in_blocks(known.withColumn("reach", reach), F.col("reach").desc()))
+    ends = reached(known, lengths.join(firsts, "dim")).filter("upto > first")
+    rest = blocks(known).join(ends, ["dim", "block"]).withColumn("bucket", F.explode(F.sequence(F.col("first") + 1, F.col("upto"))))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # limited to k where rows are made, too
+    return first.union(meet(rest)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
