@@ -433,6 +433,27 @@ def correlation(spark, sf):
     return rounded(cross.correlation(mrets(spark, sf)))
 
 
+STRONG = """c AS (SELECT x.asset AS a, y.asset AS b, corr(x.ret, y.ret) AS corr, count(*) AS n FROM rets x JOIN rets y ON x.ts = y.ts AND x.asset < y.asset
+  GROUP BY 1, 2 HAVING count(*) >= 20 AND abs(corr(x.ret, y.ret)) >= 0.15)"""
+
+
+@query(with_mrets(f"SELECT a, b, {rnd('corr')} AS corr, n FROM c", STRONG))
+def strong_pairs(spark, sf):
+    """Only the pairs of suppliers whose returns go together."""
+    return rounded(cross.strong_pairs(mrets(spark, sf), 0.15))
+
+
+@query(
+    with_mrets(
+        f"""SELECT asset, CAST(rank AS INT) AS rank, other, {rnd('corr')} AS corr, n FROM (
+        SELECT *, row_number() OVER (PARTITION BY asset ORDER BY abs(corr) DESC, other) AS rank FROM (SELECT a AS asset, b AS other, corr, n FROM c UNION ALL SELECT b, a, corr, n FROM c)) WHERE rank <= 3""",
+        STRONG,
+    )
+)
+def strongest_partners(spark, sf):
+    return rounded(cross.strong_pairs(mrets(spark, sf), 0.15, top=3))
+
+
 @query(
     with_rets(
         f"""SELECT x.asset AS a, y.asset AS b, {rnd('covar_samp(x.ret, y.ret) * 252')} AS cov, count(*) AS n FROM rets x JOIN rets y ON x.ts = y.ts GROUP BY 1, 2"""

@@ -12,7 +12,8 @@ from tidemark.operators.prep import KEY, YEAR
 from tidemark.plans.attach import attach, attach_series
 from tidemark.plans.pairs import pair_sums
 from tidemark.plans.ranks import rank_within
-from tidemark.plans.series import number_rows, series
+from tidemark.plans.series import is_bounded, number_rows, series
+from tidemark.plans.strong import strong_pairs as _strong_pairs
 
 
 def forward_return(returns: DataFrame, h: int = 1, col: str = "ret", key: Sequence[str] = KEY, order: str = "ts", out: str = "forward_ret", chunk_rows=None):
@@ -57,6 +58,29 @@ def correlation(returns: DataFrame, col: str = "ret", order: str = "ts", group:
     return p.select(*group, "a", "b", F.when(ok, c / F.sqrt(vx * vy)).alias("corr"), n.cast("long").alias("n"))
 
 
+def strong_pairs(
+    returns: DataFrame, threshold: float = 0.8, top: int | None = None, col: str = "ret", order: str = "ts", min_dates: int = 20, block: int = 256
+) -> DataFrame:
+    """Pairs of assets whose correlation reaches the threshold in size: ``a, b, corr, n`` with a < b.
+
+    The use of a correlation matrix that grows with the result, not with the square of the universe: blocks of assets
+    that cannot hold such a pair are not compared (see ``plans.strong``), and none is lost. ``top`` keeps, for each asset,
+    its strongest pairs as ``asset, rank, other, corr, n``, ties to the smaller name. Of rows that repeat an asset and date
+    the largest value counts; missing values, and assets that never move, make no pair. Orders other than a DATE are
+    compared in full.
+    """
+    if is_bounded(returns, order):
+        d = _strong_pairs(returns, threshold, "asset", col, order, min_dates, block)
+    else:
+        known = returns.groupBy("asset", order).agg(F.max(F.nanvl(F.col(col).cast("double"), F.lit(None))).alias(col))
+        d = correlation(known, col, order).filter((F.col("a") < F.col("b")) & (F.abs("corr") >= threshold) & (F.col("n") >= min_dates))
+    if top is None:
+        return d
+    sides = d.selectExpr("a AS asset", "b AS other", "corr", "n").unionByName(d.selectExpr("b AS asset", "a AS other", "corr", "n"))
+    w = Window.partitionBy("asset").orderBy(F.abs("corr").desc(), "other")  # limited to ``top`` before the shuffle, too
+    return sides.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("asset", "rank", "other", "corr", "n")
+
+
 def covariance(returns: DataFrame, ann: float = YEAR, col: str = "ret", order: str = "ts", group: Sequence[str] = (), members: int | None = None) -> DataFrame:
     """Annualised sample covariance of all ordered asset pairs: ``a, b, cov, n``."""
     p = pair_sums(returns, "asset", col, order, group, members)
