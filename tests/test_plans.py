@@ -80,7 +80,7 @@ def test_hot_key_is_cut_into_even_partitions(spark):
     _, raw = hot(spark)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        n = ranged(raw, ["asset"], "us").groupBy(F.shiftright("_id", 33)).count().toPandas()["count"]
+        n = ranged(raw, ["asset"], "us").groupBy(F.shiftright("_rp_id", 33)).count().toPandas()["count"]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(n) == 4 and n.max() < 0.35 * n.sum()
@@ -128,6 +128,16 @@ def test_ranks_of_hot_groups_and_values(spark, grouped, coalesce):
         assert (r["_ties"], r["_before"], r["_n"]) == ((vs == v).sum(), (vs < v).sum(), len(vs))
 
 
+def test_ranks_beside_columns_with_short_helper_names(spark):
+    """Columns named like a plan's own helpers do no harm."""
+    names = ["_up", "_lo", "_hi", "_c", "_t", "_r", "_id", "_part", "_same", "_e", "_v", "_m", "_salt", "_from", "_rows", "_shift"]
+    d = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0)], "g string, x double").selectExpr("*", *[f"7 AS {n}" for n in names])
+    got = ranks.rank_within(d, "x", ["g"])
+    assert got.columns == [*d.columns, "_ties", "_before", "_n"]
+    assert sorted((r["x"], r["_ties"], r["_before"], r["_n"], r["_up"]) for r in got.collect()) == [(1.0, 1, 0, 3, 7), (2.0, 2, 1, 3, 7), (2.0, 2, 1, 3, 7)]
+    assert sorted(r["_seq"] for r in number_rows(d, ["g"], "x").collect()) == [0, 1, 2]
+
+
 def test_ranks_of_an_empty_frame(spark):
     d = spark.createDataFrame([], "g string, x double")
     assert ranks.rank_within(d, "x", ["g"]).count() == 0 and ranks.value_positions(d, "x").count() == 0

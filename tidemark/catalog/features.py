@@ -247,6 +247,22 @@ def enhanced_features(spark, sf):
     return rounded(ft.enhanced_features(mrets(spark, sf)), 4)
 
 
+_ENM = _ENH | {"yield_spread": "slope", "term_structure_slope": "slope", "dollar_strength": "chg"}
+_EM = f"""em AS (SELECT ej.*, slope, chg FROM ej LEFT JOIN (SELECT ts, {_SLOPE} AS slope FROM macro GROUP BY ts) USING (ts)
+  LEFT JOIN (SELECT ts, value / lag(value) OVER (ORDER BY ts) - 1 AS chg FROM macro WHERE series = '3-MEDIUM') USING (ts))"""
+
+
+@query(
+    with_rets(
+        "SELECT asset, ts, " + ", ".join(f"{rnd(f'coalesce({e}, 0)', 4)} AS {n}" for n, e in _ENM.items()) + " FROM em",
+        *MACD, MOVES, ewm_cte("v15", "seq", "ret", 15, True), MACRO, _EJ, _EM,
+    )
+)
+def enhanced_features_macro(spark, sf):
+    """The wide set with slope and dollar strength from macro levels."""
+    return rounded(ft.enhanced_features(rets(spark, sf), macro(spark, sf), macro_names={"long": "5-LOW", "short": "1-URGENT", "dollar": "3-MEDIUM"}), 4)
+
+
 def fill_sql(c):
     w = "PARTITION BY asset ORDER BY ts"
     return (
@@ -302,7 +318,51 @@ def portfolio_features(spark, sf):
     return rounded(ft.portfolio_features(r), 4)
 
 
-@query()
+def _carried(c, key="asset"):
+    return f"last_value({c}0 IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS {c}"
+
+
+def _levels(c, name):
+    """A carried level, its 21-row mean and its distance from the 252-row mean."""
+    return {f"{name}_yield": c, f"{name}_yield_ma": m(c, 21), f"{name}_yield_spread": f"{c} - ({m(c, 252)})"}
+
+
+_MW3 = "mw3 AS (SELECT ts, " + ", ".join(f"max(value) FILTER (series = '{n}') AS {c}0" for c, n in (("u", "1-URGENT"), ("l", "5-LOW"), ("x", "3-MEDIUM"))) + " FROM macro GROUP BY ts)"
+_PF = {"returns": "ret", "volatility": s("ret", 21), "momentum": m("ret", 20), "skewness": full("skewness(ret)", "ret", 21, W), "kurtosis": full("kurtosis(ret)", "ret", 21, W), **_levels("u", "1-URGENT")}
+
+
+@query(
+    sql(
+        "SELECT portfolio, ts, " + ", ".join(f"""{rnd(fill_sql(f'"{c}"').replace('asset', 'portfolio'), 4)} AS "{c}" """ for c in _PF) + " FROM f",
+        BARS, RETS, MACRO, _MW3, "port AS (SELECT substr(asset, 3, 1) AS portfolio, ts, avg(ret) AS ret FROM rets GROUP BY 1, 2)",
+        f"pm AS (SELECT *, {_carried('u', 'portfolio')} FROM port LEFT JOIN mw3 USING (ts))",
+        "f AS (SELECT portfolio, ts, " + ", ".join(f"""{e.replace('asset', 'portfolio')} AS "{n}" """ for n, e in _PF.items()) + " FROM pm)",
+    )
+)
+def portfolio_features_macro(spark, sf):
+    """The portfolio set with a macro level."""
+    r = rets(spark, sf).groupBy(F.substring("asset", 3, 1).alias("portfolio"), "ts").agg(F.avg("ret").alias("ret"))
+    d = rounded(ft.portfolio_features(r, macro(spark, sf), ["1-URGENT"]), 4)
+    return d.select("portfolio", "ts", *[F.col(f"`{c}`") for c in _PF])
+
+
+_BMS = {n: e for n, e in _BAS.items() if n not in ("beta_to_index", "sector_index_spread", "pair_dispersion", "pair_spread")}
+_BMS |= {
+    **_levels("u", "1-URGENT"), **_levels("l", "5-LOW"), "term_structure_slope": "l - u", "yield_curve_inversion": "CASE WHEN u < l THEN 1.0 ELSE 0.0 END",
+    "vix_percentile": "CASE WHEN x IS NOT NULL THEN (rank() OVER (PARTITION BY asset ORDER BY x) + (count(*) OVER (PARTITION BY asset, x) - 1) / 2) / count(x) OVER (PARTITION BY asset) END",
+}
+_BMC = [*_BMS, "vol_of_vol", "momentum_rank"]
+
+
+@query(
+    with_rets(
+        "SELECT asset, ts, " + ", ".join(f"""{rnd(f'("{c}" - avg("{c}") OVER a) / (stddev_samp("{c}") OVER a + 1e-8)', 4)} AS "{c}" """ for c in _BMC) + " FROM filled WINDOW a AS (PARTITION BY asset)",
+        *MACD, *WRSI, ewm_cte("v21", "seq", "ret", 21, True), MACRO, _MW3,
+        f"bm AS (SELECT *, {_carried('u')}, {_carried('l')}, {_carried('x')} FROM moves JOIN v21 USING (asset, ts) JOIN wrsi USING (asset, ts) JOIN md USING (asset, ts) JOIN ms USING (asset, ts) LEFT JOIN mw3 USING (ts))",
+        "b1 AS (SELECT asset, ts, " + ", ".join(f"""CAST({e} AS DOUBLE) AS "{n}" """ for n, e in _BMS.items()) + " FROM bm)", _B2,
+        "filled AS (SELECT asset, ts, " + ", ".join(f"""{fill_sql(f'"{c}"')} AS "{c}" """ for c in _BMC) + " FROM b2)",
+    )
+)
 def basic_features_macro(spark, sf):
     """The per-asset set with macro levels and normalised columns."""
     d = ft.basic_features(rets(spark, sf), macro(spark, sf), normalize=True, macro_names={"vix": "3-MEDIUM", "short": "1-URGENT", "long": "5-LOW"})

@@ -19,7 +19,7 @@ from tidemark.plans.series import is_bounded, null_safe_join, ranged
 
 def _before(*by: str):
     """The partitions before one, of the same group: as many records as partitions at most."""
-    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_rp_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _whole(*by: str):
@@ -34,12 +34,12 @@ def value_positions(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataF
     """
     g = list(group)
     v = df.filter(F.col(col).isNotNull()).groupBy(*g, col).agg(F.count(F.lit(1)).alias("_ties"))
-    v = ranged(v, g, col).withColumn("_part", F.shiftright("_id", 33))
-    parts = v.groupBy(*g, "_part").agg(F.sum("_ties").alias("_c"))
-    parts = parts.select(*g, "_part", F.coalesce(F.sum("_c").over(_before(*g)), F.lit(0)).alias("_up"), F.sum("_c").over(_whole(*g)).alias("_n"))
-    inside = Window.partitionBy(*g, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("_in", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
-    return null_safe_join(v, parts, [*g, "_part"]).select(*g, col, "_ties", (F.col("_up") + F.col("_in")).alias("_before"), "_n")
+    v = ranged(v, g, col).withColumn("_rp_part", F.shiftright("_rp_id", 33))
+    parts = v.groupBy(*g, "_rp_part").agg(F.sum("_ties").alias("_rk_c"))
+    parts = parts.select(*g, "_rp_part", F.coalesce(F.sum("_rk_c").over(_before(*g)), F.lit(0)).alias("_rk_up"), F.sum("_rk_c").over(_whole(*g)).alias("_n"))
+    inside = Window.partitionBy(*g, "_rp_part").orderBy("_rp_id").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("_rk_in", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+    return null_safe_join(v, parts, [*g, "_rp_part"]).select(*g, col, "_ties", (F.col("_rk_up") + F.col("_rk_in")).alias("_before"), "_n")
 
 
 def rank_within(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
@@ -50,24 +50,24 @@ def rank_within(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame
     partition tells how many of its rows lie in the others. Only rows alike in all columns cannot be parted.
     """
     g, names = list(group), df.columns
-    d = df.withColumn("_salt", F.xxhash64(*[c for c in names if not _has_map(df.schema[c].dataType)]))
-    d = ranged(d, [*g, col], "_salt").withColumn("_part", F.shiftright("_id", 33))
-    w = Window.partitionBy(*g, "_part").orderBy(F.col(col).asc_nulls_last())
-    d = d.withColumns({"_r": F.rank().over(w).cast("long") - 1, "_t": F.count(F.lit(1)).over(w.rangeBetween(0, 0))})
+    d = df.withColumn("_rk_salt", F.xxhash64(*[c for c in names if not _has_map(df.schema[c].dataType)]))
+    d = ranged(d, [*g, col], "_rk_salt").withColumn("_rp_part", F.shiftright("_rp_id", 33))
+    w = Window.partitionBy(*g, "_rp_part").orderBy(F.col(col).asc_nulls_last())
+    d = d.withColumns({"_rk_r": F.rank().over(w).cast("long") - 1, "_rk_t": F.count(F.lit(1)).over(w.rangeBetween(0, 0))})
     x = F.col(col)
-    parts = d.filter(x.isNotNull()).groupBy(*g, "_part").agg(
-        F.count(F.lit(1)).alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.min_by("_t", x).alias("_n_lo"), F.max_by("_t", x).alias("_n_hi")
+    parts = d.filter(x.isNotNull()).groupBy(*g, "_rp_part").agg(
+        F.count(F.lit(1)).alias("_rk_c"), F.min(x).alias("_rk_lo"), F.max(x).alias("_rk_hi"), F.min_by("_rk_t", x).alias("_rk_n_lo"), F.max_by("_rk_t", x).alias("_rk_n_hi")
     )
-    lo, hi = (F.struct(F.col(v).alias("v"), F.col(n).alias("m")) for v, n in (("_lo", "_n_lo"), ("_hi", "_n_hi")))
-    ends = parts.select(*g, "_part", F.explode(F.when(F.col("_lo") == F.col("_hi"), F.array(lo)).otherwise(F.array(lo, hi))).alias("_e"))
-    ends = ends.select(*g, "_part", F.col("_e.v").alias("_v"), F.col("_e.m").alias("_m"))
-    ends = ends.withColumns({"_same": F.coalesce(F.sum("_m").over(_before(*g, "_v")), F.lit(0)), "_all": F.sum("_m").over(_whole(*g, "_v"))})
-    ends = ends.groupBy(*g, "_part").agg(F.min_by("_same", "_v").alias("_same"), F.min_by("_all", "_v").alias("_all_lo"), F.max_by("_all", "_v").alias("_all_hi"))
-    parts = parts.select(*g, "_part", "_lo", "_hi", F.coalesce(F.sum("_c").over(_before(*g)), F.lit(0)).alias("_up"), F.sum("_c").over(_whole(*g)).alias("_n"))
-    d = null_safe_join(d, null_safe_join(parts, ends, [*g, "_part"]), [*g, "_part"], "left")
-    ties = F.when(x == F.col("_lo"), F.col("_all_lo")).when(x == F.col("_hi"), F.col("_all_hi")).otherwise(F.col("_t"))
-    before = F.col("_up") + F.when(x == F.col("_lo"), -F.col("_same")).otherwise(F.col("_r"))
-    known = {"_ties": ties, "_before": before, "_n": F.col("_n")}
+    lo, hi = (F.struct(F.col(v).alias("v"), F.col(n).alias("m")) for v, n in (("_rk_lo", "_rk_n_lo"), ("_rk_hi", "_rk_n_hi")))
+    ends = parts.select(*g, "_rp_part", F.explode(F.when(F.col("_rk_lo") == F.col("_rk_hi"), F.array(lo)).otherwise(F.array(lo, hi))).alias("_rk_e"))
+    ends = ends.select(*g, "_rp_part", F.col("_rk_e.v").alias("_rk_v"), F.col("_rk_e.m").alias("_rk_m"))
+    ends = ends.withColumns({"_rk_same": F.coalesce(F.sum("_rk_m").over(_before(*g, "_rk_v")), F.lit(0)), "_rk_all": F.sum("_rk_m").over(_whole(*g, "_rk_v"))})
+    ends = ends.groupBy(*g, "_rp_part").agg(F.min_by("_rk_same", "_rk_v").alias("_rk_same"), F.min_by("_rk_all", "_rk_v").alias("_rk_all_lo"), F.max_by("_rk_all", "_rk_v").alias("_rk_all_hi"))
+    parts = parts.select(*g, "_rp_part", "_rk_lo", "_rk_hi", F.coalesce(F.sum("_rk_c").over(_before(*g)), F.lit(0)).alias("_rk_up"), F.sum("_rk_c").over(_whole(*g)).alias("_rk_n"))
+    d = null_safe_join(d, null_safe_join(parts, ends, [*g, "_rp_part"]), [*g, "_rp_part"], "left")
+    ties = F.when(x == F.col("_rk_lo"), F.col("_rk_all_lo")).when(x == F.col("_rk_hi"), F.col("_rk_all_hi")).otherwise(F.col("_rk_t"))
+    before = F.col("_rk_up") + F.when(x == F.col("_rk_lo"), -F.col("_rk_same")).otherwise(F.col("_rk_r"))
+    known = {"_ties": ties, "_before": before, "_n": F.col("_rk_n")}
     return d.select(*names, *[F.when(x.isNotNull(), c).alias(o) for o, c in known.items()])
 
 

@@ -89,14 +89,14 @@ def null_safe_join(d: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
 
 def ranged(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
-    """Rows sorted over (key, order) across range partitions, with ``_id`` = partition * 2**33 + place in it.
+    """Rows sorted over (key, order) across range partitions, with ``_rp_id`` = partition * 2**33 + place in it.
 
     The cuts are drawn from a sample of the rows, so that partitions are even whatever key or time span is hot. Two
     evaluations would sample differently: the numbered rows are written to the checkpoint folder, and a lost task is
     recomputed from what was written.
     """
     d = df.repartitionByRange(*key, order).sortWithinPartitions(*key, order)
-    return checkpoint(d.withColumn("_id", F.monotonically_increasing_id()))
+    return checkpoint(d.withColumn("_rp_id", F.monotonically_increasing_id()))
 
 
 def _ranged_positions(df: DataFrame, key: Sequence[str], order: str, out: str) -> DataFrame:
@@ -104,14 +104,14 @@ def _ranged_positions(df: DataFrame, key: Sequence[str], order: str, out: str) -
 
     A key has one record per partition it reaches into, so the records are as many as keys and partitions together.
     """
-    d = ranged(df, key, order).withColumn("_part", F.shiftright("_id", 33))
-    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    d = ranged(df, key, order).withColumn("_rp_part", F.shiftright("_rp_id", 33))
+    before = Window.partitionBy(*key).orderBy("_rp_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
-        d.groupBy(*key, "_part")
-        .agg(F.min("_id").alias("_from"), F.count(F.lit(1)).alias("_rows"))
-        .select(*key, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+        d.groupBy(*key, "_rp_part")
+        .agg(F.min("_rp_id").alias("_rp_from"), F.count(F.lit(1)).alias("_rp_rows"))
+        .select(*key, "_rp_part", (F.coalesce(F.sum("_rp_rows").over(before), F.lit(0)) - F.col("_rp_from")).alias("_rp_shift"))
     )
-    return null_safe_join(d, runs, [*key, "_part"]).withColumn(out, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
+    return null_safe_join(d, runs, [*key, "_rp_part"]).withColumn(out, F.col("_rp_id") + F.col("_rp_shift")).drop("_rp_id", "_rp_part", "_rp_shift")
 
 
 def long_series(df: DataFrame, key: Sequence[str], order: str = "ts") -> DataFrame:
