@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import stream as cs
 from tidemark.functions import draws
 from tidemark.operators import backtest as bt
-from tidemark.operators import resample
+from tidemark.operators import prep, resample
 from tidemark.operators.sizing import Strategy
 from tidemark.sources import market
 from tidemark.streaming import regimes as sr
@@ -143,3 +143,12 @@ def test_a_large_asset_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "bars" / "asset=big").glob("*.parquet"))) >= 3
     assert spark.read.parquet(str(tmp_path / "bars")).count() == 4000
+
+
+def test_weights_of_a_frame_are_checked(spark):
+    r = daily(spark, {a: {"ret": [0.01, 0.02]} for a in "ab"})
+    frame = lambda *w: spark.createDataFrame(list(zip("ab", w)), "asset string, weight double")
+    same([x["ret"] for x in prep.weighted_portfolio(r, frame(0.25, 0.75)).orderBy("ts").collect()], [0.01, 0.02])
+    for w, text in (((0.5, 0.6), "sum to 1"), ((1.5, -0.5), "lie in"), ((1.0, None), "lie in")):
+        with pytest.raises(Exception, match=text):
+            prep.weighted_portfolio(r, frame(*w)).collect()

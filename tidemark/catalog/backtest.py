@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import BARS, MANY, PANEL, RETS, mrets, panel, rnd, rounded, sql
@@ -116,6 +117,24 @@ def custom_weights_by_date(spark, sf):
     return rounded(sz.custom_weights_by_date(s, broken).select("asset", "ts", "weight"))
 
 
+@query(
+    sql(
+        f"SELECT asset, ts, {rnd('CASE WHEN n % 2 = 1 THEN share ELSE sign(s) / n END')} AS weight, n % 2 = 1 AS fallback FROM (SELECT asset, ts, s, {_share('s')} AS share, count(*) OVER (PARTITION BY ts) AS n FROM z)",
+        MANY, RETS, _inputs("rets"), ZS,
+    )
+)
+def custom_weights_fallback(spark, sf):
+    """A user rule by date that fails on dates with an odd number of assets."""
+    s = sz.for_strategies(signals_of(returns_of(mrets(spark, sf))), [Strategy("x")])
+
+    def even(pdf):
+        if len(pdf) % 2:
+            raise ValueError("an odd number of assets")
+        return np.sign(pdf["signal"].fillna(0.0)) / len(pdf)
+
+    return rounded(sz.custom_weights_by_date(s, even).select("asset", "ts", "weight", "fallback"))
+
+
 # --- calendars and windows
 
 _CALW = "(ORDER BY ts)"

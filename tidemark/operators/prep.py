@@ -192,13 +192,24 @@ def equal_weight_portfolio(returns: DataFrame, col: str = "ret", order: str = "t
     return returns.groupBy(*key, order).agg(F.avg(col).alias(col))
 
 
+def checked_weights(weights: DataFrame) -> DataFrame:
+    """The same frame; reading it raises unless its weights lie in [0, 1] and sum to 1."""
+    w = F.col("weight")
+    found = weights.agg(F.count_if(w.isNull() | ~w.between(0, 1)).alias("_bad"), F.sum("weight").alias("_sum"))  # one row
+    wrong = F.when(F.col("_bad") > 0, F.lit("weights must lie in [0, 1]")).when(F.abs(F.col("_sum") - 1) > 1e-6, F.lit("weights must sum to 1"))
+    d = weights.join(F.broadcast(found.select(wrong.alias("_wrong"))))
+    return d.withColumn("weight", F.when(F.col("_wrong").isNull(), w).otherwise(F.raise_error(F.col("_wrong")).cast("double"))).drop("_wrong")
+
+
 def weighted_portfolio(
     returns: DataFrame, weights: DataFrame | dict[str, float], col: str = "ret", order: str = "ts", key: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum of weight times return per date. A dict is checked: weights in [0, 1] that sum to 1."""
+    """Sum of weight times return per date. Weights are checked: in [0, 1], summing to 1; those of a frame as they are read."""
     if isinstance(weights, dict):
         check_weights(list(weights.values()))
         weights = returns.sparkSession.createDataFrame(list(weights.items()), "asset string, weight double")
+    else:
+        weights = checked_weights(weights)
     return returns.join(weights, "asset").groupBy(*key, order).agg(F.sum(F.col("weight") * F.col(col)).alias(col))
 
 

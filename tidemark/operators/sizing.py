@@ -160,21 +160,23 @@ def custom_weights(signals: DataFrame, fn: Callable[[DataFrame], DataFrame] | Ca
 
 
 def custom_weights_by_date(signals: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], order: str = "ts") -> DataFrame:
-    """Weights from a pandas function that sees one strategy and date; proportional sizing where it fails.
+    """Weights from a pandas function that sees one strategy and date; proportional sizing where it fails, marked by ``fallback``.
 
     The cross-section of one date must fit one task; ``custom_weights`` has no such limit.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        failed = False
         try:
             w = pd.Series(fn(pdf), index=pdf.index, dtype=float)
         except Exception:  # any failure of the user function falls back
+            failed = True
             s = pdf["signal"].fillna(0.0)
             total = s.abs().sum()
             w = s / total if total > 0 else s * 0.0
-        return pdf.assign(weight=w.to_numpy())
+        return pdf.assign(weight=w.to_numpy(), fallback=failed)
 
-    return signals.groupBy("strategy_id", order).applyInPandas(run, schema_of(signals, weight="double"))
+    return signals.groupBy("strategy_id", order).applyInPandas(run, schema_of(signals, weight="double", fallback="boolean"))
 
 
 def apply_constraints(weights: DataFrame, order: str = "ts") -> DataFrame:
