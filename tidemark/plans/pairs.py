@@ -1,7 +1,11 @@
 """Sums over all pairs of members, without emitting a record per pair and date.
 
-Members are hashed into blocks and dates into buckets. Each row is copied once per pair of blocks its own
-block takes part in; one (block pair, date bucket) group is a small dense panel whose products are matrix
+Series ordered by DATE are bounded by the calendar. They are packed into blocks, a record and a partition each, which are
+written once; a pair of blocks is read from there by one task, whose matrix products are the sums of its pairs over all
+dates. Nothing is shuffled per pair, and no row is copied per block, so what lies on disk grows with the rows alone.
+
+Other orders are unbounded: members are hashed into blocks and dates into buckets. Each row is copied once per pair of
+blocks its own block takes part in; one (block pair, date bucket) group is a small dense panel whose products are matrix
 products, and only those sums leave the task. Group size is bounded by block size times bucket length, so
 neither a long calendar nor a large universe piles up in one task.
 """
@@ -9,16 +13,93 @@ neither a long calendar nor a large universe piles up in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.series import ordinal, slot_width
+from tidemark.plans.series import is_bounded, ordinal, slot_width
+from tidemark.session import checkpoint
 
 BLOCK = 256
+#: Series in a block that is read by tasks, and those of its left side that are multiplied at a time.
+WIDE, STRIP = 2048, 64
+
+
+def write_blocks(s: DataFrame, by: Sequence[str], blocks: int, *more: Column) -> DataFrame:
+    """``by, rows`` and aggregates ``more``: series ``m, days, xs`` as a record per block, written about one to a partition."""
+    rows = F.collect_list(F.struct("m", "days", "xs"))  # WIDE series of the calendar's length at most
+    return checkpoint(s.repartitionByRange(blocks, *by).groupBy(*by).agg(rows.alias("rows"), *more))
+
+
+def meeting(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
+    """Pairs of written blocks that meet ``near``: tasks read them where they were written, none is shuffled."""
+    return left.join(right.hint("shuffle_replicate_nl"), near)
+
+
+class Block:
+    """The series of a block, from an entry of a column ``rows``."""
+
+    def __init__(self, rows: pa.ListScalar):
+        self.m, days, xs = rows.values.flatten()
+        self.of = np.repeat(np.arange(len(days)), pc.list_value_length(days).to_numpy(zero_copy_only=False))
+        self.days, self.xs = days.flatten().to_numpy(zero_copy_only=False), xs.flatten().to_numpy(zero_copy_only=False)
+
+    def panel(self, days: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Values, in the order of ``xs``, as dates by series; 0 where there is none."""
+        x = np.zeros((len(days), len(self.m)))
+        x[np.searchsorted(days, self.days), self.of] = values
+        return x
+
+
+def all_days(a: Block, b: Block) -> np.ndarray:
+    d = np.concatenate((a.days, b.days))
+    return np.flatnonzero(np.bincount(d - d.min())) + d.min()
+
+
+def _block_sums(a: Block, b: Block, mirror: bool) -> Iterator[list[pa.Array]]:
+    """``a, b, n, sx, sy, sxx, syy, sxy`` of all pairs of two blocks, and of the pairs (b, a)."""
+    days = all_days(a, b)
+    (xa, ka), (xb, kb) = [(s.panel(days, s.xs), s.panel(days, np.ones(len(s.xs)))) for s in (a, b)]
+    qa, qb = xa * xa, xb * xb
+    for at in range(0, len(a.m), STRIP):
+        x, k, q = (v[:, at : at + STRIP].T for v in (xa, ka, qa))
+        n, sx, sy, sxx, syy, sxy = k @ kb, x @ kb, k @ xb, q @ kb, k @ qb, x @ xb
+        i, j = np.nonzero(n > 0)
+        ma, mb = a.m.take(pa.array(i + at)), b.m.take(pa.array(j))
+        n, sx, sy, sxx, syy, sxy = (pa.array(v[i, j]) for v in (n, sx, sy, sxx, syy, sxy))
+        yield [ma, mb, n, sx, sy, sxx, syy, sxy]
+        if mirror:
+            yield [mb, ma, n, sy, sx, syy, sxx, sxy]
+
+
+def _whole_series(d: DataFrame, g: list[str], blocks: int) -> DataFrame:
+    """``pair_sums`` of series that the calendar bounds, from ``g, m, day, x``."""
+    rows = F.array_sort(F.collect_list(F.struct("day", "x")))
+    s = d.groupBy(*g, "m").agg(rows.alias("r")).select(*g, "m", F.col("r.day").alias("days"), F.col("r.x").alias("xs"), F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int").alias("_p"))
+    left = write_blocks(s, [*g, "_p"], blocks)
+    right = left.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("_p").alias("_q"), F.col("rows").alias("others"))
+    near = F.col("_p") <= F.col("_q")
+    for c in g:
+        near &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    names = [*g, "a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for i in range(t.num_rows):
+                same = t["_p"][i].as_py() == t["_q"][i].as_py()
+                a = Block(t["rows"][i])
+                for sums in _block_sums(a, a if same else Block(t["others"][i]), not same):
+                    head = [pa.repeat(t[c][i], len(sums[0])) for c in g]
+                    yield pa.RecordBatch.from_arrays([*head, *sums], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in g] + ["a string", "b string"] + [f"{c} double" for c in names[len(g) + 2 :]])
+    return meeting(left, right, near).mapInArrow(run, schema)
 
 
 def _panel_sums(pdf: pd.DataFrame, extra: list[str]) -> pd.DataFrame:
@@ -73,6 +154,8 @@ def pair_sums(
     )
     if members is None:
         members = d.agg(F.approx_count_distinct("m").alias("n")).first()["n"]
+    if is_bounded(df, order):
+        return _whole_series(d.withColumn("day", F.col("_day").cast("int")).drop("_day"), g, max(1, math.ceil(members / WIDE)))
     blocks = max(1, math.ceil(members / BLOCK))
     d = d.withColumn("_blk", F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int"))
     d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
