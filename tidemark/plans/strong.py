@@ -1,51 +1,52 @@
 """Pairs of series with a correlation of at least a threshold, without a record for any other pair.
 
-Series are bounded by the calendar and travel as arrays, in blocks; a pair of blocks is one task's matrix product, and only
-pairs over the threshold leave the task. Series with a value on every date are sorted by their angle to a pivot (the mean
-of all series) before they are cut into blocks. Angles between centred series obey the triangle inequality: two series
-whose angles to the pivot differ by more than arccos(threshold) are no strong pair, so most pairs of blocks are never sent
-anywhere where series differ in how they follow the pivot. Series with gaps have no such angle; their blocks meet all.
+Series are bounded by the calendar and travel as arrays, in blocks that are written once; a pair of blocks is read from there
+by one task, which multiplies them strip by strip, and only pairs over the threshold leave it. Series with a value on every
+date are sorted by their angle to a pivot (the mean of all series) before they are cut into blocks. Angles between centred
+series obey the triangle inequality: two series whose angles to the pivot differ by more than arccos(threshold) are no strong
+pair, so pairs of blocks are not read where series differ in how they follow the pivot. Series with gaps have no such
+angle; their blocks meet all. The products are quadratic where nothing is pruned; what is written is linear.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.pairs import STRIP, WIDE, Block, all_days, meeting, write_blocks
 from tidemark.plans.series import number_rows, ordinal
 
-BLOCK = 256
 
-
-def _matrix(pdf: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values less their series' mean, where there are any, and their squares as they were: dates by series."""
-    x, k, raw = np.zeros((3, len(days), len(pdf)))
-    for j, (d, v) in enumerate(zip(pdf["days"], pdf["xs"])):
-        at = np.searchsorted(days, np.asarray(d))
-        x[at, j], k[at, j], raw[at, j] = np.asarray(v) - np.mean(v), 1.0, np.square(v)
-    return x, k, raw
-
-
-def _strong(pdf: pd.DataFrame, threshold: float, min_dates: int) -> pd.DataFrame:
-    p, q = (pdf[pdf["_blk"] == pdf[s]].sort_values("m", ignore_index=True) for s in ("_p", "_q"))
-    days = np.unique(np.concatenate([np.asarray(d) for d in pdf["days"]]))
-    (xa, ka, ra), (xb, kb, rb) = _matrix(p, days), _matrix(q, days)
-    n, sx, sy = ka.T @ kb, xa.T @ kb, ka.T @ xb
-    sxx, syy = (xa * xa).T @ kb, ka.T @ (xb * xb)
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    ok = (vx > 1e-14 * n * (ra.T @ kb)) & (vy > 1e-14 * n * (ka.T @ rb)) & (n >= max(min_dates, 2))  # rounding is no movement
-    c = np.divide(n * (xa.T @ xb) - sx * sy, np.sqrt(np.where(ok, vx * vy, 1.0)))
-    hit = ok & (np.abs(c) >= threshold)
-    if pdf["_p"].iloc[0] == pdf["_q"].iloc[0]:
-        hit = np.triu(hit, 1)
-    i, j = np.nonzero(hit)
-    a, b = p["m"].to_numpy()[i], q["m"].to_numpy()[j]
-    swap = a > b
-    return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "corr": c[i, j], "n": n[i, j].astype("i8")})
+def _panels(s: Block, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values less their series' mean, where there are any, and their squares; squares as they were: dates by series."""
+    x = s.panel(days, s.xs - (np.bincount(s.of, s.xs) / np.bincount(s.of))[s.of])
+    return x, s.panel(days, np.ones(len(s.xs))), x * x, s.panel(days, np.square(s.xs))
+
+
+def _strong(a: Block, b: Block, same: bool, threshold: float, min_dates: int) -> Iterator[pa.RecordBatch]:
+    days = all_days(a, b)
+    left = _panels(a, days)
+    xb, kb, qb, rb = left if same else _panels(b, days)
+    for at in range(0, len(a.m), STRIP):
+        x, k, q, r = (v[:, at : at + STRIP].T for v in left)
+        lo = at if same else 0  # in a block of its own, each pair once
+        n, sx, sy = k @ kb[:, lo:], x @ kb[:, lo:], k @ xb[:, lo:]
+        vx, vy = n * (q @ kb[:, lo:]) - sx * sx, n * (k @ qb[:, lo:]) - sy * sy
+        ok = (vx > 1e-14 * n * (r @ kb[:, lo:])) & (vy > 1e-14 * n * (k @ rb[:, lo:])) & (n >= max(min_dates, 2))  # rounding is no movement
+        c = np.divide(n * (x @ xb[:, lo:]) - sx * sy, np.sqrt(np.where(ok, vx * vy, 1.0)))
+        hit = ok & (np.abs(c) >= threshold)
+        i, j = np.nonzero(np.triu(hit, 1) if same else hit)
+        one, two = a.m.take(pa.array(i + at)), b.m.take(pa.array(j + lo))
+        swap = pc.greater(one, two)
+        yield pa.RecordBatch.from_arrays(
+            [pc.if_else(swap, two, one), pc.if_else(swap, one, two), pa.array(c[i, j]), pa.array(n[i, j].astype("i8"))], names=["a", "b", "corr", "n"]
+        )
 
 
 def packed(df: DataFrame, member: str, value: str, order: str) -> DataFrame:
@@ -62,25 +63,29 @@ def packed(df: DataFrame, member: str, value: str, order: str) -> DataFrame:
 
 
 def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
-    """``_p, _q``: the pairs of blocks that may hold a strong pair, from ``_blk, lo, hi`` (NULL angles: with gaps)."""
+    """``_p, _q, rows, others``: the pairs of blocks that may hold a strong pair, from ``_blk, rows, lo, hi`` (NULL angles: with gaps)."""
     arc = math.acos(min(1.0, threshold)) + 1e-6  # a hair wide, for rounding
-    last = blocks.agg(F.max("_blk").alias("_last"))  # one row
-    d = blocks.join(F.broadcast(last)).withColumn("_q", F.explode(F.sequence("_blk", "_last")))
-    other = blocks.select(F.col("_blk").alias("_q"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    left = blocks.withColumnRenamed("_blk", "_p")
+    right = blocks.withColumnsRenamed({"_blk": "_q", "rows": "others", "lo": "_lo", "hi": "_hi"})
     near = F.greatest(F.col("lo") - F.col("_hi"), F.col("_lo") - F.col("hi")) <= arc
     opposite = F.greatest(F.col("lo") + F.col("_lo") - math.pi, math.pi - F.col("hi") - F.col("_hi")) <= arc
-    return d.join(other, "_q").filter(F.coalesce(near | opposite, F.lit(True))).select(F.col("_blk").alias("_p"), "_q")
+    return meeting(left, right, (F.col("_p") <= F.col("_q")) & F.coalesce(near | opposite, F.lit(True))).drop("lo", "hi", "_lo", "_hi")
 
 
-def strong_pairs(df: DataFrame, threshold: float, member: str = "asset", value: str = "ret", order: str = "ts", min_dates: int = 20, block: int = BLOCK) -> DataFrame:
-    """``a, b, corr, n`` of the pairs a < b with \\|corr\\| >= threshold over ``min_dates`` common dates or more."""
+def strong_pairs(df: DataFrame, threshold: float, member: str = "asset", value: str = "ret", order: str = "ts", min_dates: int = 20, block: int = WIDE) -> DataFrame:
+    """``a, b, corr, n`` of the pairs a < b with a size of corr >= threshold over ``min_dates`` common dates or more."""
     s = packed(df, member, value, order).withColumn("_gaps", F.col("angle").isNull())
     s = s.withColumn("_by", F.struct(F.coalesce("angle", F.lit(0.0)), F.xxhash64("m")))
     s = number_rows(s, ["_gaps"], "_by", "_at")  # writes the series; those of one angle are parted by name
     s = s.withColumn("_blk", 2 * F.floor(F.col("_at") / block) + F.col("_gaps").cast("long")).drop("_gaps", "_by", "_at")
-    pairs = block_pairs(s.groupBy("_blk").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")), threshold)
-    s = s.drop("angle")
-    left = s.join(pairs, s["_blk"] == pairs["_p"])
-    right = s.join(pairs.filter("_p < _q"), F.col("_blk") == F.col("_q"))
-    both = left.unionByName(right)
-    return both.groupBy("_p", "_q").applyInPandas(lambda pdf: _strong(pdf, threshold, min_dates), "a string, b string, corr double, n long")
+    many = s.agg(F.count_distinct("_blk").alias("n")).first()["n"]
+    blocks = write_blocks(s, ["_blk"], max(1, many), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for i in range(t.num_rows):
+                same = t["_p"][i].as_py() == t["_q"][i].as_py()
+                a = Block(t["rows"][i])
+                yield from _strong(a, a if same else Block(t["others"][i]), same, threshold, min_dates)
+
+    return block_pairs(blocks, threshold).mapInArrow(run, "a string, b string, corr double, n long")
