@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import daily
+from pyspark.sql import functions as F
 
-from tidemark.operators import cross
+from tidemark.operators import cross, resample
 from tidemark.plans import pairs
 
 
@@ -37,3 +38,20 @@ def test_strong_pairs_copy_no_series_per_block(gappy):
     p = plan(cross.strong_pairs(d, 0.1, block=2))
     assert "CartesianProduct" in p and "Exchange" not in p
     assert plan(cross.strong_pairs(d, 0.1, top=2, block=2)).count("MapInArrow") == 1  # pairs are found once
+
+
+def test_poisson_intervals_of_bounded_series_shuffle_no_resamples(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = {f"s{i}": {"ret": np.where(rng.random(40 - i) < 0.1, np.nan, rng.normal(0.1, 1, 40 - i))} for i in range(4)} | {"none": {"ret": np.full(30, np.nan)}, "flat": {"ret": np.ones(30)}}
+    d = daily(spark, x)
+    monkeypatch.setattr(resample, "WEIGHTS", 500)  # several blocks of positions
+    for metric in ("mean", "sharpe", "ir"):
+        got = resample.bootstrap_interval(d, metric, "ret", 50, ["asset"], method="poisson")
+        each = resample.bootstrap(d, metric, "ret", 50, ["asset"], method="poisson")  # a row per resample
+        want = each.groupBy("asset").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+        want = {r["asset"]: r["q"] or [None, None] for r in want.collect()}
+        rows = {r["asset"]: [r["lower"], r["upper"]] for r in got.collect()}
+        assert set(rows) == set(want)
+        for a, ends in want.items():
+            assert rows[a] == (ends if None in ends else pytest.approx(ends, rel=1e-9, abs=1e-7)), (metric, a)
+        assert plan(got).split("MapInArrow")[0].count("Exchange") == 0

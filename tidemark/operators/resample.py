@@ -17,9 +17,9 @@ from tidemark.operators.cross import correlation
 from tidemark.operators.prep import YEAR, complete_dates
 from tidemark.plans.attach import attach, attach_series
 from tidemark.plans.folds import spread
-from tidemark.plans.groups import group_starts
+from tidemark.plans.groups import group_starts, map_groups
 from tidemark.plans.ranks import quantiles
-from tidemark.plans.series import number_rows
+from tidemark.plans.series import is_bounded, number_rows
 
 ROOT_YEAR = YEAR**0.5
 BOOT = "boot_id"
@@ -192,22 +192,73 @@ def weighted_sums(df: DataFrame, col: str, n: int, key: Sequence[str], seed: int
     return each.groupBy(*key, BOOT).agg(*[F.sum(f"_v.{c}").alias(c) for c in ("_n", "_s", "_q")], F.sum("_c").alias("_c"))
 
 
+def series_sums(df: DataFrame, col: str, n: int, key: Sequence[str], seed: int) -> DataFrame:
+    """``weighted_sums`` of series that the calendar bounds: ``key, _c, _n, _s, _q``, one record per series with arrays over the resamples.
+
+    Weights hang on position and resample alone, so many series share a matrix of them.
+    """
+    key = list(key)
+    boots = np.arange(n)
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        x, seq = t[col].cast(pa.float64()).to_numpy(), t["_seq"].to_numpy()
+        known, of = ~np.isnan(x), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        v = np.where(known, x, 0.0)
+        sums = np.zeros((3, len(starts) - 1, n))
+        step = max(1, WEIGHTS // n)
+        for at in range(0, int(seq.max()) + 1, step):
+            rows = np.flatnonzero((seq >= at) & (seq < at + step))
+            w = poisson1_array(uniform_array(seed, np.arange(at, min(at + step, int(seq.max()) + 1))[:, None], boots[None])).astype(float)
+            for i, terms in enumerate((np.ones(len(rows)), v[rows], v[rows] ** 2)):
+                m = np.zeros((len(starts) - 1, len(w)))
+                m[of[rows], seq[rows] - at] = terms
+                sums[i] += m @ w
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), n).cast(pa.list_(pa.float64())) for a in sums]
+        heads = [t[c].take(pa.array(starts[:-1])) for c in key]
+        return pa.table([*heads, pa.array(np.add.reduceat(known.astype("i8"), starts[:-1])), *lists], names=[*key, "_c", "_n", "_s", "_q"])
+
+    head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    return map_groups(df.select(*key, "_seq", col), key, ["_seq"], run, f"{head}, _c long, _n array<double>, _s array<double>, _q array<double>")
+
+
+def _poisson_value(metric: str, n: Column, s: Column, q: Column) -> Column:
+    """A metric from the sums of a resample."""
+    mean = s / n
+    pop = F.greatest(q / n - mean * mean, F.lit(0.0))
+    if metric == "mean":
+        return mean
+    if metric == "sharpe":
+        return mean / (F.sqrt(pop * F.try_divide(n, n - 1)) + 1e-8) * ROOT_YEAR
+    if metric == "ir":
+        return F.try_divide(mean, F.sqrt(pop)) * ROOT_YEAR
+    raise ValueError("method='poisson' knows mean, sharpe and ir")
+
+
 def _poisson(df, metric, col, n, key, order, seed) -> DataFrame:
     k = list(key) or ["_one"]
     d = df if key else df.withColumn("_one", F.lit(0))
     g = weighted_sums(number_rows(d.select(*k, order, col), k, order), col, n, k, seed)
     g = g.filter("_n > 0").withColumns({c: F.when(F.col("_c") > 0, F.col(c)) for c in ("_s", "_q")})
-    mean = F.col("_s") / F.col("_n")
-    pop = F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))
-    if metric == "mean":
-        value = mean
-    elif metric == "sharpe":
-        value = mean / (F.sqrt(pop * F.try_divide(F.col("_n"), F.col("_n") - 1)) + 1e-8) * ROOT_YEAR
-    elif metric == "ir":
-        value = F.try_divide(mean, F.sqrt(pop)) * ROOT_YEAR
-    else:
-        raise ValueError("method='poisson' knows mean, sharpe and ir")
-    return g.select(*key, BOOT, value.alias("value"))
+    return g.select(*key, BOOT, _poisson_value(metric, F.col("_n"), F.col("_s"), F.col("_q")).alias("value"))
+
+
+def _sorted_quantile(values: str, q: float) -> Column:
+    """Interpolated quantile of a sorted array; NULL of an empty one."""
+    at = (F.size(values) - 1) * F.lit(q)
+    lo, hi = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+
+def _series_interval(df: DataFrame, metric: str, col: str, n: int, key: Sequence[str], order: str, seed: int, lower: float, upper: float) -> DataFrame:
+    """Intervals of many bounded series: the values of a series stay in one record, so that no resample is shuffled."""
+    g = series_sums(number_rows(df.select(*key, order, col), key, order), col, n, key, seed)
+
+    def value(v: Column) -> Column:
+        known = F.col("_c") > 0
+        return F.when(v["_n"] > 0, _poisson_value(metric, v["_n"], F.when(known, v["_s"]), F.when(known, v["_q"])))
+
+    g = g.filter(F.exists("_n", lambda v: v > 0)).withColumn("_v", F.array_sort(F.array_compact(F.transform(F.arrays_zip("_n", "_s", "_q"), value))))
+    return g.select(*key, _sorted_quantile("_v", lower).alias("lower"), _sorted_quantile("_v", upper).alias("upper"))
 
 
 def bootstrap_interval(
@@ -215,6 +266,8 @@ def bootstrap_interval(
     method: str = "index", lower: float = 0.025, upper: float = 0.975,
 ) -> DataFrame:
     """Percentile interval over the n resamples, ``key, lower, upper``."""
+    if method == "poisson" and isinstance(metric, str) and key and is_bounded(df, order):
+        return _series_interval(df, metric, col, n, key, order, seed, lower, upper)
     b = bootstrap(df, metric, col, n, key, order, seed, method)
     q = F.percentile("value", F.array(F.lit(lower), F.lit(upper)))
     return b.groupBy(*key).agg(q.alias("_q")).select(*key, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
