@@ -280,7 +280,7 @@ def packed(d: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """Placed series of bounded length as stacks, ``n, x`` in binary: an iteration reads arrays and sorts no rows."""
 
     def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
-        found = [(s.n.astype("<i8").tobytes(), s.x.tobytes()) for _, s in tm.stacks(_vectors(t, starts))]
+        found = [(s.n.astype("<i8").tobytes(), s.planes.tobytes()) for _, s in tm.stacks(_vectors(t, starts))]
         return pa.table({"n": pa.array([n for n, _ in found], pa.binary()), "x": pa.array([x for _, x in found], pa.binary())})
 
     return checkpoint(map_groups(d, key, [order], run, "n binary, x binary", placed=True))

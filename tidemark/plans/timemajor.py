@@ -1,7 +1,8 @@
 """Gaussian Markov models of many series at once: arrays with time first, a step of Python per time, not per row.
 
-Series lie side by side, the longest first, so that at each time those still running are the first ones. A series may
-be a chunk of a longer one: then it comes with what is known of the state before and after it.
+Series lie side by side, the longest first, so that at each time those still running are the first ones. They are the last
+axis of all work arrays, so that the few states and features cost whole rows of an array and no short inner loops. A series
+may be a chunk of a longer one: then it comes with what is known of the state before and after it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import numpy as np
 
 #: Added to covariances; keeps them positive.
 RIDGE = 0.01
+#: Cells (times by series) of a work array that are handled at once: they stay in the cache.
+CELLS = 16_384
 #: What ``expected`` returns, in this order.
 SUMS = ("ll", "n", "g0", "g", "gx", "gxx", "xi")
 
@@ -49,7 +52,10 @@ class Models:
 
 @dataclass(frozen=True)
 class Stack:
-    """``x`` (T, S, d) of series with ``n`` rows each, ``n`` falling; ``active[t]`` of them have a row at time ``t``."""
+    """``x`` (T, S, d) of series with ``n`` rows each, ``n`` falling; ``active[t]`` of them have a row at time ``t``.
+
+    ``x`` is kept feature by feature, as ``planes`` (d, T, S).
+    """
 
     x: np.ndarray
     n: np.ndarray
@@ -58,15 +64,25 @@ class Stack:
     @staticmethod
     def of(xs: Sequence[np.ndarray]) -> Stack:
         n = np.array([len(v) for v in xs])
-        x = np.zeros((n[0], len(xs), xs[0].shape[1]))
+        x = np.zeros((xs[0].shape[1], n[0], len(xs)))
         for i, v in enumerate(xs):
-            x[: len(v), i] = v
-        return Stack.of_bytes(n, x, x.shape[2])
+            x[:, : len(v), i] = v.T
+        return Stack.of_bytes(n, x, len(x))
 
     @staticmethod
     def of_bytes(n: np.ndarray, x: np.ndarray, d: int) -> Stack:
-        """From falling lengths and padded values in the order of ``x``."""
-        return Stack(x.reshape(n[0], len(n), d), n, len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right"))
+        """From falling lengths and padded values in the order of ``planes``."""
+        return Stack(x.reshape(d, n[0], len(n)).transpose(1, 2, 0), n, len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right"))
+
+    @property
+    def planes(self) -> np.ndarray:
+        return np.ascontiguousarray(self.x.transpose(2, 0, 1))
+
+    @property
+    def blocks(self) -> list[slice]:
+        """Spans of times of about ``CELLS`` cells."""
+        step = max(1, CELLS // len(self.n))
+        return [slice(t, t + step) for t in range(0, len(self.x), step)]
 
     @property
     def mask(self) -> np.ndarray:
@@ -74,7 +90,7 @@ class Stack:
 
     def pick(self, at: np.ndarray) -> Stack:
         n = self.n[at]
-        return Stack(self.x[: n[0], at], n, len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right"))
+        return Stack(self.planes[:, : n[0], at].transpose(1, 2, 0), n, len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right"))
 
 
 def stacks(xs: Sequence[np.ndarray], cells: int = 400_000) -> Iterator[tuple[np.ndarray, Stack]]:
@@ -91,13 +107,28 @@ def stacks(xs: Sequence[np.ndarray], cells: int = 400_000) -> Iterator[tuple[np.
 
 def densities(s: Stack, m: Models) -> np.ndarray:
     """Log densities (T, S, K) of all rows in all states."""
+    return _densities(s, m).transpose(0, 2, 1)
+
+
+def _densities(s: Stack, m: Models) -> np.ndarray:
+    """Log densities (T, K, S)."""
     root = np.linalg.cholesky(m.covs)
-    inv, log_det = np.linalg.inv(root), np.log(np.diagonal(root, axis1=-2, axis2=-1)).sum(-1)
-    out = np.empty((*s.x.shape[:2], m.start.shape[1]))
-    for k in range(out.shape[2]):
-        z = np.einsum("sij,tsj->tsi", inv[:, k], s.x - m.means[:, k])
-        out[:, :, k] = -0.5 * (z * z).sum(-1) - log_det[:, k]
-    return out - 0.5 * s.x.shape[2] * np.log(2 * np.pi)
+    inv = np.ascontiguousarray(np.linalg.inv(root).transpose(1, 2, 3, 0))
+    k, d = inv.shape[:2]
+    shift = np.ascontiguousarray(np.log(np.diagonal(root, axis1=-2, axis2=-1)).sum(-1).T) + 0.5 * d * np.log(2 * np.pi)
+    means, x = np.ascontiguousarray(m.means.transpose(1, 2, 0)), s.planes
+    out = np.empty((len(s.x), k, len(s.n)))
+    for t in s.blocks:
+        for c in range(k):
+            off = [x[j, t] - means[c, j] for j in range(d)]
+            far = 0.0
+            for i in range(d):
+                z = inv[c, i, 0] * off[0]
+                for j in range(1, i + 1):
+                    z += inv[c, i, j] * off[j]
+                far += z * z
+            out[t, c] = -0.5 * far - shift[c]
+    return out
 
 
 def _log(a: np.ndarray) -> np.ndarray:
@@ -133,41 +164,55 @@ def _weights(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w / total, (top + np.log(total))[:, 0]
 
 
+def _moves(m: Models):
+    """Steps of state weights (K, A) of the first A series: forward in time and back."""
+    if m.trans.strides[0] == 0:  # all have one model
+        one = np.ascontiguousarray(m.trans[0])
+        return (lambda v: one.T @ v), (lambda u: one @ u)
+    a = np.ascontiguousarray(m.trans.transpose(1, 2, 0))
+    return (lambda v: (v[:, None] * a[:, :, : v.shape[1]]).sum(0)), (lambda u: (a[:, :, : u.shape[1]] * u).sum(1))
+
+
 def smooth(s: Stack, m: Models, ends: Ends):
-    """Forward and backward weights (T, S, K), row densities and weights before the first row, log likelihoods (S).
+    """Forward and backward weights (T, K, S), row densities and weights (K, S) before the first row, log likelihoods (S).
 
     Weights of a row are up to a factor; the likelihood is that of the whole series of which each is a chunk.
     """
-    logs = densities(s, m)
-    top = logs.max(-1)
-    e = np.exp(logs - top[..., None])
-    top[~s.mask] = 0.0
-    al, be = np.zeros_like(e), np.zeros_like(e)
+    e = _densities(s, m)
     w0, offset = _weights(ends.before)
-    ll = np.where(ends.first, 0.0, offset) + top.sum(0)
-    v = np.where(ends.first[:, None], m.start, (w0[:, :, None] * m.trans).sum(1)) * e[0]
+    ll, mask = np.where(ends.first, 0.0, offset), s.mask
+    for t in s.blocks:
+        top = e[t].max(1)
+        e[t] = np.exp(e[t] - top[:, None])
+        ll += np.where(mask[t], top, 0.0).sum(0)
+    al, be, totals = np.zeros_like(e), np.zeros_like(e), np.ones(mask.shape)
+    forward, back = _moves(m)
+    v = np.where(ends.first, m.start.T, forward(np.ascontiguousarray(w0.T))) * e[0]
     for t, a in enumerate(s.active):
         if t:
-            v = (v[:a, :, None] * m.trans[:a]).sum(1) * e[t, :a]
-        total = np.maximum(v.sum(1), 1e-300)
-        v = v / total[:, None]
-        al[t, :a] = v
-        ll[:a] += np.log(total)
+            v = forward(v[:, :a]) * e[t, :, :a]
+        total = np.maximum(v.sum(0), 1e-300, out=totals[t, :a])
+        v /= total
+        al[t, :, :a] = v
+    for t in s.blocks:
+        ll += np.log(totals[t]).sum(0)
     u, tail = _weights(ends.after)
+    u = np.ascontiguousarray(u.T)
     for t in range(len(s.x) - 1, -1, -1):
         a = s.active[t]
-        be[t, :a] = u[:a]
-        step = (m.trans[:a] * (e[t, :a] * u[:a])[:, None, :]).sum(2)
-        u[:a] = step / step.sum(1, keepdims=True)
-    last = s.n - 1, np.arange(len(s.n))
-    return al, be, e, w0, ll + tail + np.log((al[last] * be[last]).sum(1))
+        be[t, :, :a] = u[:, :a]
+        step = back(e[t, :, :a] * u[:, :a])
+        np.divide(step, step.sum(0), out=u[:, :a])
+    every = np.arange(len(s.n))
+    last = s.n - 1
+    return al, be, e, w0.T, ll + tail + np.log((al[last, :, every] * be[last, :, every]).sum(1))
 
 
 def probabilities(s: Stack, m: Models, ends: Ends) -> np.ndarray:
     al, be, *_ = smooth(s, m, ends)
     g = al * be
-    total = g.sum(-1, keepdims=True)
-    return g / np.where(total > 0, total, 1.0)
+    total = g.sum(1, keepdims=True)
+    return (g / np.where(total > 0, total, 1.0)).transpose(0, 2, 1)
 
 
 def likelihoods(s: Stack, m: Models, ends: Ends) -> np.ndarray:
@@ -177,17 +222,36 @@ def likelihoods(s: Stack, m: Models, ends: Ends) -> np.ndarray:
 def expected(s: Stack, m: Models, ends: Ends) -> dict[str, np.ndarray]:
     """Sums per series that the maximisation needs. A transition into a chunk counts there, the one out of it does not."""
     al, be, e, w0, ll = smooth(s, m, ends)
-    g = al * be
-    total = g.sum(-1, keepdims=True)
-    g /= np.where(total > 0, total, 1.0)
-    nxt, mask = e * be, s.mask
-    prior = np.concatenate((w0[None], al[:-1]))
-    z = np.einsum("tsi,sij,tsj->ts", prior, m.trans, nxt, optimize=True)
+    x, mask, (_, k, every) = s.planes, s.mask, al.shape
+    d = len(x)
     mask[0] &= ~ends.first
-    scaled = prior * np.where(mask, 1 / np.where(z > 0, z, 1.0), 0.0)[..., None]
+    trans = np.ascontiguousarray(m.trans.transpose(1, 2, 0))
+    g, gx, gxx, xi = np.zeros((k, every)), np.zeros((k, d, every)), np.zeros((k, d, d, every)), np.zeros((k, k, every))
+    for t in s.blocks:
+        w = al[t] * be[t]
+        total = w.sum(1)
+        w /= np.where(total > 0, total, 1.0)[:, None]
+        if not t.start:
+            g0 = w[0].copy()
+        g += w.sum(0)
+        for c in range(k):
+            for i in range(d):
+                wx = w[:, c] * x[i, t]
+                gx[c, i] += wx.sum(0)
+                for j in range(i + 1):
+                    gxx[c, i, j] += (wx * x[j, t]).sum(0)
+        prior = al[t.start - 1 : t.stop - 1] if t.start else np.concatenate((w0[None], al[: t.stop - 1]))
+        prior, nxt = prior[: len(w)], e[t] * be[t]
+        z = sum((sum(prior[:, i] * trans[i, j] for i in range(k)) * nxt[:, j] for j in range(k)))
+        scaled = prior * np.where(mask[t], 1 / np.where(z > 0, z, 1.0), 0.0)[:, None]
+        for i in range(k):
+            xi[i] += (scaled[:, i, None] * nxt).sum(0)
+    for i in range(d):
+        for j in range(i):
+            gxx[:, j, i] = gxx[:, i, j]
     return {
-        "ll": np.where(ends.first, ll, 0.0), "n": s.n.astype(float), "g0": np.where(ends.first[:, None], g[0], 0.0), "g": g.sum(0),
-        "gx": np.einsum("tsk,tsi->ski", g, s.x, optimize=True), "gxx": np.einsum("tsk,tsi,tsj->skij", g, s.x, s.x, optimize=True), "xi": m.trans * np.einsum("tsi,tsj->sij", scaled, nxt, optimize=True),
+        "ll": np.where(ends.first, ll, 0.0), "n": s.n.astype(float), "g0": np.where(ends.first[:, None], g0.T, 0.0), "g": g.T,
+        "gx": gx.transpose(2, 0, 1), "gxx": gxx.transpose(3, 0, 1, 2), "xi": (trans * xi).transpose(2, 0, 1),
     }
 
 
