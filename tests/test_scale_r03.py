@@ -6,8 +6,10 @@ import pytest
 from helpers import daily
 from pyspark.sql import functions as F
 
+from tidemark.catalog.stream import stream_params
 from tidemark.operators import cross, resample
 from tidemark.plans import pairs
+from tidemark.streaming import regimes
 
 
 def plan(df):
@@ -55,3 +57,45 @@ def test_poisson_intervals_of_bounded_series_shuffle_no_resamples(spark, monkeyp
         for a, ends in want.items():
             assert rows[a] == (ends if None in ends else pytest.approx(ends, rel=1e-9, abs=1e-7)), (metric, a)
         assert plan(got).split("MapInArrow")[0].count("Exchange") == 0
+
+
+class Cell:
+    """A state variable of a processor, kept in the test."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+
+def updates(n, piece, monkeypatch):
+    monkeypatch.setattr(regimes, "OUT_ROWS", 100, raising=False)
+    at, x = np.random.default_rng(2).permutation(n), np.random.default_rng(3).normal(size=n)
+    p = regimes.RegimeUpdate(stream_params(), ["event_type"], 5, 0.6, 0.7, 10)
+    p.state, p.past = Cell(), Cell()
+
+    def rows():
+        for i in range(0, n, piece):
+            ts = [pd.NaT if j == 7 else pd.Timestamp(int(j) // 2 * 2, unit="us") for j in at[i : i + piece]]  # half of them repeat a time
+            yield pd.DataFrame({"event_type": "a", "ts": pd.Series(ts, dtype="M8[ns]"), "x": [[v] for v in x[i : i + piece]]})
+
+    return list(p.handleInputRows(("a",), rows(), None)), p
+
+
+def test_regime_updates_leave_a_task_piece_by_piece(monkeypatch):
+    frames, p = updates(1000, 90, monkeypatch)
+    assert max(map(len, frames)) <= 100 and len(frames) > 4
+    d = pd.concat(frames)
+    assert d["ts"].is_monotonic_increasing and d["ts"].is_unique and len(d) == 500 - 4
+    assert p.state.value[3] == 500 and p.state.value[2] == 500 and len(p.past.value) == 10
+    whole, _ = updates(1000, 1000, monkeypatch)
+    pd.testing.assert_frame_equal(d.reset_index(drop=True), pd.concat(whole).reset_index(drop=True))
