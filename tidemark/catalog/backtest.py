@@ -11,6 +11,7 @@ from tidemark.operators import backtest as bt
 from tidemark.operators import sizing as sz
 from tidemark.operators.sizing import Strategy
 from tidemark.plans.series import series
+from tidemark.session import checkpoint
 
 QUERIES, ORACLES = {}, {}
 W = "PARTITION BY asset ORDER BY ts"
@@ -72,7 +73,7 @@ RULES = {
 
 
 def _sized(spark, sf, kind, **kw):
-    r = returns_of(mrets(spark, sf))
+    r = checkpoint(returns_of(mrets(spark, sf)))  # read by signals, confidence and their totals
     return sz.size_weights(signals_of(r), [Strategy("x", kind, base_position=0.5, **kw)], confidence_of(r), r)
 
 

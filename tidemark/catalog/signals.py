@@ -8,6 +8,7 @@ from tidemark.catalog.base import MANY, RETS, mrets, rnd, rounded, sql
 from tidemark.functions import rolling as R
 from tidemark.operators import signals as sg
 from tidemark.plans.series import series
+from tidemark.session import checkpoint
 
 QUERIES, ORACLES = {}, {}
 W = "PARTITION BY asset ORDER BY ts"
@@ -58,8 +59,13 @@ def with_feat(select, *more):
     return sql(select, MANY, RETS, FEAT, *more)
 
 
-def feat(spark, sf):
-    s = series(mrets(spark, sf), ["asset"], lookback=19)
+def written_returns(spark, sf):
+    """Returns written once, for queries that take features and regimes from them."""
+    return checkpoint(mrets(spark, sf))
+
+
+def feat(spark, sf, r=None):
+    s = series(mrets(spark, sf) if r is None else r, ["asset"], lookback=19)
     d = s.add(
         {
             "momentum_20d": R.mean(s, "ret", 20), "macd_signal": R.mean(s, "ret", 9), "realized_volatility": R.std(s, "ret", 15),
@@ -71,9 +77,9 @@ def feat(spark, sf):
     return d.withColumnRenamed("ret", "returns").drop("close", "volume")
 
 
-def regimes(spark, sf):
+def regimes(spark, sf, r=None):
     v = F.col("volume")
-    return mrets(spark, sf).select(
+    return (mrets(spark, sf) if r is None else r).select(
         "asset", "ts", F.when(v > 120, "High Vol").when(v > 60, "Medium Vol").when(v > 30, "Low Vol").otherwise("Other").alias("label")
     )
 
@@ -91,7 +97,8 @@ for _name, _fn in (
 
 @query(with_feat(f"SELECT asset, ts, label, {rnd('blend')} AS blend FROM bl", COMP, REG, BLEND))
 def regime_blend(spark, sf):
-    d = sg.with_labels(sg.signal_components(feat(spark, sf)), regimes(spark, sf))
+    r = written_returns(spark, sf)
+    d = sg.with_labels(sg.signal_components(feat(spark, sf, r)), regimes(spark, sf, r))
     return rounded(sg.regime_blend(d).select("asset", "ts", "label", "blend"))
 
 
