@@ -6,9 +6,11 @@ import pytest
 from helpers import daily
 from pyspark.sql import functions as F
 
+from tidemark.catalog import backtest, signals
 from tidemark.catalog.stream import stream_params
 from tidemark.operators import cross, resample
 from tidemark.plans import pairs
+from tidemark.plans import timemajor as tm
 from tidemark.streaming import regimes
 
 
@@ -99,3 +101,24 @@ def test_regime_updates_leave_a_task_piece_by_piece(monkeypatch):
     assert p.state.value[3] == 500 and p.state.value[2] == 500 and len(p.past.value) == 10
     whole, _ = updates(1000, 1000, monkeypatch)
     pd.testing.assert_frame_equal(d.reset_index(drop=True), pd.concat(whole).reset_index(drop=True))
+
+
+def test_expected_sums_of_spans_of_time_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    s = tm.Stack.of([rng.normal(size=(n, 2)) for n in (9, 9, 7, 2, 1)])
+    one = tm.Models(np.array([0.2, 0.8]), np.array([[0.7, 0.3], [0.4, 0.6]]), rng.normal(size=(2, 2)), np.array([np.eye(2), 2 * np.eye(2)]))
+    many = tm.Models.same(one, 5)
+    own = tm.Models(*[a.copy() for a in (many.start, many.trans, many.means, many.covs)])
+    ends = tm.Ends(np.log(rng.random((5, 2))), np.log(rng.random((5, 2))), np.array([True, False, True, False, True]))
+    whole = tm.expected(s, many, ends)
+    for cells in (1, 10, 15):
+        monkeypatch.setattr(tm, "CELLS", cells)
+        for m in (many, own):
+            got = tm.expected(s, m, ends)
+            for c in tm.SUMS:
+                np.testing.assert_allclose(got[c], whole[c], rtol=1e-12, atol=1e-12)
+
+
+def test_blends_and_sizes_take_their_returns_from_one_pass(spark, sf):
+    for q in (signals.QUERIES["regime_blend"], backtest.QUERIES["size_regime_confidence"]):
+        assert "parquet" not in plan(q(spark, sf))
