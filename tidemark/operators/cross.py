@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rolling as R
 from tidemark.operators.prep import KEY, YEAR
 from tidemark.plans.attach import attach, attach_series
-from tidemark.plans.pairs import WIDE, pair_sums
+from tidemark.plans.pairs import WIDE, pair_correlations, pair_sums
 from tidemark.plans.ranks import rank_within
 from tidemark.plans.series import is_bounded, number_rows, series
 from tidemark.plans.strong import strong_pairs as _strong_pairs
@@ -49,13 +49,7 @@ def top_half_momentum(returns: DataFrame, lookback: int = 20, col: str = "ret",
 
 def correlation(returns: DataFrame, col: str = "ret", order: str = "ts", group: Sequence[str] = (), members: int | None = None) -> DataFrame:
     """Pearson correlation of all ordered asset pairs over their common dates: ``a, b, corr, n``."""
-    p = pair_sums(returns, "asset", col, order, group, members)
-    n = F.col("n")
-    c = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    ok = (vx > 1e-14 * n * F.col("sxx")) & (vy > 1e-14 * n * F.col("syy"))
-    return p.select(*group, "a", "b", F.when(ok, c / F.sqrt(vx * vy)).alias("corr"), n.cast("long").alias("n"))
+    return pair_correlations(returns, "asset", col, order, group, members)
 
 
 def strong_pairs(
