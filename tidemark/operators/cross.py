@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rolling as R
 from tidemark.operators.prep import KEY, YEAR
 from tidemark.plans.attach import attach, attach_series
-from tidemark.plans.pairs import WIDE, pair_correlations, pair_sums
+from tidemark.plans.pairs import pair_correlations, pair_sums
 from tidemark.plans.ranks import rank_within
 from tidemark.plans.series import is_bounded, number_rows, series
 from tidemark.plans.strong import strong_pairs as _strong_pairs
@@ -53,7 +53,7 @@ def correlation(returns: DataFrame, col: str = "ret", order: str = "ts", group:
 
 
 def strong_pairs(
-    returns: DataFrame, threshold: float = 0.8, top: int | None = None, col: str = "ret", order: str = "ts", min_dates: int = 20, block: int = WIDE
+    returns: DataFrame, threshold: float = 0.8, top: int | None = None, col: str = "ret", order: str = "ts", min_dates: int = 20, block: int | None = None
 ) -> DataFrame:
     """Pairs of assets whose correlation reaches the threshold in size: ``a, b, corr, n`` with a < b.
 
@@ -64,16 +64,17 @@ def strong_pairs(
     compared in full.
     """
     if is_bounded(returns, order):
-        d = _strong_pairs(returns, threshold, "asset", col, order, min_dates, block)
+        d = _strong_pairs(returns, threshold, "asset", col, order, min_dates, block, top)
     else:
         known = returns.groupBy("asset", order).agg(F.max(F.nanvl(F.col(col).cast("double"), F.lit(None))).alias(col))
         d = correlation(known, col, order).filter((F.col("a") < F.col("b")) & (F.abs("corr") >= threshold) & (F.col("n") >= min_dates))
     if top is None:
         return d
-    both = F.array(F.struct(F.col("a").alias("asset"), F.col("b").alias("other")), F.struct(F.col("b").alias("asset"), F.col("a").alias("other")))
-    sides = d.select(F.explode(both).alias("_s"), "corr", "n").select("_s.*", "corr", "n")  # pairs are found once
+    if not is_bounded(returns, order):
+        both = F.array(F.struct(F.col("a").alias("asset"), F.col("b").alias("other")), F.struct(F.col("b").alias("asset"), F.col("a").alias("other")))
+        d = d.select(F.explode(both).alias("_s"), "corr", "n").select("_s.*", "corr", "n")  # pairs are found once
     w = Window.partitionBy("asset").orderBy(F.abs("corr").desc(), "other")  # limited to ``top`` before the shuffle, too
-    return sides.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("asset", "rank", "other", "corr", "n")
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("asset", "rank", "other", "corr", "n")
 
 
 def covariance(returns: DataFrame, ann: float = YEAR, col: str = "ret", order: str = "ts", group: Sequence[str] = (), members: int | None = None) -> DataFrame:
